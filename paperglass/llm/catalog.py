@@ -3,7 +3,13 @@
 from __future__ import annotations
 
 from .quality import op1_quality_rules
-
-QUERIES = {"op1_quality_rules": op1_quality_rules}
+from .secrets import op5_secret_scans
+from .simhash import op7_simhash
+
+QUERIES = {
+    "op1_quality_rules": op1_quality_rules,
+    "op5_secret_scans": op5_secret_scans,
+    "op7_simhash": op7_simhash,
+}
 
 ORACLE_SQL: dict[str, str] = {}
