@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from .bpe import op8_byte_bpe
+from .langid import op6_language_id
+from .packing import op3_best_fit_packing
 from .quality import op1_quality_rules
 from .secrets import op5_secret_scans
 from .simhash import op7_simhash
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op3_best_fit_packing": op3_best_fit_packing,
     "op5_secret_scans": op5_secret_scans,
+    "op6_language_id": op6_language_id,
     "op7_simhash": op7_simhash,
+    "op8_byte_bpe": op8_byte_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {}
