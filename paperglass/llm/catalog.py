@@ -8,14 +8,18 @@ from .packing import op3_best_fit_packing
 from .quality import op1_quality_rules
 from .secrets import op5_secret_scans
 from .simhash import op7_simhash
+from .substring import op4_substring_dedup
+from .suffix import op10_suffix_dedup
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_substring_dedup": op4_substring_dedup,
     "op5_secret_scans": op5_secret_scans,
     "op6_language_id": op6_language_id,
     "op7_simhash": op7_simhash,
     "op8_byte_bpe": op8_byte_bpe,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
