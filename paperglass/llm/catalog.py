@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bpe import op8_byte_bpe
 from .langid import op6_language_id
+from .lm import op2_lm_scoring
 from .packing import op3_best_fit_packing
 from .quality import op1_quality_rules
 from .secrets import op5_secret_scans
@@ -13,6 +14,7 @@ from .suffix import op10_suffix_dedup
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_lm_scoring": op2_lm_scoring,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_secret_scans": op5_secret_scans,
