@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .ann import op9_cross_polytope
 from .bpe import op8_byte_bpe
 from .langid import op6_language_id
 from .lm import op2_lm_scoring
@@ -21,6 +22,7 @@ QUERIES = {
     "op6_language_id": op6_language_id,
     "op7_simhash": op7_simhash,
     "op8_byte_bpe": op8_byte_bpe,
+    "op9_cross_polytope": op9_cross_polytope,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
 
