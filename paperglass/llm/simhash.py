@@ -32,8 +32,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import checkpointed, connected_components, documents
-from ._text import LOWER_AZ, run_lengths, text_buffers
+from ._shared import checkpointed, connected_components, documents, shards_for
+from ._text import LOWER_AZ, mix, run_lengths, text_buffers
 
 _SEED = 42
 _SEGMENT_BITS = 32
@@ -144,13 +144,130 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     return prints.join(groups, "fp").select(id_col, "fp", "component")
 
 
-def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, most_bits: int = 3) -> DataFrame:
-    """The rows of docs without the near-duplicates of a document of smaller id.
+def wide_fingerprint(text: bytes, shingle_words: int) -> np.ndarray:
+    """256 bits (four words) voted by the same shingle hashes, mixed anew for
+    each further word; equal in use to ``fingerprint`` but fine enough to
+    measure similarities."""
+    words = text.translate(LOWER_AZ).split()
+    if not words:
+        return np.zeros(4, np.uint64)
+    joined = b" ".join(words)
+    n = max(len(words) - shingle_words + 1, 1)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    starts = np.concatenate(([0], ends[: n - 1])).tolist()
+    stops = (ends[min(shingle_words, len(words)) - 1 :] - 1).tolist()
+    digest = xxhash.xxh64_intdigest
+    hashes = np.array([digest(joined[s:e], _SEED) for s, e in zip(starts, stops, strict=True)], dtype="<u8")
+    votes = np.zeros(256, np.int64)
+    for at in range(0, n, _MOST_HASHES):
+        part = hashes[at : at + _MOST_HASHES]
+        wide = np.stack([mix(part + np.uint64(0x9E3779B97F4A7C15 * k % (1 << 64))) for k in range(4)], axis=1)
+        votes += np.unpackbits(wide.view(np.uint8).reshape(len(part), 32), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * votes > n, bitorder="little").view("<u8")
+
+
+def bits_for(similarity: float) -> int:
+    """Differing bits of 256 expected of two texts of that Jaccard similarity of
+    shingles: the angle between sets of like size whose cosine is 2J / (1 + J)."""
+    return int(256 * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+_WIDE_SEGMENTS = 16
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(id, component): rows with an id, and the smallest id of the group of
+    texts that similarity links.
+
+    Multi-index hashing over 256 bits: 16 segments of 16 bits, balls of radius
+    one in each.  Two segments within one bit agree in their upper or their lower
+    byte, so a text is filed under both bytes of each segment and the ball is
+    enumerated inside the entry, over the other byte.  Texts of the given
+    similarity share a segment up to one bit with probability above 0.99; the
+    complete distance then decides.
+    """
+    most_bits = bits_for(similarity)
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = text_buffers(batch.column(1))
+            whole, cuts = data.tobytes(), offsets.tolist()
+            got = [wide_fingerprint(whole[a:b], shingle_words).tobytes() for a, b in zip(cuts, cuts[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.binary())], names=["id", "fp"])
+
+    prints = checkpointed(docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), text_col).mapInArrow(hashed, "id long, fp binary"))
+    distinct = checkpointed(prints.groupBy("fp").agg(F.min("id").alias("node")))
+
+    def filed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node = batch.column(1).to_numpy()
+            raw = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(len(node), 32)
+            place = np.arange(2 * _WIDE_SEGMENTS)
+            entry = raw.astype(np.int64) + place * 256
+            yield pa.RecordBatch.from_arrays([pa.array(entry.ravel()), pa.array(np.repeat(node, 32)), batch.column(0).take(pa.array(np.repeat(np.arange(len(node)), 32)))], names=["entry", "node", "fp"])
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(b.column(0).to_numpy(), b.column(1).to_numpy(), np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint8).reshape(-1, 32)) for b in batches]
+        if not held:
+            return
+        entry, node, raw = (np.concatenate([h[k] for h in held]) for k in range(3))
+        other = raw[np.arange(len(entry)), (entry // 256) ^ 1].astype(np.int64)  # the segment's other byte
+        cell = entry * 256 + other
+        order = np.argsort(cell, kind="stable")
+        entry, node, cell, wide = entry[order], node[order], cell[order], np.ascontiguousarray(raw[order]).view(np.uint64)
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        first, length = run_lengths(entry)
+        _, many = run_lengths(cell)
+        crowded = np.repeat(many, many) > 64
+        dense = np.logical_or.reduceat(crowded, first) if len(first) else crowded
+        for s, n in zip(first[dense].tolist(), length[dense].tolist()):
+            for at, found in _wide_neighbours(wide[s : s + n], most_bits):
+                a.append(np.full(len(found), node[s + at]))
+                b.append(node[s + found])
+        own = np.flatnonzero(~np.repeat(dense, length))
+        for flip in (0, *(1 << k for k in range(8))):
+            mine = own if not flip else own[(cell[own] & flip) == 0]
+            low = np.searchsorted(cell, cell[mine] | flip, "left") if flip else mine + 1
+            high = np.searchsorted(cell, cell[mine] | flip, "right")
+            for at in range(0, len(mine), 50_000):
+                n = np.maximum(high[at : at + 50_000] - low[at : at + 50_000], 0)
+                x = np.repeat(mine[at : at + 50_000], n)
+                y = np.arange(int(n.sum())) + np.repeat(low[at : at + 50_000] - (np.cumsum(n) - n), n)
+                near = np.bitwise_count(wide[x] ^ wide[y]).sum(axis=1, dtype=np.int64) <= most_bits
+                a.append(node[x[near]])
+                b.append(node[y[near]])
+        pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in pairs], names=["a", "b"])
+
+    n = shards_for(distinct.count() * 32, 200_000, 8)
+    edges = distinct.mapInArrow(filed, "entry long, node long, fp binary").repartition(n, "entry").mapInArrow(linked, "a long, b long").distinct()
+    parts = connected_components(edges)
+    groups = distinct.join(parts, "node", "left").select("fp", F.coalesce("root", "node").alias("component"))
+    return prints.join(groups, "fp").select(F.col("id").alias(id_col), "component")
+
+
+def _wide_neighbours(wide: np.ndarray, most_bits: int) -> Iterator[tuple[int, np.ndarray]]:
+    left = np.arange(len(wide))
+    while len(left) > 1:
+        frontier, left = [left[0]], left[1:]
+        while frontier and len(left):
+            at = frontier.pop()
+            near = np.bitwise_count(wide[left] ^ wide[at]).sum(axis=1, dtype=np.int64) <= most_bits
+            if near.any():
+                found = left[near]
+                left = left[~near]
+                frontier.extend(found.tolist())
+                yield int(at), found
+
+
+def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of docs without those similar to a document of smaller id, all
+    columns unchanged.
 
     Rows that repeat an id count as one document and stay or go together; rows
     without an id stay.
     """
-    groups = near_duplicate_groups(docs, id_col, text_col, shingle_words, most_bits)
+    groups = similar_groups(docs, id_col, text_col, shingle_words, similarity)
     gone = groups.where(F.col(id_col) > F.col("component")).select(F.col(id_col).alias("_gone_id")).distinct()
     return docs.join(gone, docs[id_col] == F.col("_gone_id"), "left_anti")
 
