@@ -1 +1 @@
-
+"""functions of the document-extraction engine."""

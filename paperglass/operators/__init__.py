@@ -1 +1 @@
-
+"""operators of the document-extraction engine."""

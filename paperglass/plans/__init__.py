@@ -1 +1 @@
-
+"""plans of the document-extraction engine."""

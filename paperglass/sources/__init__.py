@@ -1 +1 @@
-
+"""sources of the document-extraction engine."""

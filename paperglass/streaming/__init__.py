@@ -1 +1 @@
-
+"""streaming of the document-extraction engine."""
