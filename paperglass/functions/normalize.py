@@ -201,7 +201,7 @@ def share_text(n: Column, total: Column) -> Column:
 def elapsed_text(seconds: Column) -> Column:
     """Hours, minutes and seconds as text."""
     h, m, s = F.floor(seconds / 3600).cast("long"), F.floor(seconds % 3600 / 60).cast("long"), seconds % 60
-    return F.when(h > 0, F.format_string("%dh %dm %.1fs", h, m, s)).when(m > 0, F.format_string("%dm %.1fs", m, s)).otherwise(F.format_string("%.1fs", s))
+    return F.concat_ws(" ", F.when(h > 0, F.format_string("%dh", h)), F.when(m > 0, F.format_string("%dm", m)), F.format_string("%.2fs", s))
 
 
 def shortened(c: Column, length: int) -> Column:
