@@ -55,9 +55,9 @@ class Search:
     gram: int
     within: bool  # whether earlier starts of the same document count
     resolver: Callable
-    hot_phrases: int = 32
+    hot_phrases: int = 256
     shard_bytes: int = 6 << 20
-    bucket_bytes: int = 24 << 20
+    bucket_bytes: int = 8 << 20
 
 
 # what a shard holds ----------------------------------------------------------

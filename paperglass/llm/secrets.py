@@ -100,6 +100,11 @@ def linked_parts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return swept.select("id", "text_key", "row_key", "start", "kind", "end", reported.alias("reported"))
 
 
+def _is(kind: int):
+    """A filter of one argument: a second one would be the element's index."""
+    return lambda x: x == kind
+
+
 def _joined(spans: Column) -> Column:
     names = F.array(*map(F.lit, KINDS))
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
@@ -138,6 +143,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark
 
 def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = secret_spans(documents(spark, sf_dir))
-    counts = [F.size(F.filter("spans", lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS[:3])]
+    kinds = F.transform("spans", lambda s: s["kind"])
+    counts = [F.size(F.filter(kinds, _is(i))).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS[:3])]
     base = F.filter("spans", lambda s: s["kind"] < 3)
     return spans.select("doc_id", *counts, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
