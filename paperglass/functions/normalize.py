@@ -43,6 +43,12 @@ def compose_unicode(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.mapInArrow(composed, df.schema)
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with the value computed once: an array of one element binds
+    it, where repeating the expression would repeat its work."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def stripped(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
@@ -83,7 +89,10 @@ def number(c: Column) -> Column:
     per cent, comma or point as the decimal mark."""
     bare = F.regexp_replace(stripped(c), f"[{CURRENCY_SIGNS}]", "")
     bare = F.trim(F.regexp_replace(bare, rf"(?i)^\s*({CURRENCY_CODES})\s*", ""))
-    bare = F.trim(F.replace(bare, F.lit("%"), F.lit("")))
+    return let(F.trim(F.replace(bare, F.lit("%"), F.lit(""))), _plain_number)
+
+
+def _plain_number(bare: Column) -> Column:
     comma, point = bare.contains(","), bare.contains(".")
     comma_last = F.length(F.substring_index(bare, ",", -1)) < F.length(F.substring_index(bare, ".", -1))
     no_comma = F.replace(bare, F.lit(","), F.lit(""))
@@ -96,7 +105,8 @@ def number(c: Column) -> Column:
         .when(comma, no_comma)
         .otherwise(bare)
     )
-    return F.when(bare != "", F.coalesce(plain_float(plain), plain_float(F.regexp_extract(plain, r"[0-9.]+", 0))))
+    first = lambda p: F.coalesce(plain_float(p), plain_float(F.regexp_extract(p, r"[0-9.]+", 0)))
+    return F.when(bare != "", let(plain, first))
 
 
 def _date(y: Column, m: Column, d: Column) -> Column:
@@ -120,9 +130,12 @@ def _numeric_date(s: Column, pattern: str, order: str, short: bool = False) -> C
 
 def date(c: Column) -> Column:
     """A date in the usual notations, day before month where both are possible."""
-    s = stripped(c)
-    s = F.regexp_replace(s, r"(?i)^(Mon|Tue|Wed|Thu|Fri|Sat|Sun)\w*,?\s*", "")
+    s = F.regexp_replace(stripped(c), r"(?i)^(Mon|Tue|Wed|Thu|Fri|Sat|Sun)\w*,?\s*", "")
     s = F.trim(F.regexp_replace(s, r"(\d+)(st|nd|rd|th)", "$1"))
+    return F.when(~F.lower(stripped(c)).isin("", "null", "none", "n/a"), let(s, _any_date))
+
+
+def _any_date(s: Column) -> Column:
     ways = [_numeric_date(s, rf"^(\d{{4}}){p}(\d{{1,2}}){p}(\d{{1,2}})$", "ymd") for p in ("-", "/")]
     ways += [_numeric_date(s, rf"^(\d{{1,2}}){p}(\d{{1,2}}){p}(\d{{4}})$", "dmy") for p in ("/", "-", r"\.")]
     ways += [_numeric_date(s, r"^(\d{1,2})/(\d{1,2})/(\d{4})$", "mdy")]
@@ -133,12 +146,15 @@ def date(c: Column) -> Column:
     ways += [F.when(s.rlike(named), _date(F.regexp_extract(s, named, 3), _month(F.regexp_extract(s, named, 1)), F.regexp_extract(s, named, 2)))]
     named = r"^(\d{1,2})\s+([A-Za-z]+)\s+(\d{4})$"
     ways += [F.when(s.rlike(named), _date(F.regexp_extract(s, named, 3), _month(F.regexp_extract(s, named, 2)), F.regexp_extract(s, named, 1)))]
-    return F.when(~F.lower(stripped(c)).isin("", "null", "none", "n/a"), F.coalesce(*ways))
+    return F.coalesce(*ways)
 
 
 def time(c: Column) -> Column:
     """HH:MM of a time; what is no time comes back in upper case."""
-    s = F.upper(stripped(c))
+    return let(F.upper(stripped(c)), _clock)
+
+
+def _clock(s: Column) -> Column:
     day = r"^([01]?[0-9]|2[0-3]):([0-5]?[0-9])(?::(?:[0-5]?[0-9]|6[01]))?$"
     half = r"^(0?[1-9]|1[0-2]):([0-5]?[0-9])(?:(?::(?:[0-5]?[0-9]|6[01]))?\s+|)(AM|PM)$"
     hour = F.regexp_extract(s, half, 1).try_cast("int") % 12 + F.when(F.regexp_extract(s, half, 3) == "PM", 12).otherwise(0)
@@ -163,7 +179,10 @@ def flat_text(c: Column) -> Column:
 
 def flat_date(c: Column) -> Column:
     """The flat scorer's date as ISO text; what is no date comes back stripped."""
-    s = stripped(F.coalesce(c, F.lit("")))
+    return let(stripped(F.coalesce(c, F.lit(""))), _flat_date)
+
+
+def _flat_date(s: Column) -> Column:
     ways = [_numeric_date(s, r"^(\d{4})-(\d{1,2})-(\d{1,2})$", "ymd"), _numeric_date(s, r"^(\d{1,2})/(\d{1,2})/(\d{4})$", "dmy"), _numeric_date(s, r"^(\d{1,2})/(\d{1,2})/(\d{4})$", "mdy"), _numeric_date(s, r"^(\d{1,2})-(\d{1,2})-(\d{4})$", "dmy")]
     named = r"^(\d{1,2})\s+([A-Za-z]+)\s+(\d{4})$"
     ways += [F.when(s.rlike(named), _date(F.regexp_extract(s, named, 3), _month(F.regexp_extract(s, named, 2)), F.regexp_extract(s, named, 1)))]

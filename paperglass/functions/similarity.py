@@ -34,7 +34,7 @@ def levenshtein_of(a: Column, b: Column) -> Column:
 
 
 def levenshtein_similarity(a: Column, b: Column) -> Column:
-    return levenshtein_of(N.text(a), N.text(b))
+    return N.let(N.text(a), lambda x: N.let(N.text(b), lambda y: levenshtein_of(x, y)))
 
 
 def exact_match(a: Column, b: Column) -> Column:
@@ -53,7 +53,7 @@ def token_scores_of(gt: Column, pred: Column) -> Column:
 
 
 def token_f1(gt: Column, pred: Column) -> Column:
-    return token_scores_of(N.tokens(gt), N.tokens(pred))["f1"]
+    return N.let(N.tokens(gt), lambda g: N.let(N.tokens(pred), lambda p: token_scores_of(g, p)["f1"]))
 
 
 def numeric_exact(a: Column, b: Column, tolerance: float = 0.01) -> Column:
@@ -78,11 +78,18 @@ def key_information(c: Column) -> Column:
 def key_information_recall(gt: Column, pred: Column) -> Column:
     """Share of the true pieces that some predicted piece of its kind contains or
     is contained in; 1 if there is none to find."""
-    g, p = key_information(gt), key_information(pred)
-    plain = lambda a: F.transform(a, lambda x: F.coalesce(N.text(x), F.lit("")))
-    found = [F.size(F.filter(plain(g[k]), lambda x, k=k: F.exists(plain(p[k]), lambda y: x.contains(y) | y.contains(x)))) for k in KEY_PATTERNS]
-    total = [F.size(g[k]) for k in KEY_PATTERNS]
-    return F.when(sum(total[1:], total[0]) == 0, 1.0).otherwise(sum(found[1:], found[0]) / sum(total[1:], total[0]))
+    plain = lambda c, k: F.transform(F.array_distinct(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(KEY_PATTERNS[k]), 0)), lambda x: F.coalesce(N.text(x), F.lit("")))
+
+    def hits(kind: str) -> Column:
+        """struct(found, total) of one kind."""
+        inside = lambda g, p: F.struct(F.size(F.filter(g, lambda x: F.exists(p, lambda y: x.contains(y) | y.contains(x)))).alias("found"), F.size(g).alias("total"))
+        return N.let(plain(gt, kind), lambda g: N.let(plain(pred, kind), lambda p: inside(g, p)))
+
+    def share(all_hits: Column) -> Column:
+        total = lambda f: F.aggregate(all_hits, F.lit(0), lambda s, h: s + h[f])
+        return F.when(total("total") == 0, 1.0).otherwise(total("found") / total("total"))
+
+    return N.let(F.array(*map(hits, KEY_PATTERNS)), share)
 
 
 def cosine(a: Column, b: Column) -> Column:

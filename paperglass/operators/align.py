@@ -113,6 +113,11 @@ def _pair_score(kind: str, g: Column, p: Column) -> Column:
     return F.when(g0 & p0, 1.0).when(g0 | p0, 0.0).otherwise(inner)
 
 
+def _part(name: str):
+    """A one-argument accessor (a second argument would be the index)."""
+    return lambda s: s[name]
+
+
 def align_items(df: DataFrame, gt: str, pred: str, out: str, fields: tuple = ITEM_FIELDS, least: float = LEAST_SIMILARITY) -> DataFrame:
     """df with a struct column out: counts, count_accuracy, precision, recall, f1,
     overall, pairs, and the mean score of each item field over the pairs.
@@ -140,7 +145,7 @@ def align_items(df: DataFrame, gt: str, pred: str, out: str, fields: tuple = ITE
         pick(1.0, 1.0, 0.0, n / n_g.cast("double")).alias("recall"),
         pick(1.0, 0.0, 0.0, f1).alias("f1"),
         pick(1.0, 0.0, 0.0, f1 * quality).alias("overall"),
-        F.struct(*(F.when(n > 0, total(F.transform("_scores", lambda s, f=f: s[f])) / n).alias(f) for f, _, _ in fields)).alias("fields"),
+        F.struct(*(F.when(n > 0, total(F.transform("_scores", _part(f))) / n).alias(f) for f, _, _ in fields)).alias("fields"),
     )
     return staged.withColumn(out, result).drop("_pairs", "_scores")
 

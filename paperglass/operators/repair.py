@@ -61,12 +61,16 @@ def repair_math(docs: DataFrame) -> DataFrame:
     return lines.withColumn("taxes", F.when(have & (F.size("taxes") == 1), single).otherwise(F.col("taxes")))
 
 
+def _rate_as_text(field: str):
+    return lambda x: x.withField(field, F.when(x[field].isNotNull(), N.tax_rate_text(x[field].cast("string"))))
+
+
 def normalize_records(docs: DataFrame) -> DataFrame:
     """Tax rates as percentage texts, registration lists as one text, locale en."""
     out = docs.withColumn("locale", F.lit("en"))
     for array, field in (("line_items", "tax_rate"), ("taxes", "rate")):
         if array in docs.columns:
-            out = out.withColumn(array, F.transform(array, lambda x, field=field: x.withField(field, F.when(x[field].isNotNull(), N.tax_rate_text(x[field].cast("string"))))))
+            out = out.withColumn(array, F.transform(array, _rate_as_text(field)))
     for c in ("supplier_company_registrations", "customer_company_registrations"):
         if c in docs.columns and dict(docs.dtypes)[c].startswith("array"):
             out = out.withColumn(c, F.array_join(c, ", "))

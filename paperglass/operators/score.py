@@ -13,7 +13,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.compare import RESULT, compare
+from ..functions.compare import RESULT, described, judged, prepared
 from ..plans.registry import GRADES, NESTED_KINDS, TIER_WEIGHTS, Field, selected
 from .align import align_items, align_taxes
 
@@ -27,19 +27,19 @@ def last_wins(df: DataFrame, key: str = KEY, order: str = "ordinal") -> DataFram
     return df.groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("_last")).select(key, *(F.col(f"_last.{c}").alias(c) for c in rest))
 
 
-def matched(gt: DataFrame, pred: DataFrame, fields: Iterable[Field], key: str = KEY, order: str | None = None) -> DataFrame:
-    """(key, g, p): the documents in both sets, after last-wins dedup if an
-    order is given; empty names take no part."""
-    names = [f.name for f in fields]
+def _side(df: DataFrame, key: str, order: str | None, names: list[str], name: str, value) -> DataFrame:
+    have = [n for n in names if n in df.columns]
+    if order:
+        df = last_wins(df.select(key, order, *have), key, order)
+    row = F.struct(*(value(df, n, n in have).alias(n) for n in names))
+    return df.where(F.coalesce(F.col(key), F.lit("")) != "").select(key, row.alias(name))
 
-    def side(df: DataFrame, name: str) -> DataFrame:
-        have = [n for n in names if n in df.columns]
-        if order:
-            df = last_wins(df.select(key, order, *have), key, order)
-        row = F.struct(*(df[n] if n in have else F.lit(None).cast("string").alias(n) for n in names))
-        return df.where(F.coalesce(F.col(key), F.lit("")) != "").select(key, row.alias(name))
 
-    return side(gt, "g").join(side(pred, "p"), key)
+def matched(gt: DataFrame, pred: DataFrame, names: list[str], key: str = KEY, order: str | None = None) -> DataFrame:
+    """(key, g, p): the documents in both sets as structs of the named columns,
+    after last-wins dedup if an order is given; empty names take no part."""
+    raw = lambda df, n, have: df[n] if have else F.lit(None).cast("string")
+    return _side(gt, key, order, names, "g", raw).join(_side(pred, key, order, names, "p", raw), key)
 
 
 def unmatched(gt: DataFrame, pred: DataFrame, key: str = KEY) -> DataFrame:
@@ -52,17 +52,18 @@ def field_results(gt: DataFrame, pred: DataFrame, fields: Iterable[Field] | None
     """(key, field_name, field_type, tier, weight, null_status, exact_match,
     similarity, levenshtein, grade), one row for each document and scalar field."""
     fields = [f for f in (selected() if fields is None else fields) if f.kind not in NESTED_KINDS]
-    both = matched(gt, pred, fields, key, order)
-    numeric = {f.name for f in fields if f.kind == "numeric" and dict(both.select("g.*").dtypes)[f.name] == "double" and dict(both.select("p.*").dtypes)[f.name] == "double"}
+    by_name = {f.name: f for f in fields}
+    types = [dict(gt.dtypes), dict(pred.dtypes)]
 
-    def one(f: Field) -> Column:
-        typed = f.name in numeric
-        value = lambda side: both[side][f.name] if typed else both[side][f.name].cast("string")
-        fixed = [F.lit(f.name).alias("field_name"), F.lit(f.kind).alias("field_type"), F.lit(f.tier).alias("tier"), F.lit(f.weight).alias("weight")]
-        return F.struct(*fixed, compare(f, value("g"), value("p"), typed).alias("r"))
+    def value(df: DataFrame, n: str, have: bool) -> Column:
+        typed = by_name[n].kind == "numeric" and all(t.get(n, "double") == "double" for t in types)
+        return prepared(by_name[n], df[n] if have else F.lit(None).cast("double" if typed else "string"), typed)
 
-    long = both.select(key, F.explode(F.array(*map(one, fields))).alias("f"))
-    return long.select(key, "f.field_name", "f.field_type", "f.tier", "f.weight", *(F.col(f"f.r.{c}").alias(c) for c in RESULT))
+    names = list(by_name)
+    both = _side(gt, key, order, names, "g", value).join(_side(pred, key, order, names, "p", value), key)
+    rows = [F.struct(*described(f), both["g"][f.name].alias("g"), both["p"][f.name].alias("p")) for f in fields]
+    long = both.select(key, F.explode(F.array(*rows)).alias("f")).select(key, "f.*")
+    return judged(long).select(key, "field_name", "field_type", "tier", "weight", *RESULT)
 
 
 def _share(condition: Column, total: Column) -> Column:
@@ -91,20 +92,22 @@ def grade_distribution(results: DataFrame) -> DataFrame:
     return counted.select(F.explode(F.array(*(F.struct(F.lit(g).alias("grade"), F.col(g).alias("n")) for g in GRADES))).alias("x")).select("x.*")
 
 
-def _tiers(scores: DataFrame, by: list[str]) -> DataFrame:
+def _tiers(scores: DataFrame, by: list[str], more: list[Column] | None = None) -> DataFrame:
     """Weighted mean of rows (by..., tier, score, weight) for each tier, and the
-    overall score over the tiers that have any."""
-    made = scores.groupBy(*by).agg(*(x for t in TIER_WEIGHTS for x in (F.sum(F.when(F.col("tier") == t, F.col("score") * F.col("weight"))).alias(f"s{t}"), F.sum(F.when(F.col("tier") == t, F.col("weight"))).alias(f"w{t}"))))
+    overall score over the tiers that have any; more: further aggregates."""
+    sums = [x for t in TIER_WEIGHTS for x in (F.sum(F.when(F.col("tier") == t, F.col("score") * F.col("weight"))).alias(f"s{t}"), F.sum(F.when(F.col("tier") == t, F.col("weight"))).alias(f"w{t}"))]
+    made = scores.groupBy(*by).agg(*sums, *(more or []))
     part = {t: F.coalesce(F.col(f"s{t}") / F.col(f"w{t}"), F.lit(0.0)) for t in TIER_WEIGHTS}
     share = {t: F.when(F.col(f"w{t}").isNotNull(), w).otherwise(0.0) for t, w in TIER_WEIGHTS.items()}
     whole = share[1] + share[2] + share[3]
     overall = F.when(whole > 0, (share[1] * part[1] + share[2] * part[2] + share[3] * part[3]) / whole).otherwise(0.0)
-    return made.select(*by, *(part[t].alias(f"tier{t}_score") for t in TIER_WEIGHTS), overall.alias("overall_score"))
+    rest = [c for c in made.columns if c not in by and c[0] not in "sw" or c in ("n",)]
+    return made.select(*by, *(part[t].alias(f"tier{t}_score") for t in TIER_WEIGHTS), overall.alias("overall_score"), *rest)
 
 
 def item_results(gt: DataFrame, pred: DataFrame, key: str = KEY, order: str | None = None) -> DataFrame:
     """(key, line_items, taxes): the alignment structs of each matched document."""
-    both = matched(gt, pred, selected(kinds=set(NESTED_KINDS)), key, order).select(key, F.col("g.line_items").alias("gi"), F.col("p.line_items").alias("pi"), F.col("g.taxes").alias("gt"), F.col("p.taxes").alias("pt"))
+    both = matched(gt, pred, [f.name for f in selected(kinds=set(NESTED_KINDS))], key, order).select(key, F.col("g.line_items").alias("gi"), F.col("p.line_items").alias("pi"), F.col("g.taxes").alias("gt"), F.col("p.taxes").alias("pt"))
     return align_taxes(align_items(both, "gi", "pi", "line_items"), "gt", "pt", "taxes").select(key, "line_items", "taxes")
 
 
@@ -154,35 +157,67 @@ def entity_f1(results: DataFrame, by: list[str] | None = None) -> DataFrame:
     s, hit = F.col("null_status"), F.col("exact_match") >= 1.0
     both = s == "tp"
     counted = results.groupBy(*by, "field_name").agg(F.count_if(both & hit).alias("tp"), F.count_if((s == "fp") | (both & ~hit)).alias("fp"), F.count_if((s == "fn") | (both & ~hit)).alias("fn"))
-    total = counted.groupBy(*by).agg(*(F.sum(c).alias(c) for c in ("tp", "fp", "fn"))).withColumn("field_name", F.lit(None).cast("string"))
-    every = counted.unionByName(total)
+    every = _with_total(counted, by, ("tp", "fp", "fn"))
     ratio = lambda a, b: F.when(a + b > 0, a / (a + b)).otherwise(0.0)
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
     return every.select(*by, "field_name", "tp", "fp", "fn", ratio(tp, fp).alias("precision"), ratio(tp, fn).alias("recall"), _f1(tp, fp, fn).alias("f1"))
 
 
+def _anls_score(threshold: float) -> Column:
+    s = F.col("null_status")
+    value = F.when(F.col("field_type").isin("numeric", "date"), F.col("similarity")).otherwise(F.coalesce("levenshtein", "similarity"))
+    return F.when(s == "tn", F.lit(None)).when(s != "tp", 0.0).when(value >= threshold, value).otherwise(0.0)
+
+
 def anls(results: DataFrame, threshold: float = 0.5, by: list[str] | None = None) -> DataFrame:
     """Mean normalised edit similarity of each field and (field_name null) over
     all; below the threshold it is 0, true negatives are skipped."""
     by = by or []
-    s = F.col("null_status")
-    value = F.when(F.col("field_type").isin("numeric", "date"), F.col("similarity")).otherwise(F.coalesce("levenshtein", "similarity"))
-    score = F.when(s == "tn", F.lit(None)).when(s != "tp", 0.0).when(value >= threshold, value).otherwise(0.0)
-    counted = results.groupBy(*by, "field_name").agg(F.sum(score).alias("total"), F.count(score).alias("n"), F.count_if(s == "tn").alias("tn_skipped"))
-    every = counted.unionByName(counted.groupBy(*by).agg(*(F.sum(c).alias(c) for c in ("total", "n", "tn_skipped"))).withColumn("field_name", F.lit(None).cast("string")))
+    score = _anls_score(threshold)
+    counted = results.groupBy(*by, "field_name").agg(F.sum(score).alias("total"), F.count(score).alias("n"), F.count_if(F.col("null_status") == "tn").alias("tn_skipped"))
+    every = _with_total(counted, by, ("total", "n", "tn_skipped"))
     return every.select(*by, "field_name", F.when(F.col("n") > 0, F.col("total") / F.col("n")).otherwise(0.0).alias("anls"), "n", "tn_skipped")
 
 
-def standard_metrics(results: DataFrame, items: DataFrame | None = None, by: list[str] | None = None) -> DataFrame:
+def _with_total(counted: DataFrame, by: list[str], sums: tuple[str, ...]) -> DataFrame:
+    """counted (one row a field) and a row over all fields, by a rollup of the
+    small table, so that what is below is computed once."""
+    return counted.groupingSets([[*by, "field_name"], [*by]], *by, "field_name").agg(*(F.sum(c).alias(c) for c in sums))
+
+
+def standard_metrics(results: DataFrame, items: DataFrame | None = None, by: list[str] | None = None, threshold: float = 0.5) -> DataFrame:
     """(by..., wfes, entity_f1, entity_precision, entity_recall, anls
-    [, line_item_f1]), one row for each run."""
+    [, line_item_f1]), one row for each run.
+
+    One aggregation by field feeds all of them, so the comparisons are made once.
+    """
     by = by or []
-    whole = entity_f1(results, by).where(F.col("field_name").isNull()).select(*by, F.col("f1").alias("entity_f1"), F.col("precision").alias("entity_precision"), F.col("recall").alias("entity_recall"))
-    near = anls(results, by=by).where(F.col("field_name").isNull()).select(*by, "anls")
-    score = run_scores(field_metrics(results, by), items, by).select(*by, "wfes")
-    put = (lambda a, b: a.join(b, by)) if by else (lambda a, b: a.crossJoin(b))  # one row each without keys
-    out = put(put(score, whole), near)
-    return put(out, items.groupBy(*by).agg(F.avg("line_items.f1").alias("line_item_f1"))) if items is not None else out
+    s, hit = F.col("null_status"), F.col("exact_match") >= 1.0
+    both = s == "tp"
+    fields = results.groupBy(*by, "field_name").agg(
+        F.first("tier").alias("tier"), F.first("weight").alias("weight"), F.avg(F.when(s != "tn", F.col("similarity"))).alias("score"),
+        F.count_if(both & hit).alias("tp"), F.count_if((s == "fp") | (both & ~hit)).alias("fp"), F.count_if((s == "fn") | (both & ~hit)).alias("fn"),
+        F.sum(_anls_score(threshold)).alias("near"), F.count(_anls_score(threshold)).alias("n"),
+    )
+    one = F.lit(1).alias("_run")
+    keys = by or ["_run"]
+    fields = fields if by else fields.select("*", one)
+    scored = fields.where(F.col("score").isNotNull()).select(*keys, "tier", "score", "weight", "tp", "fp", "fn", "near", "n")
+    if items is not None:
+        means = items.groupBy(*by).agg(*(F.avg(f"{f.name}.overall").alias(f.name) for f in selected(kinds=set(NESTED_KINDS))), F.avg("line_items.f1").alias("line_item_f1"))
+        means = means if by else means.select("*", one)
+        extra = [F.struct(F.lit(f.tier).alias("tier"), F.col(f.name).alias("score"), F.lit(f.weight).alias("weight")) for f in selected(kinds=set(NESTED_KINDS))]
+        zero = [F.lit(0).cast("long").alias(c) for c in ("tp", "fp", "fn")] + [F.lit(0.0).alias("near"), F.lit(0).cast("long").alias("n")]
+        nested = means.select(*keys, F.explode(F.array(*extra)).alias("x"), F.col("line_item_f1")).select(*keys, "x.*", *zero, "line_item_f1").where(F.col("score").isNotNull())
+        scored = scored.withColumn("line_item_f1", F.lit(None).cast("double")).unionByName(nested)
+    more = [*(F.sum(c).alias(c) for c in ("tp", "fp", "fn", "near", "n")), *([F.first("line_item_f1", ignorenulls=True).alias("line_item_f1")] if items is not None else [])]
+    tiers = _tiers(scored, keys, more)
+    ratio = lambda a, b: F.when(a + b > 0, a / (a + b)).otherwise(0.0)
+    tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
+    return tiers.select(
+        *by, F.col("overall_score").alias("wfes"), _f1(tp, fp, fn).alias("entity_f1"), ratio(tp, fp).alias("entity_precision"), ratio(tp, fn).alias("entity_recall"),
+        F.when(F.col("n") > 0, F.col("near") / F.col("n")).otherwise(0.0).alias("anls"), *(["line_item_f1"] if items is not None else []),
+    )
 
 
 def model_ranking(metrics: DataFrame, names: list[str], model: str = "model") -> DataFrame:

@@ -4,7 +4,6 @@ SQL that checks it.  Rounding to six decimals hides the order of float sums."""
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -12,11 +11,12 @@ from pyspark.sql import functions as F
 from ..functions import normalize as N
 from ..functions import recover as R
 from ..functions import similarity as M
+from ..functions.compare import compare_pairs
 from ..operators import align, audit, flatscore, merge, publish, render, repair, sampling, score
 from ..sources import json_docs
 from . import fixtures as X
 from . import oracles as O
-from .registry import FIELDS, GRADES, field_registry, item_registry, selected
+from .registry import FIELDS, GRADES, ITEM_FIELDS, TAX_FIELDS, Field, field_registry, item_registry, selected
 from .shipping import ship_package
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -147,7 +147,7 @@ def run_summary(spark, sf_dir):
     return joined.agg(F.count(F.lit(1)).alias("documents"), F.count_if(F.col("ok").isNull()).alias("failed"))
 
 
-@query("WITH " + O.BOTH[5:] + """, f AS (SELECT * FROM (VALUES """ + ", ".join(f"('{f.name}', {f.tier})" for f in FIELDS) + """) x(name, tier)) SELECT tier, count(*) AS fields FROM f GROUP BY tier""")
+@query("""WITH f AS (SELECT * FROM (VALUES """ + ", ".join(f"('{f.name}', {f.tier})" for f in FIELDS) + """) x(name, tier)) SELECT tier, count(*) AS fields FROM f GROUP BY tier""")
 def registry_lookup(spark, sf_dir):
     return field_registry(spark).groupBy("tier").agg(F.count(F.lit(1)).alias("fields"))
 
@@ -158,7 +158,7 @@ def field_filter(spark, sf_dir):
     return rounded(score.field_results(X.gt_docs(spark, sf_dir), X.pred_docs(spark, sf_dir), chosen).groupBy("field_name", "tier").agg(F.count(F.lit(1)).alias("n")))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{t}', '{n}', '{k}', {w}::DOUBLE)" for t, fs in (("line_items", __import__('paperglass.plans.registry', fromlist=['x']).ITEM_FIELDS), ("taxes", __import__('paperglass.plans.registry', fromlist=['x']).TAX_FIELDS)) for n, k, w in fs) + ") x(list, name, field_type, weight)")
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{t}', '{n}', '{k}', {w}::DOUBLE)" for t, fs in (("line_items", ITEM_FIELDS), ("taxes", TAX_FIELDS)) for n, k, w in fs) + ") x(list, name, field_type, weight)")
 def item_field_registry(spark, sf_dir):
     return item_registry(spark)
 
@@ -192,11 +192,7 @@ def token_sets(spark, sf_dir):
 
 @query(f"SELECT p_partkey, CASE WHEN {O.text('ta')} = {O.text('tb')} THEN 1e0 WHEN {O.lev(O.text('ta'), O.text('tb'))} >= 0.8 THEN 0.7e0 ELSE 0e0 END AS similarity FROM {_PARTS}")
 def category_match(spark, sf_dir):
-    from ..functions.compare import compare
-    from .registry import Field
-
-    f = Field("p_type", "category", 1, 1.0)
-    return _parts(spark, sf_dir).select("p_partkey", compare(f, F.col("ta"), F.col("tb"))["similarity"].alias("similarity"))
+    return compare_pairs(_parts(spark, sf_dir), Field("p_type", "category", 1, 1.0), "ta", "tb").select("p_partkey", "similarity")
 
 
 _NUMBERS = """SELECT o_orderkey AS k, CASE o_orderkey % 9
@@ -245,9 +241,6 @@ def currency_alias(spark, sf_dir):
     return _over(_ALIASES, spark, sf_dir, events="events").groupBy(N.currency(F.col("s")).alias("code")).agg(F.count(F.lit(1)).alias("n"))
 
 
-_EMAIL = M.KEY_PATTERNS["emails"]
-
-
 @query(rf"SELECT conv_id, turn, len(list_distinct(regexp_extract_all(text, '[\w.+-]+@[\w-]+\.[\w.-]+'))) AS emails, len(list_distinct(regexp_extract_all(text, '\d{{1,4}}[-/.]\d{{1,2}}[-/.]\d{{1,4}}'))) AS dates FROM conversations")
 def key_info_extract(spark, sf_dir):
     found = M.key_information(F.col("text"))
@@ -492,9 +485,6 @@ def json_response(spark, sf_dir):
     return raw.select("event_id", F.get_json_object(R.parse_response("s"), "$.k").cast("long").alias("k"))
 
 
-_PROSE = O.GT.replace("orders JOIN customer", "{orders} JOIN {customer}")
-
-
 def _prose(spark, sf_dir):
     gt = X.gt_docs(spark, sf_dir).where("supplier_name is not null")
     return gt.select("k", "file_name", "supplier_address", F.concat(F.lit("**Supplier**: Acme Trading\nInvoice Date: "), "document_date", F.lit("\nTotal Amount: "), F.format_string("%d.50", F.col("k") % 1000), F.lit("\nInvoice number: "), "invoice_number", F.lit("\nCurrency: "), "document_currency", F.lit("\n2 x Widget €19.00\n")).alias("s"))
@@ -699,8 +689,3 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(_ORACLES)
-
-
-def known_functions() -> list[str]:
-    """Names of all registered queries, for introspection."""
-    return reduce(lambda a, b: [*a, b], sorted(_QUERIES), [])
