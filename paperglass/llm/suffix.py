@@ -27,6 +27,7 @@ from ._shared import documents
 
 WINDOW = 50
 GRAM = 24
+_SYMBOLS_AT_ONCE = 2_000_000
 
 
 def suffix_ranks(data: np.ndarray, depth: int) -> np.ndarray:
@@ -49,16 +50,41 @@ def suffix_ranks(data: np.ndarray, depth: int) -> np.ndarray:
 def _by_suffix_array(symbols, size, group, ids, shard, row, lo, search: Search):
     """Resolver: windows of the dictionary that a smaller document holds too."""
     w = search.window
-    many = size - w + 1
     begin = np.cumsum(size) - size
+    order = np.argsort(group, kind="stable")
+    # Equal strings have one trigger, so groups can be sorted apart: some at a time.
+    heads = np.flatnonzero(np.concatenate(([True], group[order][1:] != group[order][:-1]))) if len(order) else np.zeros(0, np.int64)
+    reach = np.cumsum(size[order])
+    entries, starts, at = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+    while at < len(order):
+        limit = (reach[at - 1] if at else 0) + _SYMBOLS_AT_ONCE
+        fits = heads[np.searchsorted(heads, at, "right") :]
+        fits = fits[: int(np.searchsorted(reach[fits - 1], limit, "right"))] if len(fits) else fits
+        after = heads[np.searchsorted(heads, at, "right") :]
+        stop = int(fits[-1]) if len(fits) else int(after[0]) if len(after) else len(order)
+        if reach[-1] <= limit:
+            stop = len(order)
+        own = order[at:stop]
+        entry, inside = _repeated_windows(symbols, begin[own], size[own], ids[own], w)
+        entries.append(own[entry])
+        starts.append(lo[own[entry]] + inside)
+        at = stop
+    return np.concatenate(entries), np.concatenate(starts)
+
+
+def _repeated_windows(symbols: np.ndarray, begin: np.ndarray, size: np.ndarray, ids: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray]:
+    """(phrase, offset) of the windows that a phrase of smaller id holds too."""
+    offset = np.cumsum(size) - size
+    data = symbols[np.arange(int(size.sum())) + np.repeat(begin - offset, size)]
+    many = size - w + 1
     entry = np.repeat(np.arange(len(size)), many)
     inside = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
-    rank = suffix_ranks(symbols, w)[begin[entry] + inside]
+    rank = suffix_ranks(data, w)[offset[entry] + inside]
     order = np.lexsort((ids[entry], rank))
     run = np.cumsum(np.concatenate(([0], rank[order][1:] != rank[order][:-1]))) if len(order) else np.zeros(0, np.int64)
     least = ids[entry[order]][np.searchsorted(run, run)]
     gone = order[ids[entry[order]] > least]
-    return entry[gone], lo[entry[gone]] + inside[gone]
+    return entry[gone], inside[gone]
 
 
 def byte_search(window: int = WINDOW, gram: int = GRAM) -> Search:
