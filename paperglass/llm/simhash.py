@@ -218,7 +218,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         first, length = run_lengths(entry)
         _, many = run_lengths(cell)
-        crowded = np.repeat(many, many) > 64
+        crowded = np.repeat(many, many) > 16
         dense = np.logical_or.reduceat(crowded, first) if len(first) else crowded
         for s, n in zip(first[dense].tolist(), length[dense].tolist()):
             for at, found in _wide_neighbours(wide[s : s + n], most_bits):
@@ -236,8 +236,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 near = np.bitwise_count(wide[x] ^ wide[y]).sum(axis=1, dtype=np.int64) <= most_bits
                 a.append(node[x[near]])
                 b.append(node[y[near]])
-        pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1)
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in pairs], names=["a", "b"])
+        member, root = _least_members(np.concatenate(a), np.concatenate(b))
+        yield pa.RecordBatch.from_arrays([pa.array(root), pa.array(member)], names=["a", "b"])
 
     n = shards_for(distinct.count() * 32, 200_000, 8)
     edges = distinct.mapInArrow(filed, "entry long, node long, fp binary").repartition(n, "entry").mapInArrow(linked, "a long, b long").distinct()
@@ -246,6 +246,25 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return prints.join(groups, "fp").select(F.col("id").alias(id_col), "component")
 
 
+def _least_members(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, least node of its component) for the nodes of the links that are
+    not the least themselves: links of a group found in many places become the
+    same few."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    label = np.arange(len(nodes))
+    while len(x):
+        least = np.minimum(label[x], label[y])
+        if (least == label[x]).all() and (least == label[y]).all():
+            break
+        for side in (x, y):
+            np.minimum.at(label, label[side], least)
+            np.minimum.at(label, side, least)
+        label = label[label]
+    away = label != np.arange(len(nodes))
+    return nodes[away], nodes[label[away]]
+
+
 def _wide_neighbours(wide: np.ndarray, most_bits: int) -> Iterator[tuple[int, np.ndarray]]:
     left = np.arange(len(wide))
     while len(left) > 1:
