@@ -45,8 +45,8 @@ def described(f: Field) -> list[Column]:
 
 
 def judged(rows: DataFrame) -> DataFrame:
-    """rows (described fields, g, p: prepared structs) with the result columns."""
-    g, p, kind = F.col("g"), F.col("p"), F.col("field_type")
+    """rows (described fields; _g, _p: prepared structs) with the result columns."""
+    g, p, kind = F.col("_g"), F.col("_p"), F.col("field_type")
     texts = kind.isin("short_string", "category", "medium_string", "long_text")
     status = F.when(g["missing"] & p["missing"], "tn").when(g["missing"], "fp").when(p["missing"], "fn").otherwise("tp")
     equal = F.when(kind == "numeric", F.abs(g["number"] - p["number"]) <= F.col("tolerance")).when(kind == "date", g["day"] == p["day"]).when(kind == "time", g["clock"] == p["clock"]).otherwise(g["text"].eqNullSafe(p["text"]))
@@ -93,8 +93,8 @@ def judged(rows: DataFrame) -> DataFrame:
 
 def compare_pairs(df: DataFrame, f: Field, gt: str, pred: str, typed: bool = False) -> DataFrame:
     """df with the result columns of one field compared between two columns."""
-    staged = df.select("*", *described(f), prepared(f, F.col(gt), typed).alias("g"), prepared(f, F.col(pred), typed).alias("p"))
-    return judged(staged).select(*df.columns, *RESULT)
+    staged = df.select(F.struct(*df.columns).alias("_row"), *described(f), prepared(f, F.col(gt), typed).alias("_g"), prepared(f, F.col(pred), typed).alias("_p"))
+    return judged(staged).select("_row.*", *RESULT)
 
 
 def flat_string_match(pred: Column, gold: Column, is_date: bool = False) -> Column:

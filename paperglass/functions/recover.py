@@ -9,6 +9,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Patterns that find a field in prose, tried in order; currency signs.
 _SIGN = {"€": "EUR", "$": "USD", "£": "GBP", "¥": "JPY"}
@@ -107,7 +108,7 @@ def _from_response(text: str | None) -> str | None:
 
 
 def _vectorised(f: Callable):
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def run(texts: pd.Series) -> pd.Series:
         return texts.map(f)
 

@@ -7,8 +7,10 @@ optimal one-to-one assignment is found.  No shuffle: both arrays are in the row.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -71,35 +73,53 @@ def greedy(similarity: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-@F.pandas_udf(PAIRS)
-def _optimal_pairs(matrix: pd.Series, least: pd.Series) -> pd.Series:
-    def one(rows, threshold):
-        if rows is None or len(rows) == 0 or len(rows[0]) == 0:
+def _with_pairs(df: DataFrame, matrix: str, out: str, least: float) -> DataFrame:
+    """df with the pairs of the optimal assignment of each row's similarities."""
+
+    def one(rows) -> list[dict]:
+        if not rows or not rows[0]:
             return []
-        m = np.stack([np.asarray(r, float) for r in rows])
-        return sorted((i, j) for i, j in assign(m) if m[i, j] >= threshold)
+        if len(rows) <= len(rows[0]):  # each item's best is another's: nothing to trade
+            first = [r.index(max(r)) for r in rows]
+            if len(set(first)) == len(first):
+                return [{"g": i, "p": j} for i, j in enumerate(first) if rows[i][j] >= least]
+        m = np.array(rows, float)
+        return [{"g": i, "p": j} for i, j in sorted(assign(m)) if m[i, j] >= least]
+
+    def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("g", pa.int32()), ("p", pa.int32())]))
+        for batch in batches:
+            made = pa.array([one(rows) for rows in batch.column(matrix).to_pylist()], kind)
+            yield pa.RecordBatch.from_arrays([*batch.columns, made], names=[*batch.schema.names, out])
 
-    return pd.Series([[{"g": i, "p": j} for i, j in one(r, t)] for r, t in zip(matrix, least)])
+    return df.mapInArrow(paired, T.StructType([*df.schema.fields, T.StructField(out, PAIRS)]))
 
 
 def _as_text(c: Column) -> Column:
     return c.cast("string")
 
 
-def item_similarity(g: Column, p: Column, fields: tuple) -> Column:
-    """How alike two items are for pairing: description first, then amount."""
+def _prepared(items: Column, fields: tuple) -> Column:
+    """What pairing needs of each item, normalised once: struct(text, words, amount)."""
     names = {f[0] for f in fields}
-    if "description" in names:
-        gd, pd_ = g["description"], p["description"]
-        said = F.when(F.coalesce(gd, F.lit("")).eqNullSafe("") | F.coalesce(pd_, F.lit("")).eqNullSafe(""), 0.0).otherwise(F.greatest(M.token_f1(gd, pd_), M.levenshtein_similarity(gd, pd_)))
-    else:
-        said = F.lit(0.0)
-    if "amount" in names:
-        ga, pa_ = g["amount"].cast("double"), p["amount"].cast("double")
-        off = F.abs(ga - pa_) / F.abs(ga)
-        paid = F.when(ga.isNull() & pa_.isNull(), 1.0).when(ga.isNull() | pa_.isNull(), 0.0).when(F.abs(ga - pa_) <= 0.02, 1.0).when((ga != 0) & (off < 0.5), 1.0 - off).otherwise(0.0)
-    else:
-        paid = F.lit(1.0)
+
+    def one(x: Column) -> Column:
+        said = x["description"].cast("string") if "description" in names else F.lit(None).cast("string")
+        text = F.when(F.coalesce(said, F.lit("")) != "", F.coalesce(N.text(said), F.lit("")))
+        return F.struct(text.alias("text"), (x["amount"] if "amount" in names else F.lit(None)).cast("double").alias("amount"))
+
+    words = lambda x: F.struct(x["text"].alias("text"), F.array_distinct(F.filter(F.split(F.coalesce(x["text"], F.lit("")), " "), lambda t: t != "")).alias("words"), x["amount"].alias("amount"))
+    return F.transform(F.transform(items, one), words)
+
+
+def item_similarity(g: Column, p: Column) -> Column:
+    """How alike two prepared items are for pairing: description first, then amount."""
+    size = F.size(g["words"]) + F.size(p["words"])
+    tokens = F.when(size == 0, 1.0).otherwise(2.0 * F.size(F.array_intersect(g["words"], p["words"])) / size)
+    near = F.when(g["text"] == p["text"], 1.0).otherwise(F.greatest(tokens, 1.0 - F.levenshtein(g["text"], p["text"]) / F.greatest(F.length(g["text"]), F.length(p["text"]))))
+    said = F.when(g["text"].isNull() | p["text"].isNull(), 0.0).otherwise(near)
+    off = F.abs(g["amount"] - p["amount"]) / F.abs(g["amount"])
+    paid = F.when(g["amount"].isNull() & p["amount"].isNull(), 1.0).when(g["amount"].isNull() | p["amount"].isNull(), 0.0).when(F.abs(g["amount"] - p["amount"]) <= 0.02, 1.0).when((g["amount"] != 0) & (off < 0.5), 1.0 - off).otherwise(0.0)
     return 0.6 * said + 0.4 * paid
 
 
@@ -126,8 +146,10 @@ def align_items(df: DataFrame, gt: str, pred: str, out: str, fields: tuple = ITE
     """
     ship_package(df.sparkSession)
     g, p = F.coalesce(F.col(gt), F.array().cast(df.schema[gt].dataType)), F.coalesce(F.col(pred), F.array().cast(df.schema[pred].dataType))
-    matrix = F.transform(g, lambda x: F.transform(p, lambda y: item_similarity(x, y, fields)))
-    staged = df.withColumn("_pairs", _optimal_pairs(matrix, F.lit(least)))
+    ready = df.select("*", _prepared(g, fields).alias("_g"), _prepared(p, fields).alias("_p"))
+    matrix = F.transform("_g", lambda x: F.transform("_p", lambda y: item_similarity(x, y)))
+    # Only the numbers go to Python, beside the row's columns.
+    staged = _with_pairs(ready.withColumn("_matrix", matrix).drop("_g", "_p"), "_matrix", "_pairs", least).drop("_matrix")
     n_g, n_p, n = F.size(g), F.size(p), F.size("_pairs")
     scored = F.transform("_pairs", lambda q: F.struct(*(_pair_score(k, F.get(g, q["g"])[f], F.get(p, q["p"])[f]).alias(f) for f, k, _ in fields)))
     staged = staged.withColumn("_scores", scored)

@@ -15,11 +15,11 @@ def metadata_rows(labels: DataFrame) -> DataFrame:
     document without variants is its own clean one."""
     variants = F.col("degradation_variants") if "degradation_variants" in labels.columns else F.lit(None).cast("map<string,string>")
     some = F.when(F.size(variants) > 0, variants).otherwise(F.create_map(F.lit("clean"), F.col("file_name")))
-    exploded = labels.select("*", F.explode(some).alias("degradation", "_variant"))
+    exploded = labels.select("*", F.explode(some).alias("_condition", "_variant"))
     text = lambda c: F.coalesce(F.to_json(c), F.lit("[]")) if c in labels.columns else F.lit("[]")
     size = F.greatest(F.coalesce(F.size("line_items"), F.lit(0)), F.lit(0)) if "line_items" in labels.columns else F.lit(0)
     return exploded.select(
-        F.concat_ws("/", "degradation", "_variant").alias("file_name"), "degradation", F.replace("file_name", F.lit(".png"), F.lit("")).alias("base_id"),
+        F.concat_ws("/", "_condition", "_variant").alias("file_name"), F.col("_condition").alias("degradation"), F.replace("file_name", F.lit(".png"), F.lit("")).alias("base_id"),
         *((F.col(c) if c in labels.columns else F.lit(None).cast("string")).alias(c) for c in CARRIED),
         text("line_items").alias("line_items"), text("taxes").alias("taxes"), (F.col("_template_used") if "_template_used" in labels.columns else F.lit(None).cast("string")).alias("template_used"), size.alias("num_line_items"),
     )

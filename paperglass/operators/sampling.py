@@ -136,8 +136,8 @@ def stratified_split(docs: DataFrame, stratum: str, key: str, validation: float
     counts = hashed.groupBy(stratum, "_b").agg(F.count(F.lit(1)).alias("_n"))
     upto = Window.partitionBy(stratum).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(stratum)
-    starts = counts.select(stratum, "_b", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_start"), F.sum("_n").over(whole).alias("_total"))
-    placed = hashed.join(starts, (hashed[stratum].eqNullSafe(starts[stratum])) & (hashed["_b"] == starts["_b"])).select(hashed[key], hashed[stratum], hashed["_b"], "_h", "_start", "_total")
+    starts = counts.select(F.col(stratum).alias("_s"), F.col("_b").alias("_c"), F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_start"), F.sum("_n").over(whole).alias("_total"))
+    placed = hashed.join(starts, F.col(stratum).eqNullSafe(F.col("_s")) & (F.col("_b") == F.col("_c"))).drop("_s", "_c")
     rank = F.col("_start") + F.row_number().over(Window.partitionBy(stratum, "_b").orderBy("_h", key)) - 1
     n_val, n_test = F.bround(F.col("_total") * validation, 0), F.bround(F.col("_total") * test, 0)
     return placed.withColumn("_rank", rank).select(key, stratum, F.when(F.col("_rank") < n_val, "val").when(F.col("_rank") < n_val + n_test, "test").otherwise("train").alias("split"))

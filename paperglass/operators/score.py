@@ -61,7 +61,7 @@ def field_results(gt: DataFrame, pred: DataFrame, fields: Iterable[Field] | None
 
     names = list(by_name)
     both = _side(gt, key, order, names, "g", value).join(_side(pred, key, order, names, "p", value), key)
-    rows = [F.struct(*described(f), both["g"][f.name].alias("g"), both["p"][f.name].alias("p")) for f in fields]
+    rows = [F.struct(*described(f), both["g"][f.name].alias("_g"), both["p"][f.name].alias("_p")) for f in fields]
     long = both.select(key, F.explode(F.array(*rows)).alias("f")).select(key, "f.*")
     return judged(long).select(key, "field_name", "field_type", "tier", "weight", *RESULT)
 
