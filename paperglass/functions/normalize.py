@@ -24,6 +24,8 @@ CURRENCY_NAMES = {
 }
 FLOAT = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
+#: White space in the sense of Unicode, the space itself last.
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000 "
 # End of fixed values.
 
 
@@ -50,7 +52,12 @@ def let(value: Column, body) -> Column:
 
 
 def stripped(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(SPACES))
+
+
+def single_spaced(c: Column) -> Column:
+    """Any run of white space as one space."""
+    return F.regexp_replace(F.translate(c, SPACES[:-1], " " * (len(SPACES) - 1)), " {2,}", " ")
 
 
 def is_null(c: Column, kind: str = "string") -> Column:
@@ -65,7 +72,7 @@ def is_null(c: Column, kind: str = "string") -> Column:
 
 def text(c: Column) -> Column:
     """Lower case, single spaces, no punctuation at the ends; null if nothing is left."""
-    inner = F.regexp_replace(F.lower(stripped(c)), r"(?U)\s+", " ")
+    inner = single_spaced(F.lower(stripped(c)))
     return F.nullif(F.btrim(inner, F.lit(".,;:!? ")), F.lit(""))
 
 
@@ -174,7 +181,7 @@ def currency(c: Column) -> Column:
 
 def flat_text(c: Column) -> Column:
     """The flat scorer's form: spaces are collapsed before punctuation goes."""
-    return F.regexp_replace(F.regexp_replace(F.lower(stripped(F.coalesce(c, F.lit("")))), r"(?U)\s+", " "), r"(?U)[^\w\s]", "")
+    return F.regexp_replace(single_spaced(F.lower(stripped(F.coalesce(c, F.lit(""))))), r"(?U)[^\w\s]", "")
 
 
 def flat_date(c: Column) -> Column:

@@ -43,7 +43,10 @@ def exact_match(a: Column, b: Column) -> Column:
 
 def token_scores_of(gt: Column, pred: Column) -> Column:
     """struct(precision, recall, f1) of two token arrays, taken as sets."""
-    g, p = F.array_distinct(gt), F.array_distinct(pred)
+    return N.let(F.array_distinct(gt), lambda g: N.let(F.array_distinct(pred), lambda p: _set_scores(g, p)))
+
+
+def _set_scores(g: Column, p: Column) -> Column:
     both = F.size(F.array_intersect(g, p)).cast("double")
     none, one = (F.size(g) == 0) & (F.size(p) == 0), (F.size(g) == 0) | (F.size(p) == 0)
     value = lambda x: F.when(none, 1.0).when(one, 0.0).otherwise(x)
@@ -53,7 +56,7 @@ def token_scores_of(gt: Column, pred: Column) -> Column:
 
 
 def token_f1(gt: Column, pred: Column) -> Column:
-    return N.let(N.tokens(gt), lambda g: N.let(N.tokens(pred), lambda p: token_scores_of(g, p)["f1"]))
+    return token_scores_of(N.tokens(gt), N.tokens(pred))["f1"]
 
 
 def numeric_exact(a: Column, b: Column, tolerance: float = 0.01) -> Column:
