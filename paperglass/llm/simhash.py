@@ -144,106 +144,189 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     return prints.join(groups, "fp").select(id_col, "fp", "component")
 
 
-def wide_fingerprint(text: bytes, shingle_words: int) -> np.ndarray:
-    """256 bits (four words) voted by the same shingle hashes, mixed anew for
-    each further word; equal in use to ``fingerprint`` but fine enough to
-    measure similarities."""
+_BANDS, _BAND_HASHES = 32, 4
+_SPREAD = np.random.default_rng(7).integers(0, 1 << 63, (2, _BANDS * _BAND_HASHES), dtype=np.uint64) | np.uint64(1)
+#: Candidates are pairs whose estimated similarity is at most this much below
+#: the threshold: 3.7 standard deviations of 128 hashes at 0.8.
+_SLACK = 0.13
+
+
+def shingle_set(text: bytes, shingle_words: int) -> np.ndarray:
+    """The distinct shingle hashes of one text, ascending; a shorter text is one
+    shingle, one without words has none."""
     words = text.translate(LOWER_AZ).split()
     if not words:
-        return np.zeros(4, np.uint64)
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     n = max(len(words) - shingle_words + 1, 1)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
     starts = np.concatenate(([0], ends[: n - 1])).tolist()
     stops = (ends[min(shingle_words, len(words)) - 1 :] - 1).tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[s:e], _SEED) for s, e in zip(starts, stops, strict=True)], dtype="<u8")
-    votes = np.zeros(256, np.int64)
-    for at in range(0, n, _MOST_HASHES):
-        part = hashes[at : at + _MOST_HASHES]
-        wide = np.stack([mix(part + np.uint64(0x9E3779B97F4A7C15 * k % (1 << 64))) for k in range(4)], axis=1)
-        votes += np.unpackbits(wide.view(np.uint8).reshape(len(part), 32), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * votes > n, bitorder="little").view("<u8")
+    return np.unique(np.array([digest(joined[s:e], _SEED) for s, e in zip(starts, stops, strict=True)], np.uint64))
+
+
+def min_hashes(hashes: np.ndarray) -> np.ndarray:
+    """The least value of the set under each of 128 hash functions."""
+    least = np.full(_SPREAD.shape[1], ~np.uint64(0))
+    for at in range(0, len(hashes), 2048):
+        part = hashes[at : at + 2048]
+        part = part ^ (part >> np.uint64(32))
+        np.minimum(least, (part[:, None] * _SPREAD[0] + _SPREAD[1]).min(axis=0), out=least)
+    return least
 
 
-def bits_for(similarity: float) -> int:
-    """Differing bits of 256 expected of two texts of that Jaccard similarity of
-    shingles: the angle between sets of like size whose cosine is 2J / (1 + J)."""
-    return int(256 * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+def band_keys(least: np.ndarray) -> np.ndarray:
+    """One key for each band of the min-hashes."""
+    keys = np.arange(_BANDS, dtype=np.uint64)
+    for column in least.reshape(_BANDS, _BAND_HASHES).T:
+        keys = mix(keys * np.uint64(0x9E3779B97F4A7C15) + column)
+    return keys
 
 
-_WIDE_SEGMENTS = 16
+def _with_set(pairs: DataFrame, sets: DataFrame, key: str) -> DataFrame:
+    """pairs with the shingle set of the node in key; a node of many pairs is
+    dealt in several parts."""
+    busy = F.broadcast(pairs.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / 256).cast("long").alias("parts")).where("parts > 1"))
+    parts = F.coalesce(F.col("parts"), F.lit(1))
+    other = "b" if key == "a" else "a"
+    dealt = pairs.join(busy, key, "left").withColumn("part", F.pmod(F.xxhash64(other), parts)).drop("parts")
+    held = sets.join(busy.withColumnRenamed(key, "node"), "node", "left").select(F.col("node").alias(key), F.explode(F.sequence(F.lit(0).cast("long"), (parts - 1).cast("long"))).alias("part"), F.col("hashes").alias(f"set_{key}"))
+    return dealt.join(held, [key, "part"]).drop("part")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): links that span the components of the pairs whose sets have that
+    Jaccard similarity or more, compared exactly."""
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for batch in batches:
+            left, right = ([np.frombuffer(x, np.uint64) for x in batch.column(k).to_pylist()] for k in (2, 3))
+            both = np.fromiter((len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(left, right)), np.int64, batch.num_rows)
+            total = np.fromiter((len(x) + len(y) for x, y in zip(left, right)), np.int64, batch.num_rows)
+            near = both / np.maximum(total - both, 1) >= similarity
+            a.append(batch.column(0).to_numpy()[near])
+            b.append(batch.column(1).to_numpy()[near])
+        member, root = _least_members(np.concatenate(a), np.concatenate(b))
+        yield pa.RecordBatch.from_arrays([pa.array(root), pa.array(member)], names=["a", "b"])
+
+    held = _with_set(_with_set(pairs, sets, "a"), sets, "b").select("a", "b", "set_a", "set_b")
+    return checkpointed(held.mapInArrow(compared, "a long, b long").distinct())
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(id, component): rows with an id, and the smallest id of the group of
     texts that similarity links.
 
-    Multi-index hashing over 256 bits: 16 segments of 16 bits, balls of radius
-    one in each.  Two segments within one bit agree in their upper or their lower
-    byte, so a text is filed under both bytes of each segment and the ball is
-    enumerated inside the entry, over the other byte.  Texts of the given
-    similarity share a segment up to one bit with probability above 0.99; the
-    complete distance then decides.
+    A link is decided by the exact Jaccard similarity of two sets of shingle
+    hashes.  Candidates share one of 32 bands of four min-hashes (a pair at 0.8
+    misses all with probability 5e-8) and have an estimated similarity, from 128
+    bytes of min-hashes, close to the threshold or above.  Two passes keep large
+    groups from being paired with themselves: the first compares a spanning
+    forest of the candidates of each band, the second all candidates that the
+    first left in different components, so no link is missed for the forest's
+    sake.
     """
-    most_bits = bits_for(similarity)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_buffers(batch.column(1))
             whole, cuts = data.tobytes(), offsets.tolist()
-            got = [wide_fingerprint(whole[a:b], shingle_words).tobytes() for a, b in zip(cuts, cuts[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.binary())], names=["id", "fp"])
-
-    prints = checkpointed(docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), text_col).mapInArrow(hashed, "id long, fp binary"))
-    distinct = checkpointed(prints.groupBy("fp").agg(F.min("id").alias("node")))
+            node, n, bands, sketch = [], [], [], []
+            for x, y in zip(cuts, cuts[1:]):
+                one = shingle_set(whole[x:y], shingle_words)
+                least = min_hashes(one)
+                node.append(xxhash.xxh64_intdigest(one.tobytes(), _SEED))
+                n.append(len(one))
+                bands.append(band_keys(least).tobytes() if len(one) else b"")
+                sketch.append(least.astype(np.uint8).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(n, pa.int64()), pa.array(bands, pa.binary()), pa.array(sketch, pa.binary())], names=["id", "node", "n", "bands", "sketch"])
+
+    known = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    prints = checkpointed(known.mapInArrow(hashed, "id long, node long, n long, bands binary, sketch binary"))
+    distinct = checkpointed(prints.groupBy("node").agg(F.min("id").alias("least_id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
+    shards = shards_for(distinct.count() * _BANDS, 100_000, 8)
 
     def filed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node = batch.column(1).to_numpy()
-            raw = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(len(node), 32)
-            place = np.arange(2 * _WIDE_SEGMENTS)
-            entry = raw.astype(np.int64) + place * 256
-            yield pa.RecordBatch.from_arrays([pa.array(entry.ravel()), pa.array(np.repeat(node, 32)), batch.column(0).take(pa.array(np.repeat(np.arange(len(node)), 32)))], names=["entry", "node", "fp"])
+            keys = [np.frombuffer(x, np.int64) for x in batch.column(3).to_pylist()]
+            row = pa.array(np.repeat(np.arange(batch.num_rows), [len(k) for k in keys]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *keys])), *(batch.column(k).take(row) for k in (0, 1, 2, 4))], names=["key", "node", "root", "n", "sketch"])
+
+    def candidates(nodes: DataFrame, spanning: bool) -> DataFrame:
+        """(a, b) of rows (node, root, n, bands, sketch), a < b, each once."""
+
+        def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = [(*(x.column(k).to_numpy() for k in range(4)), np.frombuffer(b"".join(x.column(4).to_pylist()), np.uint8).reshape(-1, _SPREAD.shape[1])) for x in batches]
+            if not held:
+                return
+            key, node, root, n, sketch = (np.concatenate([h[k] for h in held]) for k in range(5))
+            order = np.lexsort((node, key))
+            key, node, root, n, sketch = key[order], node[order], root[order], n[order], sketch[order]
+
+            def near(one: int, some: np.ndarray) -> np.ndarray:
+                some = some[np.minimum(n[some], n[one]) / np.maximum(n[some], n[one]) >= similarity]
+                return some[(sketch[some] == sketch[one]).mean(axis=1) >= similarity - _SLACK]
+
+            first, length = run_lengths(key)
+            a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for s, m in zip(first[length > 1].tolist(), length[length > 1].tolist()):
+                for at, found in (_forest if spanning else _across)(np.arange(s, s + m), root, near):
+                    a.append(np.full(len(found), node[at]))
+                    b.append(node[found])
+            a, b = np.concatenate(a), np.concatenate(b)
+            once = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(once[0]), pa.array(once[1])], names=["a", "b"])
+
+        rows = nodes.select("node", "root", "n", "bands", "sketch").mapInArrow(filed, "key long, node long, root long, n long, sketch binary")
+        return checkpointed(rows.repartition(shards, "key").mapInArrow(paired, "a long, b long").distinct())
+
+    forest = candidates(distinct.withColumn("root", F.col("node")), True)
+    touched = forest.select(F.col("a").alias("node")).union(forest.select("b")).distinct()
+    texts = prints.groupBy("node").agg(F.min("id").alias("id")).join(touched, "node")
+
+    def as_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = text_buffers(batch.column(0))
+            whole, cuts = data.tobytes(), offsets.tolist()
+            got = [shingle_set(whole[x:y], shingle_words).tobytes() for x, y in zip(cuts, cuts[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(np.array([xxhash.xxh64_intdigest(x, _SEED) for x in got], np.uint64).view(np.int64)), pa.array(got, pa.binary())], names=["node", "hashes"])
+
+    # A repeated id may stand for several texts: the set itself tells its node.
+    sets = known.join(texts.select("id").distinct(), "id", "left_semi").select("text").mapInArrow(as_sets, "node long, hashes binary")
+    sets = checkpointed(sets.join(touched, "node", "left_semi").groupBy("node").agg(F.first("hashes").alias("hashes")))
+    links = _verified(forest, sets, similarity)
+    parts = connected_components(links)
+    named = distinct.join(touched, "node", "left_semi").join(parts, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    more = _verified(candidates(named, False), sets, similarity)
+    parts = connected_components(links.union(more))
+    named = distinct.join(parts, "node", "left").select("node", "least_id", F.coalesce("root", "node").alias("root"))
+    least = named.groupBy("root").agg(F.min("least_id").alias("component"))
+    return prints.select("id", "node").join(named.join(least, "root").select("node", "component"), "node").select(F.col("id").alias(id_col), "component")
+
+
+def _forest(members: np.ndarray, root: np.ndarray, near) -> Iterator[tuple[int, np.ndarray]]:
+    """Candidates that span the components of one band's candidates."""
+    left = members
+    while len(left) > 1:
+        frontier, left = [int(left[0])], left[1:]
+        while frontier and len(left):
+            at = frontier.pop()
+            found = near(at, left)
+            if len(found):
+                left = np.setdiff1d(left, found, assume_unique=True)
+                frontier.extend(found.tolist())
+                yield at, found
 
-    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [(b.column(0).to_numpy(), b.column(1).to_numpy(), np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint8).reshape(-1, 32)) for b in batches]
-        if not held:
-            return
-        entry, node, raw = (np.concatenate([h[k] for h in held]) for k in range(3))
-        other = raw[np.arange(len(entry)), (entry // 256) ^ 1].astype(np.int64)  # the segment's other byte
-        cell = entry * 256 + other
-        order = np.argsort(cell, kind="stable")
-        entry, node, cell, wide = entry[order], node[order], cell[order], np.ascontiguousarray(raw[order]).view(np.uint64)
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        first, length = run_lengths(entry)
-        _, many = run_lengths(cell)
-        crowded = np.repeat(many, many) > 16
-        dense = np.logical_or.reduceat(crowded, first) if len(first) else crowded
-        for s, n in zip(first[dense].tolist(), length[dense].tolist()):
-            for at, found in _wide_neighbours(wide[s : s + n], most_bits):
-                a.append(np.full(len(found), node[s + at]))
-                b.append(node[s + found])
-        own = np.flatnonzero(~np.repeat(dense, length))
-        for flip in (0, *(1 << k for k in range(8))):
-            mine = own if not flip else own[(cell[own] & flip) == 0]
-            low = np.searchsorted(cell, cell[mine] | flip, "left") if flip else mine + 1
-            high = np.searchsorted(cell, cell[mine] | flip, "right")
-            for at in range(0, len(mine), 50_000):
-                n = np.maximum(high[at : at + 50_000] - low[at : at + 50_000], 0)
-                x = np.repeat(mine[at : at + 50_000], n)
-                y = np.arange(int(n.sum())) + np.repeat(low[at : at + 50_000] - (np.cumsum(n) - n), n)
-                near = np.bitwise_count(wide[x] ^ wide[y]).sum(axis=1, dtype=np.int64) <= most_bits
-                a.append(node[x[near]])
-                b.append(node[y[near]])
-        member, root = _least_members(np.concatenate(a), np.concatenate(b))
-        yield pa.RecordBatch.from_arrays([pa.array(root), pa.array(member)], names=["a", "b"])
 
-    n = shards_for(distinct.count() * 32, 200_000, 8)
-    edges = distinct.mapInArrow(filed, "entry long, node long, fp binary").repartition(n, "entry").mapInArrow(linked, "a long, b long").distinct()
-    parts = connected_components(edges)
-    groups = distinct.join(parts, "node", "left").select("fp", F.coalesce("root", "node").alias("component"))
-    return prints.join(groups, "fp").select(F.col("id").alias(id_col), "component")
+def _across(members: np.ndarray, root: np.ndarray, near) -> Iterator[tuple[int, np.ndarray]]:
+    """All candidates of one band whose components differ."""
+    _, label, count = np.unique(root[members], return_inverse=True, return_counts=True)
+    for at in members[label != count.argmax()].tolist():
+        found = near(at, members[root[members] != root[at]])
+        if len(found):
+            yield at, found
 
 
 def _least_members(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -265,20 +348,6 @@ def _least_members(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return nodes[away], nodes[label[away]]
 
 
-def _wide_neighbours(wide: np.ndarray, most_bits: int) -> Iterator[tuple[int, np.ndarray]]:
-    left = np.arange(len(wide))
-    while len(left) > 1:
-        frontier, left = [left[0]], left[1:]
-        while frontier and len(left):
-            at = frontier.pop()
-            near = np.bitwise_count(wide[left] ^ wide[at]).sum(axis=1, dtype=np.int64) <= most_bits
-            if near.any():
-                found = left[near]
-                left = left[~near]
-                frontier.extend(found.tolist())
-                yield int(at), found
-
-
 def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of docs without those similar to a document of smaller id, all
     columns unchanged.

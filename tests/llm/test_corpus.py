@@ -109,6 +109,24 @@ def test_similarity_groups(spark):
     assert {r["doc_id"] for r in simhash.one_of_each_group(table(spark, rows)).collect()} == {0, 2, 3, None}
 
 
+def test_similarity_groups_are_exact(spark):
+    random.seed(12)
+    rows = []
+    for k in range(60):
+        base = ["p%d_%d" % (k, i) for i in range(random.choice([20, 120, 404]))]
+        rows.append(" ".join(base))
+        for similarity in (0.75, 0.78, 0.8, 0.82, 0.85, 0.9):
+            # A new end of t words changes t of the n shingles: J = (n - t) / (n + t).
+            n = len(base) - 4
+            t = round(n * (1 - similarity) / (1 + similarity))
+            rows.append(" ".join(base[: len(base) - t] + ["q%d_%d_%f" % (k, i, similarity) for i in range(t)]))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(words, rows)]
+    expected = roots(sets, lambda a, b: len(a & b) >= 0.8 * len(a | b))
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["component"] for r in simhash.similar_groups(docs).collect()}
+    assert [got[k] for k in range(len(rows))] == expected
+
+
 def test_least_members():
     random.seed(11)
     for _ in range(50):
