@@ -39,7 +39,7 @@ _PATTERN = {
     "access": r"AKIA[A-Z0-9]{14,}",
     "hex": r"[0-9a-f]{16,}",
     "ident": rf"""(?i:access_?key_?id|client_?id|account_?id|user_?name|login)["']?\x20*[:=]\x20*["']?{_VALUE}{{4,}}""",
-    "secret": r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]{0,80}[0-9])(?=[a-z0-9+/_-]{0,80}[A-Z])(?=[A-Z0-9+/_-]{0,80}[a-z])[A-Za-z0-9+/_-]{32,80}={0,2}(?![A-Za-z0-9+/_=-])",
+    "secret": r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[a-z0-9+/_-]*+[A-Z])(?=[A-Z0-9+/_-]*+[a-z])[A-Za-z0-9+/_-]{32,}+={0,2}(?![A-Za-z0-9+/_=-])",
     "endpoint": r"""(?i:https?|ftp|postgres(?:ql)?|mysql|mongodb|redis|amqp|s3)://[A-Za-z0-9._~:/?#@!$&*+,;=%-]{4,}""",
 }
 
@@ -88,7 +88,10 @@ def linked_parts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     kind = {k: F.col("kind") == i for i, k in enumerate(KINDS)}
     base = F.col("kind") < 3
     groups = {"base": base, "ident": kind["access"] | kind["ident"], "secret": kind["assign"] | kind["hex"] | kind["secret"]}
-    parts = credential_parts(docs, id_col, text_col)
+    found = credential_parts(docs, id_col, text_col)
+    # A token that is the value of a labelled identifier is no complement of it.
+    value = kind["secret"] & (F.max(F.when(kind["ident"], F.col("end"))).over(before) > F.col("start"))
+    parts = found.withColumn("value", F.coalesce(value, F.lit(False))).where(~F.col("value"))
     swept = parts.select("*", *(x for name, is_one in groups.items() for x in (F.max(F.when(is_one, F.col("end"))).over(before).alias(f"{name}_before"), F.min(F.when(is_one, F.col("start"))).over(after).alias(f"{name}_after"))))
 
     def near(name: str) -> Column:
