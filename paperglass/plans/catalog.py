@@ -506,8 +506,10 @@ def recover_pipeline(spark, sf_dir):
 
 @query()
 def repeated_suffix(spark, sf_dir):
-    docs = X.table(spark, sf_dir, "documents").select("doc_id", F.concat(F.substring("text", 1, 500), F.repeat(F.concat(F.lit(" again "), F.col("doc_id").cast("string")), 1200)).alias("s"))
-    return docs.select("doc_id", F.length("s").cast("long").alias("before"), F.length(R.without_repeated_suffix("s")).cast("long").alias("after"))
+    """Every whole text, as it is and with a repeated tail planted behind it."""
+    docs = X.table(spark, sf_dir, "documents").select("doc_id", "text", F.concat("text", F.repeat(F.concat(F.lit(" again "), F.col("doc_id").cast("string")), 1200)).alias("s"))
+    sizes = [F.length(x).cast("long").alias(name) for name, x in (("before", F.col("s")), ("after", R.without_repeated_suffix("s")), ("text_before", F.col("text")), ("text_after", R.without_repeated_suffix("text")))]
+    return docs.select("doc_id", *sizes)
 
 
 @query(O.BOTH + " SELECT file_name, supplier_name, document_total_amount AS total, 'other' AS document_category, 1 AS n_items, 2.5e0 * 4 AS amount, 'VAT' AS code FROM gt")

@@ -132,3 +132,13 @@ def test_query_matches_sql(spark, sf, name):
 def test_entry(spark, sf):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_repeated_suffix_reads_whole_texts(spark, sf):
+    from paperglass.plans import catalog
+
+    got = catalog.queries()["repeated_suffix"](spark, sf).where("text_before is not null").collect()
+    length = {r["doc_id"]: r["n"] for r in spark.read.parquet(f"{sf}/documents.parquet").selectExpr("doc_id", "length(text) as n").collect()}
+    assert max(length.values()) > 500
+    assert all(r["text_before"] == length[r["doc_id"]] and r["before"] == length[r["doc_id"]] + 1200 * len(f" again {r['doc_id']}") for r in got)
+    assert all(r["text_after"] <= r["text_before"] and r["after"] < r["before"] for r in got)
