@@ -28,7 +28,6 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
-from math import log
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +39,7 @@ from ._shared import checkpointed, shards_for
 
 TABLES = 14
 PROBES = 8
+MORE_TABLES = 6
 BLOCK_ROWS = 4096
 _SALTS = 32
 
@@ -196,9 +196,14 @@ def _entries(vectors: DataFrame, most: int) -> DataFrame:
     return merged(salted).select(F.col("ids")[0].alias("vid"), "ids", "vec")
 
 
-def search(vectors: DataFrame, queries: Column, most: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", tables: int = TABLES, probes: int = PROBES, hashes: int | None = None) -> DataFrame:
+def search(vectors: DataFrame, queries: Column, most: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", tables: int | None = None, probes: int | None = None, hashes: int = 1) -> DataFrame:
     """(query_id, rank, id, score): the most nearest rows found for every row
-    that queries selects, by largest inner product, nearest first."""
+    that queries selects, by largest inner product, nearest first.
+
+    One hash a code, whatever the number of rows.  Each further hash multiplies
+    the probes by PROBES and the tables by MORE_TABLES, which a neighbour needs
+    to be met as often as before.
+    """
     ship_package(vectors.sparkSession)
     known = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec"), queries.alias("asks")).where(F.col("id").isNotNull() & _usable(F.col("vec")))
     lengths = known.groupBy(F.size("vec").alias("d")).agg(F.count(F.lit(1)).alias("n"), F.min(F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x))).alias("least"), F.max(F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x))).alias("longest")).orderBy(F.desc("n"), F.desc("d")).first()
@@ -208,8 +213,8 @@ def search(vectors: DataFrame, queries: Column, most: int = 20, id_col: str = "v
     dimension, rows = lengths["d"], lengths["n"]
     known = known.where(F.size("vec") == dimension)
     longest = None if lengths["longest"] - lengths["least"] <= 1e-4 * lengths["longest"] else lengths["longest"]
-    if hashes is None:  # as many as leave some hundred entries to a code
-        hashes = max(1, int(log(max(rows, 2) / 400) / log(4 * dimension)))
+    tables = TABLES * MORE_TABLES ** (hashes - 1) if tables is None else tables
+    probes = PROBES**hashes if probes is None else probes
     family = CrossPolytope(dimension, tables, hashes, longest)
     deep = most + 1  # a query's own row is among its entries
     entries = checkpointed(_entries(known.select("id", "vec"), deep))

@@ -335,6 +335,17 @@ def test_nearest(spark):
     assert ann.search(df.where("false"), F.col("vec_id") == 0).count() == 0
 
 
+def test_nearest_with_two_hashes(spark):
+    x = np.random.default_rng(5).normal(size=(2000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    score = x @ x.T
+    np.fill_diagonal(score, -2)
+    got = ann.search(df, F.col("vec_id") % 100 == 0, 10, hashes=2).collect()
+    hits = sum(r["vec_id"] in set(np.argsort(-score[r["query_id"]])[:10]) for r in got)
+    assert hits >= 0.9 * 20 * 10
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline
 
