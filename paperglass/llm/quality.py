@@ -7,8 +7,10 @@ lines.  A document is judged alone, so the operator is one map over the rows:
 no shuffle, no state, memory bounded by a block of text.
 
 Defined results: a null or empty text has no words and zero counts, and fails
-the base rule; repeated rows get equal answers; a very long text is its own
-block; an empty table gives an empty table.
+the base rule, also where a whole batch is such texts; repeated rows get equal
+answers; a null id is returned as it is; a very long text is its own block;
+extra columns are ignored, or carried by ``keep_good`` whatever their names; an
+empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from ._shared import documents
-from ._text import Block, PrefixHash, blocks, counts_of_equal, mix
+from ._text import Block, PrefixHash, blocks, counts_of_equal, mix, symbol_ranges
 
 _SYMBOL = np.zeros(256, dtype=bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -40,19 +42,19 @@ class RepetitionRules:
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def _repeated_words(key: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
-    """Flags of words inside an n-word window found twice or more in its document."""
-    covered = np.zeros(len(key), bool)
-    windows = len(key) - n + 1
+def _repeated_words(rolling: PrefixHash, doc: np.ndarray, n: int) -> np.ndarray:
+    """Flags of words inside an n-word window found twice or more in its document.
+
+    rolling holds the running hash of the words, which any window length shares:
+    the hash of a window is one difference, whatever its length.
+    """
+    windows = len(doc) - n + 1
     if windows < 1:
-        return covered
-    rolled = np.zeros(windows, np.uint64)
-    for k in range(n):
-        rolled = rolled * np.uint64(0xC2B2AE3D27D4EB4F) + key[k : k + windows]
+        return np.zeros(len(doc), bool)
     whole = np.flatnonzero(doc[:windows] == doc[n - 1 :])
-    own = mix(rolled[whole]) + doc[whole].astype(np.uint64) * np.uint64(0x9FB21C651E98DF25)
+    own = rolling.of(whole, whole + n) + doc[whole].astype(np.uint64) * np.uint64(0x9FB21C651E98DF25)
     twice = whole[counts_of_equal(mix(own)) > 1]
-    step = np.zeros(len(key) + 1, np.int32)
+    step = np.zeros(len(doc) + 1, np.int32)
     np.add.at(step, twice, 1)
     np.add.at(step, twice + n, -1)
     return np.cumsum(step[:-1]) > 0
@@ -77,7 +79,7 @@ def _measure(block: Block, rules: RepetitionRules) -> dict[str, np.ndarray]:
     edge[block.offsets[:-1]] = True
     edge[len(data)] = False
     first = np.flatnonzero(edge)
-    last = np.append(first[1:], len(data))
+    last = np.append(first, len(data))[1:]
     in_doc = np.searchsorted(block.offsets, first, "right") - 1
     last = last - ((last > first) & (data[np.maximum(last - 1, 0)] == 0x0A)) if len(data) else last
     words_before = np.searchsorted(start, np.stack([first, last]))
@@ -93,10 +95,11 @@ def _measure(block: Block, rules: RepetitionRules) -> dict[str, np.ndarray]:
     out["n_dup_lines"] = np.bincount(in_doc[real[again]], minlength=n).astype(np.int64)
     out["dup_line_chars"] = total(line_chars[real[again]], in_doc[real[again]])
 
-    repeated = _repeated_words(key, doc, 3)
+    rolling = symbol_ranges(key)
+    repeated = _repeated_words(rolling, doc, 3)
     out["n_repeat_words"] = np.bincount(doc[repeated], minlength=n).astype(np.int64)
     for length in rules.most_ngram_share:
-        repeated = _repeated_words(key, doc, length)
+        repeated = _repeated_words(rolling, doc, length)
         out[f"dup_{length}gram_chars"] = total(chars[repeated], doc[repeated])
 
     size = np.maximum(out["word_chars"], 1)
