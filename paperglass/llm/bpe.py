@@ -1,70 +1,108 @@
 """Operator 8, byte-level BPE encoding and decoding by monoid tree reduction.
 
 Encodings of neighbouring texts form a monoid: the encoding of a concatenation
-is the left tokens without a few at their end, the encoding of a window around
-the boundary, and the right tokens without a few at their start.  A long text is
-halved recursively; leaves go to the merge routine of the tokenizer library, and
-neighbours are joined by re-encoding a window that grows on both sides until the
-tokens outside provably cannot change.  Two proofs are used:
-
-* between pieces: a space between two ASCII letters always begins a new match
-  of the splitting pattern, whatever surrounds it, and matching restarts there.
-  A window from such a place in the left text to such a place in the right one
-  re-encodes exactly the matches that the cut could have disturbed;
-* inside one piece (a match longer than a leaf): a token sequence is the
-  encoding of its bytes if and only if each two neighbours encode, taken
-  together, to just themselves.  The window grows until that holds at both of
-  its edges.
-
-Decoding concatenates the tokens' bytes up the same kind of tree.
+is the left part without a few elements at its end, the encoding of a window
+around the boundary, and the right part without a few at its start.  Both levels
+of the encoding are reduced that way, halves first, neighbours joined by
+re-encoding a window that grows until what is outside provably cannot change:
+
+* a text as a sequence of pieces (matches of the splitting pattern).  A match is
+  settled on its left side if it holds a character that is no space and the text
+  goes on for some characters behind it: the pattern looks no further.  The
+  window runs from the last settled match of the left half into the right half,
+  to a place where a match of the window and one of the right half begin
+  together; matching depends only on what follows, so the rest stays;
+* a piece as a sequence of tokens.  A token sequence is the encoding of its bytes
+  if and only if each two neighbours encode, taken together, to just themselves;
+  the window grows until that holds at both of its edges.
+
+Short pieces are remembered in a table of bounded size.  Decoding concatenates the tokens' bytes
+up the same kind of tree.
 
 Rows are independent: one map, no shuffle.  Defined results: null text is an
-empty text (no tokens); repeated rows get equal answers; extra columns are
-ignored.
+empty text (no tokens); null ids are returned as they are; repeated rows get
+equal answers; very long texts and pieces cost n log n; extra columns are
+ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import re
+import heapq
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import regex
-import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 
 from ._shared import documents
 
-LEAF_CHARS = 1 << 13
-LEAF_BYTES = 1 << 9  # of a piece
-_SAFE = re.compile(r"(?<=[A-Za-z]) (?=[A-Za-z])")
+LEAF_CHARS = 1 << 10
+LEAF_BYTES = 1 << 7  # of a piece
+#: What the splitting pattern may look at behind a match, with one to spare.
+_LOOKS_AHEAD = 3
+_REMEMBERED = 1 << 18
 
 
 class TreeEncoder:
-    """Encodes and decodes by the ranks in a file; see the module's text."""
+    """Encodes and decodes by the ranks in a file; see the module's text.
+
+    The pattern's matches must cover the text, look behind nothing, and ahead at
+    most _LOOKS_AHEAD characters beyond a run of spaces.
+    """
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
-        self.library = tiktoken.Encoding("tree", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.pattern = regex.compile(pattern)
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.pair_ok = lru_cache(1 << 16)(self._pair_ok)
+        self.known: dict[str, tuple[int, ...]] = {}
 
     # pieces -----------------------------------------------------------------
 
     def _merge(self, piece: bytes) -> list[int]:
         """The encoding of a short piece: lowest rank first, leftmost first."""
-        parts = [piece[k : k + 1] for k in range(len(piece))]
-        while len(parts) > 1:
-            best, at = min(((self.ranks.get(a + b, 1 << 60), k) for k, (a, b) in enumerate(zip(parts, parts[1:]))), default=(1 << 60, 0))
-            if best == 1 << 60:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return [self.ranks[p] for p in parts]
+        if len(piece) > 2 * LEAF_BYTES:
+            return self._merge_by_heap(piece)
+        get, none = self.ranks.get, 1 << 60
+        part = [piece[k : k + 1] for k in range(len(piece))]
+        rank = [get(piece[k : k + 2], none) for k in range(len(piece) - 1)]
+        while rank and (least := min(rank)) < none:
+            k = rank.index(least)
+            part[k : k + 2] = [part[k] + part[k + 1]]
+            del rank[k]
+            if k < len(rank):
+                rank[k] = get(part[k] + part[k + 1], none)
+            if k:
+                rank[k - 1] = get(part[k - 1] + part[k], none)
+        return [self.ranks[p] for p in part]
+
+    def _merge_by_heap(self, piece: bytes) -> list[int]:
+        """The same for a window of any size: n log n."""
+        ranks, n = self.ranks, len(piece)
+        part = [piece[k : k + 1] for k in range(n)]
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(r, k, part[k] + part[k + 1]) for k in range(n - 1) if (r := ranks.get(part[k] + part[k + 1])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            _, k, both = heapq.heappop(heap)
+            j = after[k]
+            if part[k] is None or j >= n or len(part[k]) + len(part[j]) != len(both) or part[k] + part[j] != both:
+                continue  # one side was merged since
+            part[k], part[j] = both, None
+            after[k] = j = after[j]
+            if j < n:
+                before[j] = k
+                if (r := ranks.get(both + part[j])) is not None:
+                    heapq.heappush(heap, (r, k, both + part[j]))
+            i = before[k]
+            if i >= 0 and (r := ranks.get(part[i] + both)) is not None:
+                heapq.heappush(heap, (r, i, part[i] + both))
+        return [ranks[p] for p in part if p is not None]
 
     def _pair_ok(self, a: int, b: int) -> bool:
         return self._merge(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
@@ -75,64 +113,72 @@ class TreeEncoder:
             return [self.ranks[piece]]
         if len(piece) <= LEAF_BYTES:
             return self._merge(piece)
-        half = len(piece) // 2
-        return self._join_pieces(self.encode_piece(piece[:half]), self.encode_piece(piece[half:]))
+        half = 1 << (len(piece) - 1).bit_length() - 1  # runs of one symbol merge by powers of two
+        return self._join_tokens(self.encode_piece(piece[:half]), self.encode_piece(piece[half:]))
 
-    def _join_pieces(self, left: list[int], right: list[int]) -> list[int]:
-        if self.pair_ok(left[-1], right[0]):
-            return left + right
-        reach = 2
+    def _join_tokens(self, left: list[int], right: list[int]) -> list[int]:
+        reach = 1
         while True:
             i, j = min(reach, len(left)), min(reach, len(right))
             inner = self._merge(b"".join(map(self.bytes_of.__getitem__, left[len(left) - i :] + right[:j])))
             if (i == len(left) or self.pair_ok(left[-i - 1], inner[0])) and (j == len(right) or self.pair_ok(inner[-1], right[j])):
-                return left[: len(left) - i] + inner + right[j:]
+                left[len(left) - i :] = inner
+                left += right[j:]
+                return left
             reach *= 2
 
-    # texts ------------------------------------------------------------------
+    def _tokens(self, piece: str) -> tuple[int, ...]:
+        got = self.known.get(piece)
+        if got is None:
+            got = tuple(self.encode_piece(piece.encode()))
+            if len(piece) <= 64:
+                if len(self.known) >= _REMEMBERED:
+                    self.known.clear()
+                self.known[piece] = got
+        return got
 
-    def _leaf(self, text: str) -> list[int]:
-        if len(text) <= 4 * LEAF_BYTES or max(map(len, re.split(r"[ \n]", text))) <= LEAF_BYTES:
-            return self.library.encode_ordinary(text)
-        out: list[int] = []
-        for match in self.pattern.finditer(text):
-            piece = match[0].encode()
-            out += self.encode_piece(piece) if len(piece) > LEAF_BYTES else self.library.encode_ordinary(match[0])
-        return out
+    # texts ------------------------------------------------------------------
 
-    def encode(self, text: str) -> np.ndarray:
-        """The ids of a whole text."""
+    def split(self, text: str) -> list[str]:
+        """The pieces of a whole text, halved down to LEAF_CHARS."""
         if len(text) <= LEAF_CHARS:
-            return np.array(self._leaf(text), dtype="<u4")
+            return self.pattern.findall(text)
         half = len(text) // 2
-        left, right = text[:half], text[half:]
-        return self._join(left, self.encode(left), right, self.encode(right))
-
-    def _join(self, left: str, left_ids: np.ndarray, right: str, right_ids: np.ndarray) -> np.ndarray:
-        reach = 64
+        return self._join_pieces(self.split(text[:half]), self.split(text[half:]))
+
+    def _join_pieces(self, left: list[str], right: list[str]) -> list[str]:
+        kept, behind = len(left), 0
+        while kept and not (behind >= _LOOKS_AHEAD and not left[kept - 1].isspace()):
+            kept -= 1
+            behind += len(left[kept])
+        open_, reach = "".join(left[kept:]), 4
         while True:
-            i, j = min(reach, len(left)), min(reach, len(right))
-            before = [m.start() for m in _SAFE.finditer(left, len(left) - i)]
-            after = _SAFE.search(right, 0, j)
-            if (before or i == len(left)) and (after or j == len(right)):
-                break
-            reach *= 2
-        cut = before[-1] if before else 0
-        stop = after.start() if after else len(right)
-        kept = self._drop(left_ids, len(left[cut:].encode()), -1)
-        rest = self._drop(right_ids, len(right[:stop].encode()), 1)
-        window = left[cut:] + right[:stop]
-        return np.concatenate([kept, np.array(self._leaf(window), dtype="<u4"), rest])
-
-    def _drop(self, ids: np.ndarray, size: int, side: int) -> np.ndarray:
-        """ids without the tokens of its first (side 1) or last (-1) size bytes."""
-        n = 0
-        while size > 0:
-            size -= len(self.bytes_of[int(ids[n] if side > 0 else ids[-1 - n])])
-            n += 1
-        if size:
-            raise AssertionError("a safe place inside a token")
-        return ids[n:] if side > 0 else ids[: len(ids) - n]
+            j = min(reach, len(right))
+            window = open_ + "".join(right[:j])
+            limit = len(window) if j == len(right) else len(window) - _LOOKS_AHEAD
+            starts, at = {}, len(open_)  # where the pieces of the right half begin in the window
+            for k in range(j):
+                starts[at] = k
+                at += len(right[k])
+            if j == len(right):
+                starts[at] = j
+            pieces, at, settled = [], 0, True
+            for piece in self.pattern.findall(window):
+                if settled and at in starts:
+                    break
+                pieces.append(piece)
+                at += len(piece)
+                settled = at <= limit and (j == len(right) or not piece.isspace())
+            if at in starts and settled:
+                del left[kept:]
+                left += pieces
+                left += right[starts[at] :]
+                return left
+            reach *= 4
+
+    def encode(self, text: str) -> np.ndarray:
+        """The ids of a whole text."""
+        return np.fromiter(chain.from_iterable(map(self._tokens, self.split(text))), dtype="<u4")
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The bytes of ids: halves decoded and concatenated up the tree."""

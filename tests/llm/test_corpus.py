@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 from dataclasses import replace
@@ -298,21 +299,43 @@ def test_kneser_ney(spark):
     assert lm.score_texts(docs, empty).where(F.isnan("score") | F.col("score").isNull()).count() == 0
 
 
+def _library(tree):
+    import tiktoken
+
+    tokenizers = pytest.importorskip("public_tokenizers")
+    return tiktoken.Encoding("plain", pat_str=tokenizers.PATTERN, mergeable_ranks=tree.ranks, special_tokens={})
+
+
 def test_byte_bpe(spark, monkeypatch):
     tokenizers = pytest.importorskip("public_tokenizers")
     path = tokenizers.path("byte_bpe_multi_50k.tiktoken")
     got = {r["doc_id"]: r for r in bpe.encoding_digests(table(spark), path, tokenizers.PATTERN).collect()}
     tree = bpe.encoder(path, tokenizers.PATTERN)
+    library = _library(tree)
     for k, t in enumerate(texts()):
-        ids = tree.library.encode_ordinary(t or "")
+        ids = library.encode_ordinary(t or "")
         assert got[k]["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
         assert got[k]["decoded_sha256"] == hashlib.sha256((t or "").encode()).hexdigest()
-    monkeypatch.setattr(bpe, "LEAF_CHARS", 40)
-    monkeypatch.setattr(bpe, "LEAF_BYTES", 12)
+    assert bpe.encode_documents(table(spark), path, tokenizers.PATTERN).where("doc_id = 5").first()["ids"] == library.encode_ordinary(texts()[5])
+    assert bpe.encoding_digests(table(spark, []), path, tokenizers.PATTERN).count() == 0
     random.seed(8)
-    for _ in range(150):
-        t = "".join(random.choices(["a", "b", " ", "'", "'re", "é", "\n", "  ", "12", "!", "中", " the", "ing"], k=random.randrange(300)))
-        assert tree.encode(t).tolist() == tree.library.encode_ordinary(t) and tree.decode(tree.encode(t)) == t.encode()
+    parts = ["a", "b", " ", "'", "'re", "'l", "l", "é", "\n", "  ", "12", "!", "中", " the", "ing"]
+    for chars, size in ((3, 2), (8, 6), (40, 12)):
+        monkeypatch.setattr(bpe, "LEAF_CHARS", chars)
+        monkeypatch.setattr(bpe, "LEAF_BYTES", size)
+        for _ in range(150):
+            t = "".join(random.choices(parts, k=random.randrange(200)))
+            assert tree.encode(t).tolist() == library.encode_ordinary(t) and tree.decode(tree.encode(t)) == t.encode()
+
+
+def test_byte_bpe_of_long_texts():
+    tokenizers = pytest.importorskip("public_tokenizers")
+    tree = bpe.encoder(tokenizers.path("byte_bpe_multi_50k.tiktoken"), tokenizers.PATTERN)
+    library = _library(tree)
+    begun = time.monotonic()
+    for t in ("a" * 200_000, "ab" * 100_000, "中文" * 50_000, " \n" * 100_000, "'" * 5_000 + "'ll " * 30_000, "x1 " * 300_000):
+        assert tree.encode(t).tolist() == library.encode_ordinary(t)
+    assert time.monotonic() - begun < 60
 
 
 def test_nearest(spark):
