@@ -18,12 +18,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def checkpoint_folder(spark: SparkSession) -> str:
     """The shared folder named in spark.checkpoint.dir.
 
-    Only where the session names none (a test on one machine) is a folder of
-    this machine set.
+    Only in local mode, where driver and executors are one process, may it be
+    unset; then a folder of this machine is set.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext._jsc.sc()
     if context.getCheckpointDir().isEmpty():
+        if not named and not context.isLocal():
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="paperglass-checkpoint-"))
     return context.getCheckpointDir().get()
 
@@ -43,7 +45,7 @@ def shards_for(size: int, per_shard: int, least: int = 1) -> int:
     return max(least, -(-size // per_shard))
 
 
-def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, most_rounds: int = 60, most_degree: int = 1000) -> DataFrame:
     """Components of a graph: (node, root), root being the smallest node.
 
     edges has columns a and b (long, both directions need not be present).
@@ -52,16 +54,22 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     no row set reaches the driver.  Nodes without an edge do not appear.
     """
 
-    def least(pairs: DataFrame) -> DataFrame:
-        return pairs.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+    def with_least(pairs: DataFrame) -> DataFrame:
+        """pairs (u, v) with m, the least of u and all its v; the pairs of a node
+        of high degree are dealt in several parts, which its m is sent to."""
+        of = pairs.groupBy("u").agg(F.min("v").alias("m"), F.ceil(F.count(F.lit(1)) / most_degree).cast("long").alias("parts")).withColumn("m", F.least("u", "m"))
+        hubs = of.where("parts > 1").select("u", "parts")
+        part = F.pmod(F.xxhash64("v"), F.coalesce("parts", F.lit(1)))
+        dealt = pairs.join(hubs, "u", "left").select("u", "v", part.alias("part"))
+        sent = of.select("u", "m", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+        return dealt.join(sent, ["u", "part"])
 
     def large_star(e: DataFrame) -> DataFrame:
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        return both.join(least(both), "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+        return with_least(both).where(F.col("v") > F.col("u")).select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
 
     def small_star(e: DataFrame) -> DataFrame:
-        down = e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        joined = down.join(least(down), "u")
+        joined = with_least(e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))
         return (
             joined.select(F.col("v").alias("a"), F.col("m").alias("b"))
             .union(joined.select(F.col("u").alias("a"), F.col("m").alias("b")))

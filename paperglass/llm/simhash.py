@@ -16,6 +16,9 @@ takes verified neighbours out of the entry's set and emits a spanning forest,
 fewer edges than members.  Components are joined by star contraction in
 checkpointed rounds.
 
+Near-duplicates of any similarity (``similar_groups``) use wider fingerprints
+and more segments of the same kind for candidates, and an exact check.
+
 Defined results: null text is an empty text, whose fingerprint is zero, linked
 like any other; null doc_id rows get a fingerprint and the component of their
 group, the smallest non-null doc_id in it (null if there is none); repeated rows
@@ -25,6 +28,7 @@ are all returned; extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -129,7 +133,8 @@ def link_edges(distinct: DataFrame, fp_col: str = "fp", most_bits: int = 3) -> D
                 b.append(found)
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (a, b)], names=["a", "b"])
 
-    return rows.repartition("entry").mapInArrow(linked, "a long, b long").distinct()
+    # 34 rows a fingerprint, some hundred thousand to a task, whatever the table's size.
+    return rows.repartition(shards_for(34 * distinct.count(), 400_000, 8), "entry").mapInArrow(linked, "a long, b long").distinct()
 
 
 def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3, most_bits: int = 3) -> DataFrame:
@@ -144,11 +149,10 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     return prints.join(groups, "fp").select(id_col, "fp", "component")
 
 
-_BANDS, _BAND_HASHES = 32, 4
-_SPREAD = np.random.default_rng(7).integers(0, 1 << 63, (2, _BANDS * _BAND_HASHES), dtype=np.uint64) | np.uint64(1)
-#: Candidates are pairs whose estimated similarity is at most this much below
-#: the threshold: 3.7 standard deviations of 128 hashes at 0.8.
-_SLACK = 0.13
+WIDE_BITS = 256
+_WORDS = WIDE_BITS // 64
+_CROWD = 256  # members of a cell that are compared all at once
+_FOLD = np.random.default_rng(7).integers(0, 1 << 63, (2, _WORDS), dtype=np.uint64) | np.uint64(1)
 
 
 def shingle_set(text: bytes, shingle_words: int) -> np.ndarray:
@@ -166,28 +170,133 @@ def shingle_set(text: bytes, shingle_words: int) -> np.ndarray:
     return np.unique(np.array([digest(joined[s:e], _SEED) for s, e in zip(starts, stops, strict=True)], np.uint64))
 
 
-def min_hashes(hashes: np.ndarray) -> np.ndarray:
-    """The least value of the set under each of 128 hash functions."""
-    least = np.full(_SPREAD.shape[1], ~np.uint64(0))
-    for at in range(0, len(hashes), 2048):
-        part = hashes[at : at + 2048]
-        part = part ^ (part >> np.uint64(32))
-        np.minimum(least, (part[:, None] * _SPREAD[0] + _SPREAD[1]).min(axis=0), out=least)
-    return least
-
+def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """The fingerprint of a shingle set in WIDE_BITS bits: each hash is folded
+    into several words, and each bit is the majority's."""
+    votes = np.zeros(WIDE_BITS, np.int64)
+    for at in range(0, len(hashes), 255):  # as many as a byte can count
+        part = hashes[at : at + 255, None] * _FOLD[0] + _FOLD[1]
+        part = mix(part).view(np.uint8).reshape(len(part), -1)
+        votes += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
+    return np.packbits(2 * votes > len(hashes), bitorder="little").view("<u8")
+
+
+@dataclass(frozen=True)
+class WideIndex:
+    """Multi-index hashing of wide fingerprints.
+
+    Two texts of similarity J differ in a bit with probability p (the angle
+    between their votes, over pi).  A segment of ``bits`` bits is met if it
+    differs in one bit at most; ``segments`` are as many as a pair at the
+    threshold needs to be met with a probability of 0.999.  The first segments
+    are disjoint, further ones take the bits in another fixed order.  Fingerprints
+    whose complete distance is above ``most_bits`` (four standard deviations over
+    the expected one) are no candidates.
+    """
 
-def band_keys(least: np.ndarray) -> np.ndarray:
-    """One key for each band of the min-hashes."""
-    keys = np.arange(_BANDS, dtype=np.uint64)
-    for column in least.reshape(_BANDS, _BAND_HASHES).T:
-        keys = mix(keys * np.uint64(0x9E3779B97F4A7C15) + column)
-    return keys
+    bits: int
+    segments: int
+    most_bits: int
+
+    @staticmethod
+    def of(similarity: float, rows: int) -> "WideIndex":
+        """Segments grow with the rows, so that a cell holds few; the probability
+        that a pair is met is the same at any size."""
+        p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+        bits = min(max(16, 2 * int(np.ceil((np.log2(max(rows, 2)) - 3) / 2))), 32)
+        met = (1 - p) ** bits + bits * p * (1 - p) ** (bits - 1)
+        segments = int(np.ceil(np.log(0.001) / np.log(1 - met))) if met < 1 else 1
+        return WideIndex(bits, segments, int(WIDE_BITS * p + 4 * (WIDE_BITS * p * (1 - p)) ** 0.5))
+
+    def cut(self, prints: np.ndarray) -> np.ndarray:
+        """rows x segments values of fingerprints (rows x words)."""
+        each = WIDE_BITS // self.bits
+        bits = np.unpackbits(prints.view(np.uint8), axis=1, bitorder="little")
+        out = []
+        for first in range(0, self.segments, each):
+            order = np.random.default_rng(first).permutation(WIDE_BITS) if first else np.arange(WIDE_BITS)
+            for k in range(min(each, self.segments - first)):
+                packed = np.packbits(bits[:, order[k * self.bits : (k + 1) * self.bits]], axis=1, bitorder="little")
+                wide = np.zeros((len(prints), 8), np.uint8)
+                wide[:, : packed.shape[1]] = packed
+                out.append(wide.view("<u8")[:, 0])
+        return np.stack(out, axis=1)
+
+
+def _distance(prints: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of fingerprints a and b (places in prints)."""
+    return np.bitwise_count(prints[a] ^ prints[b]).sum(axis=1, dtype=np.int64)
+
+
+def _ranges(low: np.ndarray, high: np.ndarray, at_once: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row, place) for every place in [low, high) of every row, in parts."""
+    size = np.maximum(high - low, 0)
+    reach = np.cumsum(size)
+    first = 0
+    while first < len(size):
+        last = max(int(np.searchsorted(reach, (reach[first - 1] if first else 0) + at_once, "right")), first + 1)
+        n = size[first:last]
+        row = np.repeat(np.arange(first, last), n)
+        yield row, np.arange(int(n.sum())) + np.repeat(low[first:last] - (np.cumsum(n) - n), n)
+        first = last
+
+
+def cell_candidates(code: np.ndarray, root: np.ndarray, node: np.ndarray, prints: np.ndarray, half: int, most_bits: int, spanning: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Candidate pairs of rows whose codes (sorted) agree but for one of the low
+    half bits, and whose complete distance is most_bits or less.
+
+    spanning: of each row's candidates the one of the least node, which gives
+    every row that has any a link; in crowded cells links that span the
+    components.  Otherwise all candidates whose roots differ.
+    """
+    first, length = run_lengths(code)
+    size = np.repeat(length, length)
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+
+    def keep(x: np.ndarray, y: np.ndarray) -> None:
+        near = root[x] != root[y]
+        x, y = x[near], y[near]
+        near = _distance(prints, x, y) <= most_bits
+        a.append(x[near])
+        b.append(y[near])
+
+    rows = np.arange(len(code))
+    plain = np.flatnonzero(size <= _CROWD)
+    own_end = np.repeat(first + length, length)
+    for row, place in _ranges(rows[plain] + 1, own_end[plain]):
+        keep(plain[row], place)
+    for k in range(half):
+        bit = np.int64(1 << k)
+        asks = plain[code[plain] & bit == 0]
+        low = np.searchsorted(code, code[asks] | bit)
+        high = np.searchsorted(code, code[asks] | bit, "right")
+        high = np.where(high - low <= _CROWD, high, low)  # crowded cells ask themselves
+        for row, place in _ranges(low, high):
+            keep(asks[row], place)
+    a, b = [np.concatenate(a)], [np.concatenate(b)]
+    if spanning and len(a[0]):
+        x, y = np.concatenate([a[0], b[0]]), np.concatenate([b[0], a[0]])
+        order = np.lexsort((node[y], x))
+        lead = order[np.concatenate(([True], x[order][1:] != x[order][:-1]))]
+        a, b = [x[lead]], [y[lead]]
+    for s, m in zip(first[length > _CROWD].tolist(), length[length > _CROWD].tolist()):
+        cells = np.concatenate(([code[s]], code[s] ^ (np.int64(1) << np.arange(half, dtype=np.int64))))
+        members = np.concatenate([np.arange(x, y) for x, y in zip(np.searchsorted(code, cells).tolist(), np.searchsorted(code, cells, "right").tolist())])
+
+        def near(one: int, some: np.ndarray) -> np.ndarray:
+            some = some[np.bitwise_count((code[some] ^ code[one]).view(np.uint64)) <= 1]
+            return some[_distance(prints, np.full(len(some), one), some) <= most_bits]
+
+        for at, found in (_forest if spanning else _across)(members, root, near):
+            a.append(np.full(len(found), at))
+            b.append(found)
+    return np.concatenate(a), np.concatenate(b)
 
 
 def _with_set(pairs: DataFrame, sets: DataFrame, key: str) -> DataFrame:
     """pairs with the shingle set of the node in key; a node of many pairs is
     dealt in several parts."""
-    busy = F.broadcast(pairs.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / 256).cast("long").alias("parts")).where("parts > 1"))
+    busy = pairs.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / 256).cast("long").alias("parts")).where("parts > 1")
     parts = F.coalesce(F.col("parts"), F.lit(1))
     other = "b" if key == "a" else "a"
     dealt = pairs.join(busy, key, "left").withColumn("part", F.pmod(F.xxhash64(other), parts)).drop("parts")
@@ -219,71 +328,69 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(id, component): rows with an id, and the smallest id of the group of
     texts that similarity links.
 
-    A link is decided by the exact Jaccard similarity of two sets of shingle
-    hashes.  Candidates share one of 32 bands of four min-hashes (a pair at 0.8
-    misses all with probability 5e-8) and have an estimated similarity, from 128
-    bytes of min-hashes, close to the threshold or above.  Two passes keep large
-    groups from being paired with themselves: the first compares a spanning
-    forest of the candidates of each band, the second all candidates that the
-    first left in different components, so no link is missed for the forest's
-    sake.
+    Candidates come from multi-index hashing of fingerprints of 256 bits
+    (``WideIndex``); a row is filed twice for each segment, under either half of
+    it, and the ball of radius one around the other half is enumerated among the
+    rows that share the first.  A link is then decided by the exact Jaccard
+    similarity of the two sets of shingle hashes.  Two passes keep large groups
+    from being paired with themselves: the first compares links that reach every
+    row with a candidate, the second all candidates that the first left in
+    different components, so no link is missed for the first one's sake.
     """
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_buffers(batch.column(1))
             whole, cuts = data.tobytes(), offsets.tolist()
-            node, n, bands, sketch = [], [], [], []
+            node, n, prints = [], [], [np.zeros((0, _WORDS), np.uint64)]
             for x, y in zip(cuts, cuts[1:]):
                 one = shingle_set(whole[x:y], shingle_words)
-                least = min_hashes(one)
                 node.append(xxhash.xxh64_intdigest(one.tobytes(), _SEED))
                 n.append(len(one))
-                bands.append(band_keys(least).tobytes() if len(one) else b"")
-                sketch.append(least.astype(np.uint8).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(n, pa.int64()), pa.array(bands, pa.binary()), pa.array(sketch, pa.binary())], names=["id", "node", "n", "bands", "sketch"])
+                prints.append(wide_fingerprint(one)[None])
+            words = np.concatenate(prints).view(np.int64).T
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(n, pa.int64()), *(pa.array(np.ascontiguousarray(w)) for w in words)], names=["id", "node", "n", *names])
 
+    names = [f"f{k}" for k in range(_WORDS)]
     known = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    prints = checkpointed(known.mapInArrow(hashed, "id long, node long, n long, bands binary, sketch binary"))
-    distinct = checkpointed(prints.groupBy("node").agg(F.min("id").alias("least_id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
-    shards = shards_for(distinct.count() * _BANDS, 100_000, 8)
+    prints = checkpointed(known.mapInArrow(hashed, "id long, node long, n long, " + ", ".join(f"{f} long" for f in names)))
+    distinct = checkpointed(prints.groupBy("node").agg(F.min("id").alias("least_id"), F.first("n").alias("n"), *(F.first(f).alias(f) for f in names)))
+    rows = distinct.count()
+    index = WideIndex.of(similarity, rows)
+    half = index.bits // 2
 
     def filed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = [np.frombuffer(x, np.int64) for x in batch.column(3).to_pylist()]
-            row = pa.array(np.repeat(np.arange(batch.num_rows), [len(k) for k in keys]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *keys])), *(batch.column(k).take(row) for k in (0, 1, 2, 4))], names=["key", "node", "root", "n", "sketch"])
-
-    def candidates(nodes: DataFrame, spanning: bool) -> DataFrame:
-        """(a, b) of rows (node, root, n, bands, sketch), a < b, each once."""
+        for whole in batches:
+            for at in range(0, whole.num_rows, 4096):
+                batch = whole.slice(at, 4096)
+                cut = index.cut(np.ascontiguousarray(np.stack([batch.column(2 + k).to_numpy().view(np.uint64) for k in range(_WORDS)], axis=1))).astype(np.int64)
+                table = np.arange(index.segments, dtype=np.int64)
+                # The half a row is filed under, then the half around which the ball is.
+                low, high = cut & ((1 << half) - 1), cut >> half
+                code = np.concatenate([((2 * table << half) + high << half) + low, ((2 * table + 1 << half) + low << half) + high], axis=1)
+                row = pa.array(np.repeat(np.arange(batch.num_rows), code.shape[1]))
+                yield pa.RecordBatch.from_arrays([pa.array(code.ravel()), pa.array((code >> half).ravel()), *(batch.column(k).take(row) for k in range(2 + _WORDS))], names=["code", "entry", "node", "root", *names])
+
+    def candidates(nodes: DataFrame, most: int, spanning: bool) -> DataFrame:
+        """(a, b) of rows (node, root, fingerprint), a < b, each once."""
 
         def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held = [(*(x.column(k).to_numpy() for k in range(4)), np.frombuffer(b"".join(x.column(4).to_pylist()), np.uint8).reshape(-1, _SPREAD.shape[1])) for x in batches]
+            held = [[x.column(k).to_numpy() for k in range(3 + _WORDS)] for x in batches if x.num_rows]
             if not held:
                 return
-            key, node, root, n, sketch = (np.concatenate([h[k] for h in held]) for k in range(5))
-            order = np.lexsort((node, key))
-            key, node, root, n, sketch = key[order], node[order], root[order], n[order], sketch[order]
-
-            def near(one: int, some: np.ndarray) -> np.ndarray:
-                some = some[np.minimum(n[some], n[one]) / np.maximum(n[some], n[one]) >= similarity]
-                return some[(sketch[some] == sketch[one]).mean(axis=1) >= similarity - _SLACK]
-
-            first, length = run_lengths(key)
-            a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for s, m in zip(first[length > 1].tolist(), length[length > 1].tolist()):
-                for at, found in (_forest if spanning else _across)(np.arange(s, s + m), root, near):
-                    a.append(np.full(len(found), node[at]))
-                    b.append(node[found])
-            a, b = np.concatenate(a), np.concatenate(b)
-            once = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+            code, node, root, *words = (np.concatenate([h[k] for h in held]) for k in range(3 + _WORDS))
+            order = np.lexsort((node, code))
+            code, node, root = code[order], node[order], root[order]
+            a, b = cell_candidates(code, root, node, np.stack([w[order].view(np.uint64) for w in words], axis=1), half, index.most_bits, spanning)
+            once = np.unique(np.stack([np.minimum(node[a], node[b]), np.maximum(node[a], node[b])]), axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(once[0]), pa.array(once[1])], names=["a", "b"])
 
-        rows = nodes.select("node", "root", "n", "bands", "sketch").mapInArrow(filed, "key long, node long, root long, n long, sketch binary")
-        return checkpointed(rows.repartition(shards, "key").mapInArrow(paired, "a long, b long").distinct())
+        made = nodes.select("node", "root", *names).mapInArrow(filed, "code long, entry long, node long, root long, " + ", ".join(f"{f} long" for f in names))
+        dealt = made.repartition(shards_for(2 * index.segments * most, 200_000, 8), "entry").select("code", "node", "root", *names)
+        return checkpointed(dealt.mapInArrow(paired, "a long, b long").distinct())
 
-    forest = candidates(distinct.withColumn("root", F.col("node")), True)
-    touched = forest.select(F.col("a").alias("node")).union(forest.select("b")).distinct()
+    first = candidates(distinct.where("n > 0").withColumn("root", F.col("node")), rows, True)
+    touched = checkpointed(first.select(F.col("a").alias("node")).union(first.select("b")).distinct())
     texts = prints.groupBy("node").agg(F.min("id").alias("id")).join(touched, "node")
 
     def as_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,10 +403,10 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # A repeated id may stand for several texts: the set itself tells its node.
     sets = known.join(texts.select("id").distinct(), "id", "left_semi").select("text").mapInArrow(as_sets, "node long, hashes binary")
     sets = checkpointed(sets.join(touched, "node", "left_semi").groupBy("node").agg(F.first("hashes").alias("hashes")))
-    links = _verified(forest, sets, similarity)
+    links = _verified(first, sets, similarity)
     parts = connected_components(links)
     named = distinct.join(touched, "node", "left_semi").join(parts, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    more = _verified(candidates(named, False), sets, similarity)
+    more = _verified(candidates(named, touched.count(), False), sets, similarity)
     parts = connected_components(links.union(more))
     named = distinct.join(parts, "node", "left").select("node", "least_id", F.coalesce("root", "node").alias("root"))
     least = named.groupBy("root").agg(F.min("least_id").alias("component"))
@@ -307,7 +414,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def _forest(members: np.ndarray, root: np.ndarray, near) -> Iterator[tuple[int, np.ndarray]]:
-    """Candidates that span the components of one band's candidates."""
+    """Candidates that span the components of one cell's candidates."""
     left = members
     while len(left) > 1:
         frontier, left = [int(left[0])], left[1:]
@@ -321,7 +428,7 @@ def _forest(members: np.ndarray, root: np.ndarray, near) -> Iterator[tuple[int,
 
 
 def _across(members: np.ndarray, root: np.ndarray, near) -> Iterator[tuple[int, np.ndarray]]:
-    """All candidates of one band whose components differ."""
+    """All candidates of one cell whose components differ."""
     _, label, count = np.unique(root[members], return_inverse=True, return_counts=True)
     for at in members[label != count.argmax()].tolist():
         found = near(at, members[root[members] != root[at]])
@@ -356,8 +463,8 @@ def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     without an id stay.
     """
     groups = similar_groups(docs, id_col, text_col, shingle_words, similarity)
-    gone = groups.where(F.col(id_col) > F.col("component")).select(F.col(id_col).alias("_gone_id")).distinct()
-    return docs.join(gone, docs[id_col] == F.col("_gone_id"), "left_anti")
+    gone = groups.where(F.col(id_col) > F.col("component")).select(id_col).distinct()
+    return docs.join(gone, docs[id_col] == gone[id_col], "left_anti")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
