@@ -1,14 +1,19 @@
 """Operator 10, suffix-array dedup by prefix-free parsing.
 
 Bytes covered by a string of 50 bytes that also starts in a document of smaller
-id are removed.  Rolling-hash triggers parse every text into overlapping phrases
-(``_repeats``): a phrase runs from the first to the last 50-byte string of its
-trigger, so phrases are content-defined, every string lies whole in exactly one
-of them, and highly repetitive text shrinks to a small dictionary of distinct
-phrases plus a parse (which document holds which phrase).  Phrases that the parse
-already decides never travel.  For the rest the suffixes of the dictionary are
-put in corpus order by prefix doubling, as deep as the threshold; neighbours of
-equal rank are equal strings, and the parse tells the smallest document of each.
+id are removed.  The corpus is too large for one suffix array, so it is dealt
+first (``_repeats``): every text is cut by the triggers of a rolling hash into
+stretches, each running from the first to the last 50-byte string of its trigger,
+so every string lies whole in exactly one of them and equal strings are dealt to
+one group.  Stretches that occur whole before, or whose trigger occurs nowhere
+else, are decided there and never travel.
+
+The stretches that are left are put in corpus order group by group, by
+prefix-free parsing (``corpus_order``): triggers cut them into phrases, the
+suffixes of the dictionary of distinct phrases and those of the parse are ranked,
+and both ranks together give the suffix array.  Neighbours in it that share 50
+bytes (compared byte for byte) are equal strings; those that a document of
+smaller id holds too are removed.
 
 Defined results: null text is an empty text; rows with equal ids (and strings
 repeated inside one document) remove nothing of each other; null ids count as
@@ -24,27 +29,97 @@ from pyspark.sql import functions as F
 
 from ._repeats import Search, Shard, repeated_spans
 from ._shared import documents
+from ._text import PrefixHash
 
 WINDOW = 50
 GRAM = 24
+TRIGGER = 6  # bytes whose hash may end a phrase
+TRIGGER_SHARE = 16  # one in so many does
 _SYMBOLS_AT_ONCE = 2_000_000
 
 
-def suffix_ranks(data: np.ndarray, depth: int) -> np.ndarray:
-    """Rank of each suffix of data by its first depth bytes (zero-padded);
-    equal ranks mean equal strings.  Prefix doubling from 8 bytes up."""
-    padded = np.concatenate([data, np.zeros(depth + 8, np.uint8)]).astype(np.uint64)
-    known = min(8, depth)
-    first = np.zeros(len(padded) - 8, np.uint64)
+def _dictionary_ranks(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ranks of all suffixes of the phrases data[start:end], laid one after the
+    other, and where each phrase begins among them: prefix doubling, in which a
+    phrase's end sorts before every byte."""
+    size = end - start
+    begin = np.cumsum(size) - size
+    total = int(size.sum())
+    symbols = data[np.arange(total) + np.repeat(start - begin, size)].astype(np.uint64) + np.uint64(1)
+    left = np.repeat(begin + size, size) - np.arange(total)  # symbols up to the phrase's end
+    first, known = np.zeros(total, np.uint64), 7
     for k in range(known):
-        first = (first << np.uint64(8)) | padded[k : k + len(first)]
-    rank = np.unique(first, return_inverse=True)[1]
-    while known < depth:
-        step = min(known, depth - known)
-        second = np.append(rank[step:], np.zeros(step, rank.dtype))
-        rank = np.unique(rank.astype(np.uint64) * np.uint64(len(rank) + 1) + second.astype(np.uint64), return_inverse=True)[1]
-        known += step
-    return rank[: len(data)]
+        at = np.minimum(np.arange(total) + k, max(total - 1, 0))
+        first = (first << np.uint64(9)) | np.where(left > k, symbols[at], np.uint64(0))
+    rank = np.unique(first, return_inverse=True)[1].astype(np.uint64)
+    while known < int(size.max(initial=0)):
+        at = np.minimum(np.arange(total) + known, max(total - 1, 0))
+        second = np.where(left > known, rank[at] + np.uint64(1), np.uint64(0))
+        rank = np.unique(rank * np.uint64(total + 2) + second, return_inverse=True)[1].astype(np.uint64)
+        known *= 2
+    return rank.astype(np.int64), begin
+
+
+def _parse_ranks(phrase: np.ndarray, entry: np.ndarray) -> np.ndarray:
+    """Ranks (from 1) of the suffixes of the parse: the phrase numbers of each
+    entry, the end of an entry sorting first."""
+    n = len(phrase)
+    rank, known = np.unique(phrase, return_inverse=True)[1].astype(np.uint64) + np.uint64(1), 1
+    most = int(np.bincount(entry).max(initial=0)) if n else 0
+    while known < most:
+        at = np.minimum(np.arange(n) + known, n - 1)
+        goes_on = (np.arange(n) + known < n) & (entry[at] == entry)
+        second = np.where(goes_on, rank[at], np.uint64(0))
+        rank = np.unique(rank * np.uint64(n + 2) + second, return_inverse=True)[1].astype(np.uint64) + np.uint64(1)
+        known *= 2
+    return rank.astype(np.int64)
+
+
+def corpus_order(data: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The suffix array of the entries that data holds one after the other: the
+    places of all bytes, ordered by what follows them in their entry.
+
+    Prefix-free parsing: a rolling hash of TRIGGER bytes cuts entries into
+    phrases that overlap by a trigger.  The suffixes of the distinct phrases are
+    ranked, and those of the parse (the phrases' ranks in order); a byte's place
+    follows from the rank of its phrase's suffix and, where that is equal, from
+    the rank of the parse behind the phrase.  Since no phrase suffix longer than
+    a trigger is the beginning of another, this is the order of the whole text.
+    """
+    total = len(data)
+    if not total:
+        return np.zeros(0, np.int64)
+    bound = np.cumsum(size)
+    entry_of = np.repeat(np.arange(len(size)), size)
+    ranges = PrefixHash(data)
+    at = np.arange(max(total - TRIGGER + 1, 0))
+    cut = np.zeros(total, bool)
+    cut[at] = (ranges.of(at, at + TRIGGER) % np.uint64(TRIGGER_SHARE) == 0) & (at + TRIGGER <= bound[entry_of[at]])
+    cut[(bound - size)[size > 0]] = True
+    start = np.flatnonzero(cut)
+    entry = entry_of[start]
+    after = np.append(start[1:], total)
+    end = np.where(np.append(entry[1:], -1) == entry, np.minimum(after + TRIGGER, total), bound[entry])
+    _, lead, which = np.unique(ranges.of(start, end), return_index=True, return_inverse=True)
+    rank, begin = _dictionary_ranks(data, start[lead], end[lead])
+    parse = np.append(_parse_ranks(rank[begin][which], entry), 0)
+    own = np.searchsorted(start, np.arange(total), "right") - 1
+    behind = np.where(np.append(entry[1:], -1)[own] == entry[own], own + 1, len(start))
+    return np.lexsort((parse[behind], rank[begin[which[own]] + np.arange(total) - start[own]]))
+
+
+def _same(data: np.ndarray, a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
+    """Whether length bytes from a and from b are equal, byte for byte."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)]).astype(np.uint64)
+    eight = np.zeros(len(data) + 1, np.uint64)
+    for k in range(8):
+        eight = (eight << np.uint64(8)) | padded[k : k + len(eight)]
+    if length < 8:
+        eight = eight >> np.uint64(64 - 8 * length)
+    out = np.ones(len(a), bool)
+    for k in sorted({*range(0, max(length - 8, 0), 8), max(length - 8, 0)}):
+        out &= eight[a + k] == eight[b + k]
+    return out
 
 
 def _by_suffix_array(symbols, size, group, ids, shard, row, lo, search: Search):
@@ -76,14 +151,16 @@ def _repeated_windows(symbols: np.ndarray, begin: np.ndarray, size: np.ndarray,
     """(phrase, offset) of the windows that a phrase of smaller id holds too."""
     offset = np.cumsum(size) - size
     data = symbols[np.arange(int(size.sum())) + np.repeat(begin - offset, size)]
-    many = size - w + 1
-    entry = np.repeat(np.arange(len(size)), many)
-    inside = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
-    rank = suffix_ranks(data, w)[offset[entry] + inside]
-    order = np.lexsort((ids[entry], rank))
-    run = np.cumsum(np.concatenate(([0], rank[order][1:] != rank[order][:-1]))) if len(order) else np.zeros(0, np.int64)
-    least = ids[entry[order]][np.searchsorted(run, run)]
-    gone = order[ids[entry[order]] > least]
+    entry = np.repeat(np.arange(len(size)), size)
+    inside = np.arange(len(data)) - offset[entry]
+    order = corpus_order(data, size)
+    order = order[inside[order] + w <= size[entry[order]]]  # where a whole window starts
+    same = _same(data, order[1:], order[:-1], w)
+    run = np.cumsum(np.concatenate(([0], ~same))) if len(order) else np.zeros(0, np.int64)
+    first = np.flatnonzero(np.concatenate(([True], ~same))) if len(order) else np.zeros(0, np.int64)
+    holder = ids[entry[order]]
+    least = np.minimum.reduceat(holder, first) if len(order) else holder
+    gone = order[holder > least[run]]
     return entry[gone], inside[gone]
 
 

@@ -182,13 +182,16 @@ def test_suffix(spark, monkeypatch, hot):
         assert (got[k]["n_bytes"], bytes(got[k]["kept"]), len(got[k]["spans"])) == (len(b), bytes(x for x, g in zip(b, gone) if not g), len(re.findall(b"\1+", gone)))
 
 
-def test_suffix_ranks():
+def test_corpus_order(monkeypatch):
     random.seed(4)
-    data = bytes(random.choices(b"ab", k=300))
-    ranks = suffix.suffix_ranks(np.frombuffer(data, np.uint8), 20)
-    strings = [data[k : k + 20].ljust(20, b"\0") for k in range(300)]
-    order = {s: k for k, s in enumerate(sorted(set(strings)))}
-    assert [order[s] for s in strings] == np.unique(ranks, return_inverse=True)[1].tolist()
+    for trigger, share in ((2, 3), (3, 2), (6, 16)) * 20:
+        monkeypatch.setattr(suffix, "TRIGGER", trigger)
+        monkeypatch.setattr(suffix, "TRIGGER_SHARE", share)
+        shared = bytes(random.choices(b"ab\0", k=40))
+        entries = [bytes(random.choices(b"abc\0", k=random.randrange(60))) + shared[random.randrange(20) :] for _ in range(random.randrange(1, 7))]
+        data, size = np.frombuffer(b"".join(entries), np.uint8), np.array([len(e) for e in entries])
+        follows = [[c + 1 for c in e[k:]] for e in entries for k in range(len(e))]  # an end sorts first
+        assert [follows[k] for k in suffix.corpus_order(data, size)] == sorted(follows)
 
 
 def test_secrets(spark):
