@@ -217,6 +217,11 @@ def _ids_with_counts(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ids[start], np.diff(np.append(start, len(ids))).astype(np.uint32)
 
 
+def _slices(sorted_keys: np.ndarray, keys: np.ndarray) -> list[tuple[int, int]]:
+    """Where each of some keys stands among the sorted ones."""
+    return list(zip(np.searchsorted(sorted_keys, keys).tolist(), np.searchsorted(sorted_keys, keys, "right").tolist()))
+
+
 def _parse_step(search: Search, id_col: str, text_col: str, buckets: int):
     def step(key: tuple, table: pa.Table) -> pa.Table:
         shard = Shard(table, id_col, text_col, search.unit)
@@ -224,16 +229,18 @@ def _parse_step(search: Search, id_col: str, text_col: str, buckets: int):
         way = route(shard, found, search, buckets)
         leads = way["leads"]
         order = leads[np.argsort(way["bucket"][leads], kind="stable")]
-        cuts = np.searchsorted(way["bucket"][order], np.arange(buckets + 1))
-        marks = way["marks"]
-        mark_bucket = (marks % np.uint64(buckets)).astype(np.int64)
+        bucket = way["bucket"][order]
+        mark_bucket = (way["marks"] % np.uint64(buckets)).astype(np.int64)
+        by_bucket = np.argsort(mark_bucket, kind="stable")
+        marks, mark_bucket = (way["marks"][by_bucket] >> np.uint64(32)).astype(np.uint32), mark_bucket[by_bucket]
+        met = np.union1d(bucket, mark_bucket)
         made = []
-        for b in np.flatnonzero((np.diff(cuts) > 0) | (np.bincount(mark_bucket, minlength=buckets) > 0)).tolist():
-            sent = order[cuts[b] : cuts[b + 1]]
+        for b, (x, y), (m, n) in zip(met.tolist(), _slices(bucket, met), _slices(mark_bucket, met)):
+            sent = order[x:y]
             hot = way["hot"][sent]
             ids, counts = _ids_with_counts(shard.ids[found["row"][sent]])
             gram = (found["gram"][sent] >> np.uint64(32)).astype(np.uint32)
-            made.append((b, key[0].as_py(), _packed(gram, found["phrase"][sent], np.packbits(hot), ids, counts, (marks[mark_bucket == b] >> np.uint64(32)).astype(np.uint32))))
+            made.append((b, key[0].as_py(), _packed(gram, found["phrase"][sent], np.packbits(hot), ids, counts, marks[m:n])))
         return _rows(made)
 
     return step
@@ -292,11 +299,9 @@ def _select_step(search: Search, id_col: str, text_col: str, buckets: int):
         way = route(shard, found, search, buckets)
         leads = way["leads"]
         order = leads[np.argsort(way["bucket"][leads], kind="stable")]
-        cuts = np.searchsorted(way["bucket"][order], np.arange(buckets + 1))
         flags = np.zeros(len(found["row"]), np.uint8)
-        for b, payload in zip(answers.column("key").to_pylist(), answers.column("payload").to_pylist()):
-            sent = order[cuts[b] : cuts[b + 1]]
-            flags[sent] = np.frombuffer(payload, np.uint8)
+        for (x, y), payload in zip(_slices(way["bucket"][order], answers.column("key").to_numpy()), answers.column("payload").to_pylist()):
+            flags[order[x:y]] = np.frombuffer(payload, np.uint8)
         flags = flags[way["lead"]]
         flags[~way["own"]] = REPEATED
         gone = np.flatnonzero(flags == REPEATED)
@@ -337,9 +342,9 @@ def _select_step(search: Search, id_col: str, text_col: str, buckets: int):
             rows, group = np.concatenate([rows, hot_rows[keep]]), np.concatenate([group, own[keep]])
             bucket = np.concatenate([bucket, (own[keep] % np.uint64(buckets)).astype(np.int64)])
         order = np.argsort(bucket, kind="stable")
-        cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        for b in np.flatnonzero(np.diff(cuts)).tolist():
-            sent = order[cuts[b] : cuts[b + 1]]
+        met = np.unique(bucket)
+        for b, (x, y) in zip(met.tolist(), _slices(bucket[order], met)):
+            sent = order[x:y]
             n = size[sent]
             take = np.arange(int(n.sum())) + np.repeat(lo[sent] - (np.cumsum(n) - n), n)
             made.append((b, number, _packed(rows[sent], lo[sent], n.astype(np.uint32), shard.ids[rows[sent]], group[sent], symbols[take])))
@@ -375,13 +380,14 @@ def repeated_spans(docs: DataFrame, search: Search, render: Callable, schema: st
     repeated windows, merged and sorted by row and start."""
     size = text_bytes(docs, text_col)
     shards, buckets = shards_for(size, search.shard_bytes), shards_for(size, search.bucket_bytes)
-    number = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(shards)).cast("long").alias("_pg_shard")
+    own = next(n for n in (f"shard{k}" for k in range(len(docs.columns) + 1)) if n.lower() not in {c.lower() for c in docs.columns})
+    number = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(shards)).cast("long").alias(own)
     dealt = docs.select("*", number)
-    dealt = dealt.repartition(shards, "_pg_shard")
-    by_shard = dealt.groupBy("_pg_shard")
+    dealt = dealt.repartition(shards, own)
+    by_shard = dealt.groupBy(own)
     parsed = by_shard.applyInArrow(_parse_step(search, id_col, text_col, buckets), _TRAVEL)
     answers = parsed.repartition(buckets, "key").groupBy("key").applyInArrow(_classify_step, _TRAVEL)
-    selected = dealt.groupBy("_pg_shard").cogroup(answers.repartition(shards, "shard").groupBy("shard")).applyInArrow(_select_step(search, id_col, text_col, buckets), _TRAVEL)
+    selected = dealt.groupBy(own).cogroup(answers.repartition(shards, "shard").groupBy("shard")).applyInArrow(_select_step(search, id_col, text_col, buckets), _TRAVEL)
     spans = selected.repartition(buckets, "key").groupBy("key").applyInArrow(_resolve_step(search, buckets), _TRAVEL)
 
     def finish(key: tuple, table: pa.Table, found: pa.Table) -> pa.Table:
@@ -391,4 +397,4 @@ def repeated_spans(docs: DataFrame, search: Search, render: Callable, schema: st
         order = np.lexsort((start, row))
         return render(shard, *_merged(row[order], start[order], end[order]))
 
-    return dealt.groupBy("_pg_shard").cogroup(spans.repartition(shards, "shard").groupBy("shard")).applyInArrow(finish, schema)
+    return dealt.groupBy(own).cogroup(spans.repartition(shards, "shard").groupBy("shard")).applyInArrow(finish, schema)
