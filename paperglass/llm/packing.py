@@ -13,8 +13,9 @@ length) rows and never a text.  Waste from sharding is at most some bins a
 shard.  The result does not depend on the number of tasks or executors.
 
 Defined results: null or empty text has no tokens: one row, n_tokens 0, no bin;
-null ids are packed like others; repeated rows are packed each; extra columns
-are ignored.
+null ids are packed like others; repeated rows are packed each; a text longer
+than the largest length is several pieces; extra columns are ignored; an empty
+table gives an empty table.
 """
 
 from __future__ import annotations
@@ -33,6 +34,7 @@ from ._text import blocks
 CAPACITIES = (512, 1024, 2048, 4096)
 BIN_COST = 32  # what a bin costs besides its length, in tokens
 SHARD_ROWS = 20_000
+_COPIES = 1_000  # rows of one id and length that stay together
 
 
 def pack(lengths: list[int], capacities: tuple[int, ...] = CAPACITIES, bin_cost: int = BIN_COST) -> tuple[list[int], list[int], list[int]]:
@@ -94,11 +96,18 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         raise ValueError("capacities must be positive")
     largest = max(capacities)
     shards = shards_for(docs.count(), shard_rows)
-    rows = _lengths(docs, id_col, text_col).withColumn("shard", F.pmod(F.xxhash64("id", "n_tokens"), F.lit(shards)))
+    # Rows of one id and length travel as one with their number; many of them are
+    # several parts, which are dealt apart.
+    counted = _lengths(docs, id_col, text_col).groupBy("id", "n_tokens").agg(F.count(F.lit(1)).alias("copies"))
+    parts = counted.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / _COPIES).cast("long"))))
+    copies = F.least(F.lit(_COPIES).cast("long"), F.col("copies") - F.col("part") * _COPIES)
+    rows = parts.select("id", "n_tokens", copies.alias("copies"), F.pmod(F.xxhash64("id", "n_tokens", "part"), F.lit(shards)).alias("shard"))
     id_type = docs.schema[id_col].dataType.simpleString()
     names = [id_col, "piece", "start", "n_tokens", "bin_id", "offset", "capacity"]
 
     def packed(key: tuple, table: pa.Table) -> pa.Table:
+        copies = pa.array(np.repeat(np.arange(table.num_rows), table.column("copies").to_numpy()))
+        table = table.take(copies)
         order = table.column("id").combine_chunks() if table.num_rows else table.column("id")
         ranks = np.argsort(pa.compute.rank(order, "ascending", null_placement="at_end", tiebreaker="first").to_numpy())
         n = table.column("n_tokens").to_numpy()[ranks]
