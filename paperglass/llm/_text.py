@@ -125,13 +125,13 @@ class Block:
         return total[self.offsets[1:]] - total[self.offsets[:-1]]
 
 
-def blocks(column: pa.Array | pa.ChunkedArray, block_bytes: int = BLOCK_BYTES) -> Iterator[Block]:
+def blocks(column: pa.Array | pa.ChunkedArray, block_bytes: int = BLOCK_BYTES, most_rows: int | None = None) -> Iterator[Block]:
     """The column's texts in blocks of about block_bytes, whole documents each."""
     data, offsets = text_buffers(column)
     first, n = 0, len(offsets) - 1
     while first < n:
         last = int(np.searchsorted(offsets, offsets[first] + block_bytes, "right")) - 1
-        last = min(max(last, first + 1), n)
+        last = min(max(last, first + 1), n, first + (most_rows or n))
         yield Block(first, data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
         first = last
 

@@ -14,7 +14,9 @@ floats) travels in the closure.
 
 Defined results: a null text or one without a letter is `und` with score 0, as
 is everything if there is no labelled row; null labels are not learned from;
-repeated rows get equal answers; extra columns are ignored.
+rows with a null id are learned from and not held out; repeated rows get equal
+answers; very long texts are counted whole; extra columns are ignored; an empty
+table gives an empty table.  More than MOST_LANGUAGES labels are an error.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._shared import documents
@@ -33,6 +35,8 @@ from ._text import blocks
 
 FEATURES = 1 << 12
 SAMPLE_PER_LANGUAGE = 400
+MOST_LANGUAGES = 2_000
+_ROWS_AT_ONCE = 256  # dense rows of features held at once
 UNKNOWN = "und"
 
 #: Letters and bytes beyond ASCII stay (A-Z lowered); all else counts as a space.
@@ -46,7 +50,7 @@ _LETTER[65:91] = _LETTER[97:123] = True
 def ngram_features(column: pa.Array, features: int = FEATURES) -> Iterator[np.ndarray]:
     """Blocks of rows of n-gram features (n = 1 to 4), each row of length one."""
     bits = features.bit_length() - 1
-    for block in blocks(column):
+    for block in blocks(column, most_rows=_ROWS_AT_ONCE):
         folded = _FOLD[block.data]
         doc = np.repeat(np.arange(block.n), np.diff(block.offsets))
         rows = np.zeros(block.n * features, np.float32)
@@ -103,7 +107,8 @@ class CodeModel:
 
 
 def fit_codes(rows: np.ndarray, labels: list[str], ridge: float = 0.05) -> CodeModel:
-    """Fits one regularised linear classifier for each bit, in the dual."""
+    """Fits one regularised linear classifier for each bit: in the dual, or in
+    the primal where there are more rows than features (the same weights)."""
     languages = sorted(set(labels))
     y = np.array([languages.index(x) for x in labels], np.int64)
     code = codewords(len(languages))
@@ -111,9 +116,10 @@ def fit_codes(rows: np.ndarray, labels: list[str], ridge: float = 0.05) -> CodeM
     x = np.hstack([rows, np.ones((len(rows), 1), np.float32)]).astype(np.float64)
     balance = np.sqrt(1.0 / np.bincount(y, minlength=len(languages))[y])[:, None]
     xb = x * balance
-    gram = xb @ xb.T
+    dual = len(xb) <= xb.shape[1]
+    gram = xb @ xb.T if dual else xb.T @ xb
     gram[np.diag_indices_from(gram)] += ridge / max(len(languages), 1) ** 0.5 / 10
-    weights = xb.T @ np.linalg.solve(gram, bits * balance)
+    weights = xb.T @ np.linalg.solve(gram, bits * balance) if dual else np.linalg.solve(gram, xb.T @ (bits * balance))
     right = (np.sign(x @ weights) == bits).astype(np.float64)
     trust = np.stack([right[y == c].mean(axis=0) for c in range(len(languages))]) + 1e-6
     return CodeModel(languages, code, weights.astype(np.float32), (trust / trust.sum(axis=1, keepdims=True) * code.shape[1] ** 0.5).astype(np.float32))
@@ -121,14 +127,19 @@ def fit_codes(rows: np.ndarray, labels: list[str], ridge: float = 0.05) -> CodeM
 
 def fit_languages(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_per_language: int = SAMPLE_PER_LANGUAGE) -> CodeModel | None:
     """The model of at most sample_per_language rows of each language."""
-    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(F.col(id_col), F.lit("langid")), F.lit(1 << 40)).alias("turn"))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(F.col(id_col), F.col(text_col), F.lit("langid")), F.lit(1 << 40)).alias("turn"))
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MOST_LANGUAGES + 1).collect()}
     if not counts:
         return None
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     # A share of each language that holds more than the sample; the exact cut follows on the few left.
     share = {k: int((1 << 40) * min(1.0, (1.5 * sample_per_language + 50) / n)) for k, n in counts.items()}
     within = F.create_map(*(F.lit(x) for kv in share.items() for x in kv))
     rows = rows.where(F.col("turn") < within[F.col("lang")])
+    # Rows that repeat share a turn, so the number is held in any case.
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("turn"))
+    rows = rows.withColumn("place", place).where(F.col("place") <= sample_per_language)
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -176,12 +187,12 @@ def identify(docs: DataFrame, model: CodeModel | None, id_col: str = "doc_id", t
     return docs.select(id_col, text_col).mapInArrow(predicted, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, lang_pred string, score double, ambiguous boolean")
 
 
-def _fold(id_col: Column, folds: int) -> Column:
-    return F.crc32(id_col.cast("string").cast("binary")) % folds
+def _held_out(id_col: Column) -> Column:
+    return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    model = fit_languages(docs.where(_fold(F.col("doc_id"), 5) != 0))
+    model = fit_languages(docs.where(~_held_out(F.col("doc_id"))))
     got = identify(docs, model)
-    return got.select("doc_id", (_fold(F.col("doc_id"), 5) == 0).alias("held_out"), "lang_pred", "score", "ambiguous")
+    return got.select("doc_id", _held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "ambiguous")
