@@ -97,6 +97,11 @@ def _from_generation(text: str | None) -> str | None:
     return _first_json([_unfenced(text), *_balanced(text)]) if text else None
 
 
+def first_json_object(text: str | None) -> str | None:
+    """What ``extract_json`` gives for one text."""
+    return _from_generation(text)
+
+
 def _from_response(text: str | None) -> str | None:
     if not text or not text.strip():
         return None
@@ -154,7 +159,9 @@ def retry_prompt(c: Column, schema_json: str, most: int = 3000) -> Column:
 def recovered(c: Column, retry: Column | None = None) -> Column:
     """Fields from prose; a retry's answer (a text) fills only what is missing."""
     first = fields_from_prose(c)
-    if retry is None:
-        return first
-    second = fields_from_prose(retry)
+    return first if retry is None else merged_fields(first, fields_from_prose(retry))
+
+
+def merged_fields(first: Column, second: Column) -> Column:
+    """Fields of the first struct, gaps filled from the second."""
     return F.struct(*(F.coalesce(first[f], second[f]).alias(f) for f in (*FIELD_PATTERNS, "line_items")))

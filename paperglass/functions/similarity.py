@@ -6,7 +6,12 @@ are normalised already, so that one projection can share the work.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import zlib
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import normalize as N
@@ -95,6 +100,38 @@ def key_information_recall(gt: Column, pred: Column) -> Column:
     return N.let(F.array(*map(hits, KEY_PATTERNS)), share)
 
 
+def hashed_ngrams(texts: list[str], dimension: int = 256) -> np.ndarray:
+    """A plain stand-in for a sentence encoder: counts of hashed letter trigrams."""
+    out = np.zeros((len(texts), dimension), np.float32)
+    for row, text in zip(out, texts):
+        for k in range(max(len(text) - 2, 1)):
+            row[zlib.crc32(text[k : k + 3].encode()) % dimension] += 1
+    return out
+
+
+def embedding_similarity(pairs: DataFrame, a: str, b: str, out: str = "embedding", encode: Callable[[list[str]], np.ndarray] = hashed_ngrams) -> DataFrame:
+    """pairs with the cosine of the encoded texts of two columns.
+
+    Each distinct normalised text is encoded once, in batches, and joined back.
+    An empty text is 0 to anything, equal texts are 1.
+    """
+
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            vectors = np.asarray(encode(batch.column(0).to_pylist()), np.float64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(vectors), pa.list_(pa.float64()))], names=["_text", "_vector"])
+
+    text = lambda c: F.coalesce(N.text(F.col(c)), F.lit(""))
+    asked = pairs.withColumns({"_a": text(a), "_b": text(b)})
+    open_ = asked.where((F.col("_a") != "") & (F.col("_b") != "") & (F.col("_a") != F.col("_b")))
+    distinct = open_.select(F.explode(F.array("_a", "_b")).alias("_text")).distinct()
+    vectors = distinct.mapInArrow(encoded, "_text string, _vector array<double>")
+    side = lambda c: vectors.select(F.col("_text").alias(c), F.col("_vector").alias(f"{c}v"))
+    joined = asked.join(side("_a"), "_a", "left").join(side("_b"), "_b", "left")
+    value = F.when((F.col("_a") == "") | (F.col("_b") == ""), 0.0).when(F.col("_a") == F.col("_b"), 1.0).otherwise(cosine(F.col("_av"), F.col("_bv")))
+    return joined.withColumn(out, value).select(*pairs.columns, out)
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Cosine of two float arrays in double precision; 0 for a zero vector."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda u, v: u.cast("double") * v.cast("double")), F.lit(0.0), lambda s, v: s + v)

@@ -73,12 +73,16 @@ def greedy(similarity: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _with_pairs(df: DataFrame, matrix: str, out: str, least: float) -> DataFrame:
-    """df with the pairs of the optimal assignment of each row's similarities."""
+def _with_pairs(df: DataFrame, matrix: str, out: str, least: float, method: str) -> DataFrame:
+    """df with the pairs of each row's similarities, by the optimal assignment or
+    the greedy one; the other columns pass through as they are."""
 
     def one(rows) -> list[dict]:
         if not rows or not rows[0]:
             return []
+        if method == "greedy":
+            m = np.array(rows, float)
+            return [{"g": i, "p": j} for i, j in sorted(greedy(m)) if m[i, j] >= least]
         if len(rows) <= len(rows[0]):  # each item's best is another's: nothing to trade
             first = [r.index(max(r)) for r in rows]
             if len(set(first)) == len(first):
@@ -138,18 +142,20 @@ def _part(name: str):
     return lambda s: s[name]
 
 
-def align_items(df: DataFrame, gt: str, pred: str, out: str, fields: tuple = ITEM_FIELDS, least: float = LEAST_SIMILARITY) -> DataFrame:
+def align_items(df: DataFrame, gt: str, pred: str, out: str, fields: tuple = ITEM_FIELDS, least: float = LEAST_SIMILARITY, method: str = "optimal") -> DataFrame:
     """df with a struct column out: counts, count_accuracy, precision, recall, f1,
     overall, pairs, and the mean score of each item field over the pairs.
 
-    Both lists empty is a perfect match; only one empty is none.
+    Both lists empty is a perfect match; only one empty is none.  method is
+    "optimal" or "greedy", which takes the most similar pair first.
     """
+    if method not in ("optimal", "greedy"):
+        raise ValueError(f"unknown method {method}")
     ship_package(df.sparkSession)
     g, p = F.coalesce(F.col(gt), F.array().cast(df.schema[gt].dataType)), F.coalesce(F.col(pred), F.array().cast(df.schema[pred].dataType))
     ready = df.select("*", _prepared(g, fields).alias("_g"), _prepared(p, fields).alias("_p"))
     matrix = F.transform("_g", lambda x: F.transform("_p", lambda y: item_similarity(x, y)))
-    # Only the numbers go to Python, beside the row's columns.
-    staged = _with_pairs(ready.withColumn("_matrix", matrix).drop("_g", "_p"), "_matrix", "_pairs", least).drop("_matrix")
+    staged = _with_pairs(ready.withColumn("_matrix", matrix).drop("_g", "_p"), "_matrix", "_pairs", least, method).drop("_matrix")
     n_g, n_p, n = F.size(g), F.size(p), F.size("_pairs")
     scored = F.transform("_pairs", lambda q: F.struct(*(_pair_score(k, F.get(g, q["g"])[f], F.get(p, q["p"])[f]).alias(f) for f, k, _ in fields)))
     staged = staged.withColumn("_scores", scored)

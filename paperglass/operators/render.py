@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import normalize as N
 from ..plans.registry import FIELDS
-from .sampling import DOCUMENT_TYPES, draw, weighted
+from .sampling import draw, weighted
 
 # Rules for choosing a template, layouts, symbols and colours.
 TEMPLATE_RULES = {
@@ -156,11 +156,32 @@ def generation_prompt(params: DataFrame) -> DataFrame:
     return params.withColumn("prompt", F.array_join(lines, "\n"))
 
 
+def extraction_prompt(schema_json: str, pages: Column | None = None) -> Column:
+    """What a model that reads page images is asked: the schema and the rules."""
+    lines = [
+        "Read the document image and put what it says into one JSON object of this schema:",
+        schema_json,
+        "Numbers are plain numbers with two decimals, dates are YYYY-MM-DD, times HH:MM, the currency is its three-letter code.",
+        "Every line of the item table is one entry of line_items, every rate one entry of taxes.",
+        "A field that the document does not show is an empty text, 0.0 or an empty list.",
+        "Answer with the JSON only.",
+    ]
+    if pages is None:
+        return F.lit("\n".join(lines))
+    several = F.when(pages > 1, F.concat(F.lit("\nThis is one of "), pages.cast("string"), F.lit(" pages; report only what this page shows."))).otherwise("")
+    return F.concat(F.lit("\n".join(lines)), several)
+
+
+def extended_prompt(schema_json: str) -> Column:
+    """The longer form: a line for each field, by tier."""
+    hints = {"numeric": "number", "date": "date as YYYY-MM-DD", "time": "time as HH:MM", "line_items": "list of description, quantity, unit_price, amount, tax_rate, tax_amount", "tax_items": "list of base, rate, code, value", "category": "one word"}
+    fields = [f"- {f.name}: {hints.get(f.kind, 'text')}{' (copy exactly)' if f.identity else ''}" for f in sorted(FIELDS, key=lambda f: (f.tier, f.name))]
+    categories = "document_category is one of " + ", ".join(CATEGORIES) + "."
+    return F.lit("\n".join(["Find these fields in the document image:", *fields, categories, "Schema:", schema_json, "Think briefly, then answer with the JSON only."]))
+
+
 def document_names(rows: DataFrame, index: str, columns: list[str]) -> DataFrame:
     """rows with ``base_name``: index and a short hash of the columns' JSON."""
     digest = F.substring(F.md5(F.to_json(F.struct(*sorted(columns)))), 1, 8)
     return rows.withColumn("base_name", F.concat(F.lit("synth_"), F.format_string("%04d", F.col(index)), F.lit("_"), digest))
 
-
-def known_types() -> tuple[str, ...]:
-    return DOCUMENT_TYPES

@@ -27,12 +27,12 @@ def last_wins(df: DataFrame, key: str = KEY, order: str = "ordinal") -> DataFram
     return df.groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("_last")).select(key, *(F.col(f"_last.{c}").alias(c) for c in rest))
 
 
-def _side(df: DataFrame, key: str, order: str | None, names: list[str], name: str, value) -> DataFrame:
+def _side(df: DataFrame, key: str, order: str | None, names: list[str], name: str, value, by: tuple[str, ...] = ()) -> DataFrame:
     have = [n for n in names if n in df.columns]
     if order:
         df = last_wins(df.select(key, order, *have), key, order)
     row = F.struct(*(value(df, n, n in have).alias(n) for n in names))
-    return df.where(F.coalesce(F.col(key), F.lit("")) != "").select(key, row.alias(name))
+    return df.where(F.coalesce(F.col(key), F.lit("")) != "").select(key, *by, row.alias(name))
 
 
 def matched(gt: DataFrame, pred: DataFrame, names: list[str], key: str = KEY, order: str | None = None) -> DataFrame:
@@ -48,9 +48,13 @@ def unmatched(gt: DataFrame, pred: DataFrame, key: str = KEY) -> DataFrame:
     return g.join(p, key, "left_anti").select(F.lit("gt_only").alias("side"), key).unionByName(p.join(g, key, "left_anti").select(F.lit("pred_only").alias("side"), key))
 
 
-def field_results(gt: DataFrame, pred: DataFrame, fields: Iterable[Field] | None = None, key: str = KEY, order: str | None = None) -> DataFrame:
-    """(key, field_name, field_type, tier, weight, null_status, exact_match,
-    similarity, levenshtein, grade), one row for each document and scalar field."""
+def field_results(gt: DataFrame, pred: DataFrame, fields: Iterable[Field] | None = None, key: str = KEY, order: str | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """(key, by..., field_name, field_type, tier, weight, null_status, exact_match,
+    similarity, levenshtein, grade), one row for each document and scalar field.
+
+    by: columns of the predictions that tell several runs apart; the truth is
+    then read and joined once for all of them.
+    """
     fields = [f for f in (selected() if fields is None else fields) if f.kind not in NESTED_KINDS]
     by_name = {f.name: f for f in fields}
     types = [dict(gt.dtypes), dict(pred.dtypes)]
@@ -60,10 +64,10 @@ def field_results(gt: DataFrame, pred: DataFrame, fields: Iterable[Field] | None
         return prepared(by_name[n], df[n] if have else F.lit(None).cast("double" if typed else "string"), typed)
 
     names = list(by_name)
-    both = _side(gt, key, order, names, "g", value).join(_side(pred, key, order, names, "p", value), key)
+    both = _side(gt, key, order, names, "g", value).join(_side(pred, key, order, names, "p", value, by), key)
     rows = [F.struct(*described(f), both["g"][f.name].alias("_g"), both["p"][f.name].alias("_p")) for f in fields]
-    long = both.select(key, F.explode(F.array(*rows)).alias("f")).select(key, "f.*")
-    return judged(long).select(key, "field_name", "field_type", "tier", "weight", *RESULT)
+    long = both.select(key, *by, F.explode(F.array(*rows)).alias("f")).select(key, *by, "f.*")
+    return judged(long).select(key, *by, "field_name", "field_type", "tier", "weight", *RESULT)
 
 
 def _share(condition: Column, total: Column) -> Column:
@@ -114,14 +118,12 @@ def item_results(gt: DataFrame, pred: DataFrame, key: str = KEY, order: str | No
 def document_scores(results: DataFrame, items: DataFrame | None = None, key: str = KEY) -> DataFrame:
     """Tier and overall scores of each document: weighted means over its fields
     that are not true negatives, with item scores where given."""
-    scored = results.where(F.col("null_status") != "tn").select(key, "tier", F.col("similarity").alias("score"), "weight")
+    real = F.col("null_status") != "tn"  # a true negative only makes its document known
+    scored = results.select(key, "tier", F.when(real, F.col("similarity")).alias("score"), F.when(real, F.col("weight")).alias("weight"))
     if items is not None:
         extra = [F.struct(F.lit(f.tier).alias("tier"), F.col(f"{f.name}.overall").alias("score"), F.lit(f.weight).alias("weight")) for f in selected(kinds=set(NESTED_KINDS))]
         scored = scored.unionByName(items.select(key, F.explode(F.array(*extra)).alias("x")).select(key, "x.*"))
-    everyone = results.select(key).distinct()
-    made = _tiers(scored, [key])
-    zero = {c: 0.0 for c in made.columns if c != key}
-    return everyone.join(made, key, "left").fillna(zero)
+    return _tiers(scored, [key])
 
 
 def run_scores(metrics: DataFrame, items: DataFrame | None = None, by: list[str] | None = None) -> DataFrame:
@@ -235,5 +237,53 @@ def field_comparison(metrics: DataFrame, models: list[str], model: str = "model"
     return wide.withColumn("winner", winner)
 
 
+def document_reports(results: DataFrame, items: DataFrame | None = None, key: str = KEY) -> DataFrame:
+    """(key, report): the JSON of each document - its scores, each field's result
+    and, if given, the counts and scores of its items."""
+    parts = F.map_from_entries(F.array_sort(F.collect_list(F.struct("field_name", F.struct(F.col("exact_match"), F.col("similarity"), F.col("grade"), F.col("null_status"))))))
+    fields = results.groupBy(key).agg(parts.alias("fields"))
+    whole = document_scores(results, items, key).join(fields, key)
+    columns = [key, "overall_score", *(f"tier{t}_score" for t in TIER_WEIGHTS), "fields"]
+    if items is not None:
+        r, n = F.col("line_items"), F.size("line_items.pairs")
+        counts = F.struct(
+            r["gt_count"].alias("gt_count"), r["pred_count"].alias("pred_count"), r["count_accuracy"].alias("count_accuracy"), r["f1"].alias("item_f1"), r["overall"].alias("overall_score"),
+            n.alias("matched_pairs"), (r["gt_count"] - n).alias("unmatched_gt"), (r["pred_count"] - n).alias("unmatched_pred"), r["fields"].alias("avg_field_scores"),
+        )
+        whole = whole.join(items.select(key, counts.alias("line_items")), key)
+        columns.append("line_items")
+    return whole.select(key, F.to_json(F.struct(*columns)).alias("report"))
+
+
+def run_report(results: DataFrame, items: DataFrame | None = None, model: str = "model", dataset: str = "dataset", key: str = KEY) -> DataFrame:
+    """(level, key, report): the run's scores, each field's metrics and each
+    document's results as JSON rows, so that no document list is one row's work."""
+    metrics = field_metrics(results)
+    run = run_scores(metrics, items).select(F.col("wfes").alias("overall_weighted_score"), *(f"tier{t}_score" for t in TIER_WEIGHTS))
+    graded = grade_distribution(results).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("grade", "n")))).alias("grade_distribution"))
+    counted = results.agg(F.count_distinct(key).alias("num_documents"))
+    one = run.join(graded).join(counted)  # one row each
+    names = ["model_name", "dataset_name", "num_documents", *run.columns, "grade_distribution"]
+    if items is not None:
+        one = one.join(item_run_metrics(items).select(F.struct("*").alias("line_item_metrics")))
+        names.append("line_item_metrics")
+    head = one.withColumns({"model_name": F.lit(model), "dataset_name": F.lit(dataset)}).select(F.lit("run").alias("level"), F.lit(model).alias("key"), F.to_json(F.struct(*names)).alias("report"))
+    fields = metrics.select(F.lit("field").alias("level"), F.col("field_name").alias("key"), F.to_json(F.struct("*")).alias("report"))
+    docs = document_reports(results, items, key).select(F.lit("document").alias("level"), F.col(key).alias("key"), "report")
+    return head.unionByName(fields).unionByName(docs)
+
+
+def verbose_rows(results: DataFrame, scores: DataFrame, key: str = KEY) -> DataFrame:
+    """Every field result with its document's score, worst documents first,
+    fields by name."""
+    rows = results.join(scores.select(key, "overall_score"), key)
+    return rows.select(key, "overall_score", "field_name", "grade", "similarity").orderBy("overall_score", key, "field_name")
+
+
+def run_timing(rows: DataFrame, seconds: str = "seconds", error: str = "error") -> DataFrame:
+    """(documents, succeeded, failed, mean_seconds): the mean is over all."""
+    return rows.agg(F.count(F.lit(1)).alias("documents"), F.count_if(F.col(error).isNull()).alias("succeeded"), F.count_if(F.col(error).isNotNull()).alias("failed"), F.avg(seconds).alias("mean_seconds"))
+
+
 def worst_documents(scores: DataFrame, n: int = 5, key: str = KEY) -> DataFrame:
     return scores.orderBy("overall_score", key).limit(n)

@@ -12,18 +12,16 @@ from ..functions import normalize as N
 from ..functions import recover as R
 from ..functions import similarity as M
 from ..functions.compare import compare_pairs
-from ..operators import align, audit, flatscore, merge, publish, render, repair, sampling, score
+from ..operators import align, audit, extract, flatscore, generate, merge, nearest, pages, publish, render, repair, sampling, score
 from ..sources import json_docs
 from . import fixtures as X
 from . import oracles as O
-from .registry import FIELDS, GRADES, ITEM_FIELDS, TAX_FIELDS, Field, field_registry, item_registry, selected
+from .registry import FIELDS, GRADES, ITEM_FIELDS, NESTED_KINDS, TAX_FIELDS, Field, field_registry, item_registry, selected
 from .shipping import ship_package
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
 
-LIGHT = ("supplier_name", "document_date", "document_currency", "document_total_amount", "document_category")
-
 
 def query(oracle: str | None = None, name: str | None = None):
     def register(f):
@@ -112,18 +110,18 @@ def standard_metrics(spark, sf_dir):
 
 
 def _models(spark, sf_dir):
-    gt = X.gt_docs(spark, sf_dir)
-    return X.union_all([score.field_results(gt, p, X.registry_rows(LIGHT)).withColumn("model", F.lit(m)) for m, p in X.model_predictions(spark, sf_dir).items()])
+    said = X.union_all([p.withColumn("model", F.lit(m)) for m, p in X.model_predictions(spark, sf_dir).items()])
+    return score.field_results(X.gt_docs(spark, sf_dir), said, X.registry_rows(X.SCORED), by=("model",))
 
 
 @query(O.with_models(f"""SELECT metric, model, value, row_number() OVER (PARTITION BY metric ORDER BY value DESC, model) AS place
-  FROM (UNPIVOT (SELECT model, wfes, entity_f1, anls FROM ({_standard_sql('model')})) ON wfes, entity_f1, anls INTO NAME metric VALUE value)""", LIGHT))
+  FROM (UNPIVOT (SELECT model, wfes, entity_f1, anls FROM ({_standard_sql('model')})) ON wfes, entity_f1, anls INTO NAME metric VALUE value)""", X.SCORED))
 def model_ranking(spark, sf_dir):
     return rounded(score.model_ranking(rounded(score.standard_metrics(_models(spark, sf_dir), by=["model"])), ["wfes", "entity_f1", "anls"]))
 
 
 @query(O.with_models("""SELECT field_name, alpha, beta, gamma, CASE WHEN alpha >= beta AND alpha >= gamma THEN 'alpha' WHEN beta >= gamma THEN 'beta' ELSE 'gamma' END AS winner
-  FROM (SELECT field_name, """ + ", ".join(f"round(avg(similarity) FILTER (model = '{m}' AND null_status <> 'tn'), 6) AS {m}" for m in X.MODELS) + " FROM res GROUP BY 1)", LIGHT))
+  FROM (SELECT field_name, """ + ", ".join(f"round(avg(similarity) FILTER (model = '{m}' AND null_status <> 'tn'), 6) AS {m}" for m in X.MODELS) + " FROM res GROUP BY 1)", X.SCORED))
 def field_comparison_pivot(spark, sf_dir):
     made = rounded(score.field_metrics(_models(spark, sf_dir), ["model"]))
     return score.field_comparison(made, list(X.MODELS))
@@ -254,13 +252,10 @@ def key_info_recall(spark, sf_dir):
 
 
 @query("""SELECT q AS query_id, vec_id, place, round(c, 6) AS cosine FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY c DESC, vec_id) AS place FROM (
-  SELECT a.vec_id AS q, b.vec_id, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS c FROM embeddings a JOIN embeddings b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND a.label = b.label)) WHERE place <= 5""")
+  SELECT a.vec_id AS q, b.vec_id, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS c FROM embeddings a JOIN embeddings b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id)) WHERE place <= 5""")
 def embedding_cosine_topk(spark, sf_dir):
-    """Nearest of the same label, for the stated query set (ids divisible by 100)."""
-    rows = X.table(spark, sf_dir, "embeddings")
-    asked = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), "label")
-    pairs = asked.join(rows, "label").where("query_id <> vec_id").select("query_id", "vec_id", M.cosine(F.col("q"), F.col("embedding")).alias("cosine"))
-    return rounded(merge.first_rows(pairs, ["query_id"], [F.desc("cosine"), F.col("vec_id")], 5).withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("cosine"), "vec_id"))))
+    """Nearest of all rows, for the stated query set (ids divisible by 100)."""
+    return rounded(nearest.nearest_cosine(X.table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0))
 
 
 # audit and repair ---------------------------------------------------------------
@@ -416,12 +411,12 @@ def _item_pairs(spark, sf_dir):
     return gt.select("file_name", F.col("line_items").alias("g"), F.col("taxes").alias("gt")).join(pred.select("file_name", F.col("line_items").alias("p"), F.col("taxes").alias("pt")), "file_name")
 
 
-@query()
+@query(O.first_fit(_FLAT_TEXT))
 def greedy_item_f1(spark, sf_dir):
     return rounded(_item_pairs(spark, sf_dir).select("file_name", align.first_fit_f1(F.col("g"), F.col("p")).alias("f1")))
 
 
-@query()
+@query(O.best_assignment("SELECT file_name, gt_count, pred_count, " + ", ".join(f'round("{c}", 6) AS "{c}"' for c in ("count_accuracy", "precision", "recall", "f1", "overall")) + " FROM item"))
 def assignment_item_f1(spark, sf_dir):
     made = align.align_items(_item_pairs(spark, sf_dir), "g", "p", "r")
     return rounded(made.select("file_name", *(F.col(f"r.{c}").alias(c) for c in ("gt_count", "pred_count", "count_accuracy", "precision", "recall", "f1", "overall"))))
@@ -433,17 +428,23 @@ def tax_item_f1(spark, sf_dir):
     return rounded(made.select("file_name", "r.f1", "r.overall"))
 
 
-@query()
+@query(O.best_assignment("SELECT " + ", ".join(f'round(avg("{c}"), 6) AS "{c}"' for c in ("count_accuracy", "precision", "recall", "f1", "overall")) + ", " + ", ".join(f"round(coalesce(avg({f}), 0e0), 6) AS field_{f}" for f, *_ in ITEM_FIELDS) + " FROM item"))
 def item_run_metrics(spark, sf_dir):
     items = score.item_results(X.item_docs(spark, sf_dir), X.item_predictions(spark, sf_dir))
     return rounded(score.item_run_metrics(items))
 
 
-@query()
+_WHOLE = ("supplier_name", "document_date", "document_currency", "document_total_amount", "document_total_net", "document_total_tax")
+_NESTED = {f.name: f for f in FIELDS if f.kind in NESTED_KINDS}
+#: Every scalar field is predicted as it is; the tax entry too.
+_WHOLE_SCORES = " UNION ALL ".join([*(f"SELECT {f.tier} AS tier, 1e0 AS score, {f.weight}::DOUBLE AS weight" for f in FIELDS if f.name in _WHOLE), *(f"SELECT {f.tier}, {score_}, {f.weight}::DOUBLE{source}" for f, score_, source in ((_NESTED["line_items"], "avg(overall)", " FROM item"), (_NESTED["taxes"], "1e0", "")))])
+
+
+@query(O.best_assignment(f"SELECT wfes, 1e0 AS entity_f1, 1e0 AS entity_precision, 1e0 AS entity_recall, 1e0 AS anls, (SELECT round(avg(f1), 6) FROM item) AS line_item_f1 FROM ({O.tiers(_WHOLE_SCORES, '', 'wfes')})"))
 def full_evaluation(spark, sf_dir):
     """Standard metrics of a run with items and taxes."""
     gt, pred = X.item_docs(spark, sf_dir), X.item_predictions(spark, sf_dir)
-    fields = selected(names={"supplier_name", "document_date", "document_currency", "document_total_amount", "document_total_net", "document_total_tax"})
+    fields = selected(names=set(_WHOLE))
     return rounded(score.standard_metrics(score.field_results(gt, pred, fields), score.item_results(gt, pred)))
 
 

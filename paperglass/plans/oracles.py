@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from .fixtures import GT_SQL, LINES_SQL, PRED_SQL, registry_rows
-from .registry import GRADES, TIER_WEIGHTS, Field
+from .registry import GRADES, ITEM_FIELDS, TIER_WEIGHTS, Field
 
 GT = GT_SQL.format(orders="orders", customer="customer")
 BOTH = f"WITH gt AS ({GT}), pred AS ({PRED_SQL})"
@@ -173,3 +175,52 @@ def anls(by: str = "", threshold: float = 0.5) -> str:
     value = "CASE WHEN field_type IN ('numeric', 'date') THEN similarity ELSE coalesce(levenshtein, similarity) END"
     score = f"CASE WHEN null_status = 'tn' THEN NULL WHEN null_status <> 'tp' THEN 0e0 WHEN {value} >= {threshold} THEN {value} ELSE 0e0 END"
     return f"SELECT {lead}field_name, round(coalesce(avg(s), 0e0), 6) AS anls, count(s) AS n, count(*) FILTER (null_status = 'tn') AS tn_skipped FROM (SELECT *, {score} AS s FROM res) GROUP BY GROUPING SETS (({lead}field_name), ({by}))"
+
+
+#: Line items of the true and predicted documents, each with its place in the list.
+ITEMS = f"""l AS ({LINES}), size AS (SELECT k, count(*) AS n FROM l GROUP BY k),
+  gi AS (SELECT k, line AS g, description, quantity::DOUBLE AS quantity, unit_price::DOUBLE AS unit_price, amount::DOUBLE AS amount, tax_rate, tax_amount::DOUBLE AS tax_amount FROM l WHERE k % 19 <> 0),
+  pi AS (SELECT k, CASE WHEN k % 4 <> 0 AND k % 9 = 0 THEN n + 1 - line ELSE line END AS p, CASE WHEN k % 7 = 0 THEN upper(description) ELSE description END AS description, quantity::DOUBLE AS quantity,
+    unit_price::DOUBLE AS unit_price, amount::DOUBLE + CASE WHEN k % 5 = 0 THEN 0.5 ELSE 0 END AS amount, tax_rate, tax_amount::DOUBLE AS tax_amount FROM l JOIN size USING (k) WHERE k % 19 <> 0 AND k % 23 <> 0 AND (k % 4 <> 0 OR line < n))"""
+
+
+def first_fit(flat: Callable[[str], str]) -> str:
+    """f1 of pairing each predicted item, in order, with the first free true one."""
+    like = f"(({flat('x.description')} = y.flat) OR (length({flat('x.description')}) > 3 AND (contains(y.flat, {flat('x.description')}) OR contains({flat('x.description')}, y.flat)))) AND abs(x.amount - y.amount) <= 0.05"
+    return f"""WITH RECURSIVE {ITEMS}, gl AS (SELECT k, count(*) AS n FROM gi GROUP BY k), pl AS (SELECT k, count(*) AS n FROM pi GROUP BY k),
+      fits AS (SELECT x.k, x.p, list(y.g ORDER BY y.g) AS free FROM pi x JOIN (SELECT *, {flat('description')} AS flat FROM gi) y ON x.k = y.k AND {like} GROUP BY x.k, x.p),
+      walk(k, p, used) AS (SELECT k, 0::BIGINT, []::BIGINT[] FROM pl UNION ALL
+        SELECT w.k, w.p + 1, CASE WHEN len(list_filter(coalesce(f.free, []), lambda j: NOT list_contains(w.used, j))) > 0 THEN list_append(w.used, list_filter(f.free, lambda j: NOT list_contains(w.used, j))[1]) ELSE w.used END
+        FROM walk w JOIN pl ON pl.k = w.k AND w.p < pl.n LEFT JOIN fits f ON f.k = w.k AND f.p = w.p + 1),
+      done AS (SELECT w.k, len(w.used) AS hits FROM walk w JOIN pl ON pl.k = w.k AND w.p = pl.n)
+      SELECT 'doc_' || CAST(gl.k AS STRING) AS file_name, round(CASE WHEN pl.n IS NULL THEN 0e0 ELSE 2e0 * hits / (gl.n + pl.n) END, 6) AS f1 FROM gl LEFT JOIN pl USING (k) LEFT JOIN done USING (k)"""
+
+
+def _pair_scores() -> str:
+    numeric = lambda f: f"CASE WHEN abs(x.{f} - y.{f}) <= 0.02 THEN 1e0 ELSE 0e0 END AS s_{f}"
+    string = lambda f: f"greatest({token_f1(text(f'x.{f}'), text(f'y.{f}'))}, {lev(text(f'x.{f}'), text(f'y.{f}'))}) AS s_{f}"
+    return ", ".join(numeric(f) if kind == "numeric" else string(f) for f, kind, _ in ITEM_FIELDS)
+
+
+def best_assignment(body: str, more: str = "") -> str:
+    """body over item (k, file_name and the result columns of the best one-to-one
+    assignment), found by walking all sets of taken predicted items."""
+    said = f"greatest({token_f1(text('x.description'), text('y.description'))}, {lev(text('x.description'), text('y.description'))})"
+    off = "abs(x.amount - y.amount) / abs(x.amount)"
+    paid = f"CASE WHEN abs(x.amount - y.amount) <= 0.02 THEN 1e0 WHEN x.amount <> 0 AND {off} < 0.5 THEN 1e0 - {off} ELSE 0e0 END"
+    weight = sum(w for *_, w in ITEM_FIELDS)
+    quality = "(" + " + ".join(f"{w} * s_{f}" for f, _, w in ITEM_FIELDS) + f") / {weight}"
+    means = ", ".join(f"avg(s_{f}) AS {f}" for f, *_ in ITEM_FIELDS)
+    pick = lambda none_said, value: f"CASE WHEN np IS NULL THEN {none_said} ELSE {value} END"
+    return f"""WITH RECURSIVE {more}{ITEMS}, gl AS (SELECT k, count(*) AS ng FROM gi GROUP BY k), pl AS (SELECT k, count(*) AS np FROM pi GROUP BY k),
+      likely AS (SELECT x.k, x.g, y.p, 0.6e0 * {said} + 0.4e0 * ({paid}) AS sim, {_pair_scores()} FROM gi x JOIN pi y ON x.k = y.k),
+      walk(k, g, mask, total, pairs) AS (SELECT k, 0::BIGINT, 0::BIGINT, 0e0, []::BIGINT[] FROM pl UNION ALL
+        SELECT k, g, mask, max(total), max_by(pairs, total) FROM (
+          SELECT w.k, w.g + 1 AS g, w.mask | (1::BIGINT << CAST(s.p AS INT)) AS mask, w.total + s.sim AS total, list_append(w.pairs, s.p) AS pairs FROM walk w JOIN likely s ON s.k = w.k AND s.g = w.g + 1 AND (w.mask >> CAST(s.p AS INT)) & 1 = 0
+          UNION ALL SELECT w.k, w.g + 1, w.mask, w.total, list_append(w.pairs, 0) FROM walk w JOIN gl ON gl.k = w.k AND w.g < gl.ng JOIN pl ON pl.k = w.k AND pl.np < gl.ng) GROUP BY k, g, mask),
+      best AS (SELECT w.k, max_by(w.pairs, w.total) AS pairs FROM walk w JOIN gl ON gl.k = w.k AND w.g = gl.ng GROUP BY w.k),
+      taken AS (SELECT s.* FROM (SELECT k, unnest(pairs) AS p, generate_subscripts(pairs, 1) AS g FROM best) b JOIN likely s ON s.k = b.k AND s.g = b.g AND s.p = b.p WHERE s.sim >= 0.3),
+      scored AS (SELECT k, count(*) AS n, avg({quality}) AS quality, {means} FROM taken GROUP BY k),
+      item AS (SELECT gl.k, 'doc_' || CAST(gl.k AS STRING) AS file_name, ng AS gt_count, coalesce(np, 0) AS pred_count, {pick('0e0', '1e0 - abs(ng - np) / greatest(ng, np)')} AS count_accuracy, {pick('1e0', 'coalesce(n, 0) / np')} AS "precision",
+        {pick('0e0', 'coalesce(n, 0) / ng')} AS recall, {pick('0e0', '2e0 * coalesce(n, 0) / (ng + np)')} AS f1, {pick('0e0', 'coalesce(2e0 * n / (ng + np) * quality, 0e0)')} AS overall, {', '.join(f for f, *_ in ITEM_FIELDS)}
+        FROM gl LEFT JOIN pl USING (k) LEFT JOIN scored USING (k)) {body}"""
