@@ -54,9 +54,11 @@ def connected_components(edges: DataFrame, most_rounds: int = 60, most_degree: i
     no row set reaches the driver.  Nodes without an edge do not appear.
     """
 
-    def with_least(pairs: DataFrame) -> DataFrame:
+    def with_least(pairs: DataFrame, hubs_too: bool) -> DataFrame:
         """pairs (u, v) with m, the least of u and all its v; the pairs of a node
         of high degree are dealt in several parts, which its m is sent to."""
+        if not hubs_too:
+            return pairs.join(pairs.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), "u")
         of = pairs.groupBy("u").agg(F.min("v").alias("m"), F.ceil(F.count(F.lit(1)) / most_degree).cast("long").alias("parts")).withColumn("m", F.least("u", "m"))
         hubs = of.where("parts > 1").select("u", "parts")
         part = F.pmod(F.xxhash64("v"), F.coalesce("parts", F.lit(1)))
@@ -64,12 +66,12 @@ def connected_components(edges: DataFrame, most_rounds: int = 60, most_degree: i
         sent = of.select("u", "m", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
         return dealt.join(sent, ["u", "part"])
 
-    def large_star(e: DataFrame) -> DataFrame:
+    def large_star(e: DataFrame, hubs_too: bool) -> DataFrame:
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        return with_least(both).where(F.col("v") > F.col("u")).select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+        return with_least(both, hubs_too).where(F.col("v") > F.col("u")).select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
 
-    def small_star(e: DataFrame) -> DataFrame:
-        joined = with_least(e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))
+    def small_star(e: DataFrame, hubs_too: bool) -> DataFrame:
+        joined = with_least(e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), hubs_too)
         return (
             joined.select(F.col("v").alias("a"), F.col("m").alias("b"))
             .union(joined.select(F.col("u").alias("a"), F.col("m").alias("b")))
@@ -85,7 +87,9 @@ def connected_components(edges: DataFrame, most_rounds: int = 60, most_degree: i
     for _ in range(most_rounds):
         if not seen[0]:
             break
-        now = checkpointed(small_star(large_star(now)))
+        degrees = now.select(F.explode(F.array("a", "b")).alias("u")).groupBy("u").count()
+        hubs_too = degrees.agg(F.max("count")).first()[0] > most_degree
+        now = checkpointed(small_star(large_star(now, hubs_too), hubs_too))
         after = state(now)
         if after == seen:
             break

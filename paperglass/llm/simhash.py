@@ -333,9 +333,9 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     it, and the ball of radius one around the other half is enumerated among the
     rows that share the first.  A link is then decided by the exact Jaccard
     similarity of the two sets of shingle hashes.  Two passes keep large groups
-    from being paired with themselves: the first compares links that reach every
-    row with a candidate, the second all candidates that the first left in
-    different components, so no link is missed for the first one's sake.
+    from being paired with themselves: the first compares one candidate of every
+    row, the second all candidates that the first left in different components,
+    so no link is missed for the first one's sake.
     """
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -403,7 +403,11 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # A repeated id may stand for several texts: the set itself tells its node.
     sets = known.join(texts.select("id").distinct(), "id", "left_semi").select("text").mapInArrow(as_sets, "node long, hashes binary")
     sets = checkpointed(sets.join(touched, "node", "left_semi").groupBy("node").agg(F.first("hashes").alias("hashes")))
-    links = _verified(first, sets, similarity)
+    # One candidate of each row, the least over all segments: a large group then
+    # hangs on its least members, and no pair for each segment is compared.
+    either = first.union(first.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    lead = either.groupBy("a").agg(F.min("b").alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    links = _verified(lead, sets, similarity)
     parts = connected_components(links)
     named = distinct.join(touched, "node", "left_semi").join(parts, "node", "left").withColumn("root", F.coalesce("root", "node"))
     more = _verified(candidates(named, touched.count(), False), sets, similarity)
