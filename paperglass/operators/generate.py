@@ -37,7 +37,7 @@ def stand_in(prompts: list[str], attempt: int) -> list[str | None]:
         record = {
             "supplier_name": None if attempt == 0 and number % 7 == 0 else f"Supplier {number % 97}", "document_date": f"2024-{number % 12 + 1:02d}-{number % 28 + 1:02d}", "document_currency": ("EUR", "GBP", "USD")[number % 3],
             "line_items": [{"description": f"Item {k}", "quantity": k + 1, "unit_price": (number % 50) + 0.5, "amount": 0.0, "tax_rate": 0.23, "tax_amount": 0.0} for k in range(number % 4)],
-            "taxes": [{"base": 0.0, "rate": "0.23", "code": "VAT", "value": 0.0}], "document_total_net": 1.0, "document_total_tax": 0.0, "document_total_amount": 1.0,
+            "taxes": [{"base": 0.0, "rate": "0.23", "code": "VAT", "value": 0.0}], "document_total_net": 1.0, "document_total_tax": 0.0, "document_total_amount": 2.0,
         }
         out.append(f"```json\n{json.dumps(record)}\n```")
     return out

@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import degrade
 from ..functions import normalize as N
 from ..functions import recover as R
 from ..functions import similarity as M
@@ -68,16 +69,17 @@ def grade_distribution(spark, sf_dir):
     return score.grade_distribution(_results(spark, sf_dir))
 
 
-_DOC = "SELECT file_name, tier, similarity AS score, weight FROM res WHERE null_status <> 'tn'"
+#: A true negative has no score; it only makes its document known.
+_EVERY_DOC = "SELECT file_name, tier, CASE WHEN null_status <> 'tn' THEN similarity END AS score, CASE WHEN null_status <> 'tn' THEN weight END AS weight FROM res"
 _RUN = "SELECT {by}tier, avg(similarity) AS score, any_value(weight) AS weight FROM res WHERE null_status <> 'tn' GROUP BY {by}field_name, tier"
 
 
-@query(O.with_results(O.tiers(_DOC, "file_name")))
+@query(O.with_results(O.tiers(_EVERY_DOC, "file_name")))
 def doc_scores(spark, sf_dir):
     return rounded(score.document_scores(_results(spark, sf_dir)))
 
 
-@query(O.with_results(f"SELECT * FROM ({O.tiers(_DOC, 'file_name')}) ORDER BY overall_score, file_name LIMIT 5"))
+@query(O.with_results(f"SELECT * FROM ({O.tiers(_EVERY_DOC, 'file_name')}) ORDER BY overall_score, file_name LIMIT 5"))
 def worst_docs(spark, sf_dir):
     return score.worst_documents(rounded(score.document_scores(_results(spark, sf_dir))))
 
@@ -497,7 +499,7 @@ def reasoning_recover(spark, sf_dir):
     return rounded(got.select("file_name", "r.document_date", F.col("r.document_total_amount").alias("total"), "r.invoice_number", "r.document_currency", F.size("r.line_items").alias("n_items")))
 
 
-@query()
+@query(O.BOTH + " SELECT file_name, 'Retry Ltd' AS supplier_name, '555 0100 22' AS supplier_phone, k % 1000 + 0.5e0 AS document_total_amount FROM gt WHERE supplier_name IS NOT NULL AND k % 20 <> 0")
 def recover_pipeline(spark, sf_dir):
     """Pages -> error pages out -> fields from prose -> defaults."""
     pages = _prose(spark, sf_dir).withColumn("error", F.when(F.col("k") % 10 == 0, "parse_failed")).withColumn("n_keys", F.when(F.col("k") % 20 == 0, 2).otherwise(9))
@@ -505,7 +507,12 @@ def recover_pipeline(spark, sf_dir):
     return got.select("file_name", "r.supplier_name", "r.supplier_phone", "r.document_total_amount")
 
 
-@query()
+#: The shortest suffix that a text of 8,000 characters or more ends with ten times.
+_ONE_COPY = """SELECT doc_id, n, CASE WHEN unit IS NULL THEN n ELSE n - unit * (list_last(list_filter(range(10, n // unit + 1), lambda c: right(text, c * unit) = repeat(right(text, unit), CAST(c AS INT)))) - 1) END AS left_ FROM
+  (SELECT doc_id, text, length(text) AS n, CASE WHEN length(text) >= 8000 THEN list_filter(range(2, length(text) // 10 + 1), lambda s: right(text, s) = left(right(text, 2 * s), s) AND right(text, 10 * s) = repeat(right(text, s), 10))[1] END AS unit FROM documents)"""
+
+
+@query(f"SELECT doc_id, n + 1200 * (7 + length(CAST(doc_id AS STRING))) AS before, n + 7 + length(CAST(doc_id AS STRING)) AS after, n AS text_before, left_ AS text_after FROM ({_ONE_COPY})")
 def repeated_suffix(spark, sf_dir):
     """Every whole text, as it is and with a repeated tail planted behind it."""
     docs = X.table(spark, sf_dir, "documents").select("doc_id", "text", F.concat("text", F.repeat(F.concat(F.lit(" again "), F.col("doc_id").cast("string")), 1200)).alias("s"))
@@ -588,12 +595,16 @@ def variant_split_join(spark, sf_dir):
     return sampling.assign_split(rows, sampling.fixed_split(X.gt_docs(spark, sf_dir), "file_name", 70, 10, 20)).select("degradation", "file_name", "split")
 
 
-@query()
+@query(f"{_ITEMS} SELECT file_name AS base_id, 'clean/' || file_name AS file_name, 'clean' AS degradation, 'Supplier ' || CAST(k % 101 AS STRING) AS supplier_name, round(gross, 6) AS document_total_amount, round(net, 6) AS document_total_net, round(tax0, 6) AS document_total_tax, n AS num_line_items, n AS listed, round(net0, 6) AS items_total, round(tvalue, 6) AS tax_value FROM docs")
 def metadata_rows(spark, sf_dir):
-    return publish.metadata_rows(X.item_docs(spark, sf_dir))
+    """Published rows; what their JSON lists hold is read back from the text."""
+    rows = publish.metadata_rows(X.item_docs(spark, sf_dir))
+    items, taxes = F.from_json("line_items", "array<struct<amount:double>>"), F.from_json("taxes", "array<struct<value:double>>")
+    total = F.aggregate(items, F.lit(0.0), lambda s, x: s + x["amount"])
+    return rounded(rows.select("base_id", "file_name", "degradation", "supplier_name", "document_total_amount", "document_total_net", "document_total_tax", "num_line_items", F.size(items).alias("listed"), total.alias("items_total"), taxes[0]["value"].alias("tax_value")))
 
 
-@query()
+@query(O.BOTH + """ SELECT k AS "number", supplier_name, document_date, 'synth_' || CASE WHEN k < 1000 THEN lpad(CAST(k AS STRING), 4, '0') ELSE CAST(k AS STRING) END || '_' || substr(md5('{"document_date":"' || document_date || '"' || coalesce(',"supplier_name":"' || supplier_name || '"', '') || '}'), 1, 8) AS base_name FROM gt""")
 def doc_ids(spark, sf_dir):
     rows = X.gt_docs(spark, sf_dir).select(F.col("k").alias("number"), "supplier_name", "document_date")
     return render.document_names(rows, "number", ["supplier_name", "document_date"])
@@ -621,7 +632,13 @@ def font_choice(spark, sf_dir):
     return sampling.fonts(rows, "id").select("id", F.lit(True).alias("is_receipt"), "body_font")
 
 
-@query()
+_PAY = lambda low, high, salt: f"CAST({low} + CAST(floor({_DRAW('id', f'pay-{salt}')} * {high - low + 1}) AS BIGINT) AS STRING)"
+
+
+@query(f"""SELECT id, region, CASE WHEN {_DRAW('id', 'pay-any')} > 0.4 THEN CASE region
+  WHEN 'IE' THEN '{{"BIC":"BOFI' || CASE WHEN {_DRAW('id', 'pay-bic')} < 0.5 THEN 'IE' ELSE 'XX' END || '2D","IBAN":"IE' || {_PAY(10, 99, 'i1')} || 'BOFI' || {_PAY(10000000, 99999999, 'i2')} || {_PAY(100000, 999999, 'i3')} || '","Account Name":"Acme Payments Ltd"}}'
+  WHEN 'GB' THEN '{{"Sort Code":"' || {_PAY(10, 99, 's1')} || '-' || {_PAY(10, 99, 's2')} || '-' || {_PAY(10, 99, 's3')} || '","Account No":"' || {_PAY(10000000, 99999999, 'a')} || '"}}'
+  ELSE '{{"Bank":"National Bank #' || {_PAY(1000, 9999, 'b')} || '"}}' END END AS details FROM ({_PARAMS})""")
 def payment_details(spark, sf_dir):
     return sampling.payment_details(_params(spark, sf_dir), "id").select("id", "region", F.to_json("payment_details").alias("details"))
 
@@ -644,12 +661,43 @@ def receipt_text(spark, sf_dir):
     return docs.select("file_name", F.md5("text").alias("digest"))
 
 
-@query()
+_ORDERED_FILL = "(VALUES " + ", ".join(f"('{p}', '{f}', {n}, {q}::DOUBLE)" for p, levels in sampling.PROFILES.items() for n, (f, q) in enumerate((f, q) for level, q in sampling.FILL_PROBABILITY.items() for f in levels[level])) + ") x(profile, field, place, p)"
+_TAXES_TEXT = "CASE region " + " ".join(f"WHEN '{r}' THEN '{render.TAX_TEXT[tax]}'" for r, _, tax, _ in sampling.REGIONS) + " END"
+_DETAIL_TEXT = "CASE complexity " + " ".join(f"WHEN '{c}' THEN '{t}'" for c, t in render.COMPLEXITY_TEXT.items()) + " END"
+#: (id, prompt) of every sampled set of parameters.
+_PROMPTS = f"""SELECT id, array_to_string(list_filter(['Write one fictional ' || replace(document_type, '_', ' ') || ' for region ' || region || ' as a JSON object.', 'Tax rates: ' || {_TAXES_TEXT}, 'Complexity: ' || {_DETAIL_TEXT}, 'Fill these fields, all others null: ' || array_to_string(fields, ', '),
+    CASE WHEN list_contains(fields, 'line_items') THEN 'line_items: description, quantity, unit_price, amount, tax_rate as text with %, tax_amount.' END, CASE WHEN list_contains(fields, 'taxes') THEN 'taxes: base, rate as text with %, code, value.' END,
+    'amount is quantity x unit_price; net and tax are the sums of the lines; the total is net + tax; two decimals.', 'document_category is one of {", ".join(render.CATEGORIES)}.', 'Answer with the JSON only.'], lambda x: x IS NOT NULL), chr(10)) AS prompt
+  FROM ({_PARAMS}) JOIN (SELECT id, list(field ORDER BY place) AS fields FROM (SELECT id, {_PROFILE} AS profile FROM ({_PARAMS})) d JOIN {_ORDERED_FILL} USING (profile)
+    WHERE CAST(('0x' || substr(md5(CAST(id AS STRING) || ':fields:' || field), 1, 8)) AS BIGINT) / 4294967296e0 < p GROUP BY id) USING (id)"""
+
+
+@query(f"SELECT id, prompt, 'Put the document analysis below into one JSON object of the given schema. Answer with the JSON only.' || chr(10) || chr(10) || 'Analysis:' || chr(10) || prompt || chr(10) || chr(10) || 'Schema:' || chr(10) || '{{}}' || chr(10) || chr(10) || 'JSON:' AS retry FROM ({_PROMPTS})")
 def prompt_text(spark, sf_dir):
     made = render.generation_prompt(sampling.fields_to_fill(_params(spark, sf_dir)))
     return made.select("id", "prompt", R.retry_prompt(F.col("prompt"), "{}").alias("retry"))
 
 
+_HASHED = f"SELECT id, CAST(('0x' || substr(md5(prompt), 1, 8)) AS BIGINT) AS h FROM ({_PROMPTS})"
+
+
+@query(f"SELECT id, CASE WHEN h % 5 = 0 OR h % 7 = 0 THEN 2 ELSE 1 END AS attempts, 'Supplier ' || CAST(h % 97 AS STRING) AS supplier_name, h % 4 AS n_items, round((h % 50 + 0.5) * (h % 4) * (h % 4 + 1) / 2, 2) AS net, CASE WHEN h % 4 > 0 THEN '23%' END AS tax_rate FROM ({_HASHED})")
+def generated_records(spark, sf_dir):
+    """The generation loop with the stand-in model: answers without JSON or
+    supplier are asked for again; arithmetic and rates are made right."""
+    prompts = render.generation_prompt(sampling.fields_to_fill(_params(spark, sf_dir)))
+    made = generate.generate_records(prompts)
+    done = generate.finished_records(made, "id").select("id", "supplier_name", F.size("line_items").alias("n_items"), F.col("document_total_net").alias("net"), F.get("line_items", F.lit(0))["tax_rate"].alias("tax_rate"))
+    return rounded(made.select("id", "attempts").join(done, "id"))
+
+
+@query(f"SELECT count(*) AS asked, count(*) AS generated, 0 AS failed, count(*) AS math_fixed FROM ({_HASHED})")
+def generated_totals(spark, sf_dir):
+    prompts = render.generation_prompt(sampling.fields_to_fill(_params(spark, sf_dir)))
+    made = generate.generate_records(prompts)
+    return rounded(generate.generation_totals(made, generate.finished_records(made, "id")))
+
+
 # sources and sinks ----------------------------------------------------------------------
 
 _FILES = "SELECT o_orderkey AS k, 'dir/file_' || CAST(o_orderkey AS STRING) || CASE o_orderkey % 5 WHEN 0 THEN '.PDF' WHEN 1 THEN '.jpg' WHEN 2 THEN '.JPEG' WHEN 3 THEN '.png' ELSE '.txt' END AS path FROM {orders}"
@@ -674,9 +722,127 @@ def json_roundtrip(spark, sf_dir):
     return json_docs.read_documents(spark, path).select("file_name", "supplier_name", "document_total_amount", "document_date")
 
 
-@query()
+@query(O.with_results(f"""SELECT 'run' AS level, 'alpha' AS key, wfes AS score, (SELECT count(DISTINCT file_name) FROM res) AS n FROM ({O.tiers(_RUN.format(by=''), '', 'wfes')})
+  UNION ALL SELECT 'field', field_name, similarity_mean, n FROM ({O.metrics()})
+  UNION ALL SELECT 'document', d.file_name, overall_score, exact FROM ({O.tiers(_EVERY_DOC, 'file_name')}) d JOIN (SELECT file_name, count(*) FILTER (grade = 'exact') AS exact FROM res GROUP BY 1) e ON e.file_name = d.file_name"""))
 def report_export(spark, sf_dir):
-    return json_docs.report_json(rounded(score.field_metrics(_results(spark, sf_dir))))
+    """The run's, fields' and documents' reports; the figures are read back from
+    their JSON, for documents the number of exact fields."""
+    report = score.run_report(_results(spark, sf_dir), model="alpha")
+    j = lambda path: F.get_json_object("report", path)
+    exact = F.size(F.filter(F.map_values(F.from_json(j("$.fields"), "map<string,struct<grade:string>>")), lambda x: x["grade"] == "exact"))
+    value = F.coalesce(j("$.overall_weighted_score"), j("$.similarity_mean"), j("$.overall_score")).cast("double")
+    return rounded(report.select("level", "key", value.alias("score"), F.when(F.col("level") == "document", exact).otherwise(F.coalesce(j("$.num_documents"), j("$.n")).cast("long")).alias("n")))
+
+
+@query(O.with_results(f"SELECT res.file_name, overall_score, field_name, grade, round(similarity, 6) AS similarity FROM res JOIN ({O.tiers(_EVERY_DOC, 'file_name')}) d ON d.file_name = res.file_name", ("supplier_name", "document_date", "notes")))
+def verbose_rows(spark, sf_dir):
+    results = _results(spark, sf_dir, ("supplier_name", "document_date", "notes"))
+    return rounded(score.verbose_rows(results, rounded(score.document_scores(results))))
+
+
+@query("SELECT count(*) AS documents, count(*) FILTER (event_id % 19 <> 0) AS succeeded, count(*) FILTER (event_id % 19 = 0) AS failed, round(avg(value), 6) AS mean_seconds FROM events")
+def run_timing(spark, sf_dir):
+    rows = X.table(spark, sf_dir, "events").select(F.col("value").alias("seconds"), F.when(F.col("event_id") % 19 == 0, "failed").alias("error"))
+    return rounded(score.run_timing(rows))
+
+
+@query("SELECT 0.4e0 AS entity_f1, round(1e0 / 3, 6) AS anls, 2 AS fields")
+def upload_evaluation(spark, sf_dir):
+    """Posted documents, chosen by comma lists: one name is right, one is missed, a currency is wrong."""
+    gt = json_docs.uploaded(spark, '[{"file_name": "a", "supplier_name": "Acme"}, {"file_name": "b", "supplier_name": "Best", "document_currency": "EUR"}]')
+    pred = json_docs.uploaded(spark, '[{"file_name": "a", "supplier_name": "acme"}, {"file_name": "b", "supplier_name": null, "document_currency": "USD"}, {"file_name": "c"}]', "predictions")
+    options = json_docs.upload_options("1,2", "supplier_name, document_currency", "entity_f1,anls")
+    results = score.field_results(gt, pred, options["fields"], order="ordinal")
+    made = score.standard_metrics(results).select(*options["metrics"])
+    return rounded(made.join(results.agg(F.count_distinct("field_name").alias("fields"))))
+
+
+def _files(spark, sf_dir):
+    """Two-page files whose pages are what a model answers: JSON, fenced JSON,
+    prose, or nothing."""
+    gt = X.gt_docs(spark, sf_dir).where("supplier_name is not null")
+    head = F.to_json(F.struct(F.col("supplier_name").alias("supplierName"), F.col("document_total_amount").alias("totalAmount"), F.array(F.struct(F.lit("Widget").alias("description"), F.lit(2.0).alias("quantity"), F.lit(1.5).alias("price"))).alias("lineItems")))
+    prose = F.concat(F.lit("Supplier: Prose Ltd\nTotal Amount: "), F.format_string("%d.50", F.col("k") % 1000), F.lit("\n"))
+    first = F.when(F.col("k") % 4 == 0, prose).when(F.col("k") % 4 == 1, F.concat(F.lit("```json\n"), head, F.lit("\n```"))).when(F.col("k") % 4 == 2, F.lit("   ")).otherwise(head)
+    second = F.to_json(F.struct(F.col("document_currency").alias("currency"), F.array(F.struct(F.lit("Widget").alias("description"), F.lit(2.0).alias("quantity"), F.lit(1.5).alias("price")), F.struct(F.lit("Bolt").alias("description"), F.lit(1.0).alias("quantity"), F.lit(3.0).alias("price"))).alias("lineItems")))
+    return gt.select("k", F.concat(F.lit("scans/"), "file_name", F.lit(".pdf")).alias("path"), F.concat(first, F.lit("\f"), second).cast("binary").alias("content"))
+
+
+@query(O.BOTH + """ SELECT file_name || '.pdf' AS file_name, 2 AS pages, CASE WHEN k % 4 = 0 THEN 'parse_failed_recovered_via_regex_extraction' WHEN k % 4 = 2 THEN 'empty_answer' END AS error, CASE WHEN k % 4 = 0 THEN 'Prose Ltd' WHEN k % 4 <> 2 THEN supplier_name END AS supplier_name,
+  round(CASE WHEN k % 4 = 0 THEN k % 1000 + 0.5 WHEN k % 4 = 2 THEN 0 ELSE document_total_amount END, 6) AS total, document_currency AS currency, 2 AS n_items, 'application/pdf' AS mime_type FROM gt WHERE supplier_name IS NOT NULL""")
+def process_files(spark, sf_dir):
+    """Files -> pages -> answers -> recovery -> merged documents, with the stand-in back end."""
+    made = extract.process_files(_files(spark, sf_dir), extract.get_backend("stand_in"))
+    return rounded(made.select("file_name", "pages", "error", "supplier_name", F.col("document_total_amount").alias("total"), F.col("document_currency").alias("currency"), F.size("line_items").alias("n_items"), "mime_type"))
+
+
+@query(O.BOTH + " SELECT 'scans/' || file_name || '.pdf' AS path, 1 AS page_no, false AS failed FROM gt WHERE supplier_name IS NOT NULL AND k % 7 <> 0 UNION ALL SELECT 'scans/' || file_name || '.pdf', 1, true FROM gt WHERE supplier_name IS NOT NULL AND k % 7 = 0")
+def page_split(spark, sf_dir):
+    """At most one page a file; files that the splitter fails on stay as rows."""
+
+    def cut(content: bytes, kind: str) -> list[bytes]:
+        if not content:
+            raise ValueError("empty file")
+        return content.split(b"\f")
+
+    files = _files(spark, sf_dir).withColumn("content", F.when(F.col("k") % 7 != 0, F.col("content")))
+    return rounded(extract.split_pages(files, cut, 1).select("path", "page_no", F.col("error").isNotNull().alias("failed")))
+
+
+_TEMPLATES = ", ".join(f"'{t}'" for t in pages.LAYOUTS)
+_PAGE_LINES = " ".join(f"WHEN '{t}' THEN {3 + (2 if y.closing else 1) + int(y.subtotal) + (1 if y.tax != 'none' else 0)} + greatest(n, {y.least_rows})" for t, y in pages.LAYOUTS.items())
+
+
+@query(f"{_ITEMS} SELECT file_name, [{_TEMPLATES}][k % {len(pages.LAYOUTS)} + 1] AS template, CASE [{_TEMPLATES}][k % {len(pages.LAYOUTS)} + 1] {_PAGE_LINES} END + 1 AS n_lines, 'TOTAL  €' || printf('%.2f', gross::DOUBLE) AS total FROM docs")
+def page_text(spark, sf_dir):
+    """Each document on one of the ten templates."""
+    docs = render.template_context(X.item_docs(spark, sf_dir)).drop("payment_method")
+    docs = docs.withColumn("template", F.get(F.array(*map(F.lit, pages.LAYOUTS)), (F.col("k") % len(pages.LAYOUTS)).cast("int")))
+    made = pages.page_text(docs).withColumn("lines", F.split("text", "\n"))
+    return rounded(made.select("file_name", "template", F.size("lines").alias("n_lines"), F.get(F.filter("lines", lambda x: x.startswith("TOTAL")), F.lit(0)).alias("total")))
+
+
+@query("WITH t AS (SELECT CASE WHEN k % 5 = 0 THEN 'pos_thermal' WHEN k % 4 = 0 THEN 'formal_corporate' WHEN k % 4 = 1 THEN 'retail_receipt' WHEN k % 3 = 0 THEN 'pos_thermal' WHEN k % 2 = 0 THEN 'modern_minimal' ELSE 'formal_corporate' END AS template FROM (" + _KINDS.format(orders="orders") + ")) SELECT 'template' AS key, template AS value, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM t GROUP BY 2")
+def template_counts(spark, sf_dir):
+    return rounded(sampling.generation_summary(template_select(spark, sf_dir), ("template",)))
+
+
+def _pictures(spark, sf_dir):
+    """Small pages of text as images, one for each nation."""
+    docs = X.table(spark, sf_dir, "nation").select(F.concat("n_name", F.lit(".png")).alias("file_name"), F.concat_ws("\n", F.col("n_name"), F.repeat(F.lit("row of text "), 5), F.lit("TOTAL 1.00")).alias("text"))
+    return pages.rendered_pages(docs)
+
+
+@query("SELECT condition, count(*) AS images, count(*) AS files, 0 AS failed FROM nation CROSS JOIN (VALUES ('clean'), ('bad_scan'), ('faded')) v(condition) GROUP BY 1")
+def image_scan(spark, sf_dir):
+    """Rendered pages under each condition, written as PNG files and found again."""
+    path = _scratch(spark, "images")
+    made = degrade.degrade_images(_pictures(spark, sf_dir), "file_name")
+    written = publish.write_images(made, path).groupBy("condition").agg(F.count(F.lit(1)).alias("images"), F.count_if(F.col("error").isNotNull()).alias("failed")).collect()
+    counts = spark.createDataFrame([tuple(r) for r in written], "condition string, images long, failed long")
+    found = json_docs.scan_files(spark, path, content=False).where(F.col("mime_type") == "image/png").groupBy(F.element_at(F.split("path", "/"), -2).alias("condition")).agg(F.count(F.lit(1)).alias("files"))
+    return counts.join(found, "condition")
+
+
+@query(O.BOTH + " SELECT split, degradation, count(*) AS n FROM (SELECT CASE WHEN r < 70 THEN 'train' WHEN r < 80 THEN 'val' ELSE 'test' END AS split, k, r FROM (SELECT *, row_number() OVER (ORDER BY md5(file_name || '.png:42'), file_name) - 1 AS r FROM gt) WHERE r < 100) JOIN (VALUES ('clean'), ('faded')) v(degradation) ON v.degradation = 'clean' OR k % 6 <> 0 GROUP BY 1, 2")
+def published_counts(spark, sf_dir):
+    """Documents named like image files, written by split and condition and read back."""
+    path = _scratch(spark, "published")
+    docs = X.gt_docs(spark, sf_dir).withColumn("file_name", F.concat("file_name", F.lit(".png")))
+    f = F.col("file_name")
+    docs = docs.withColumn("degradation_variants", F.when(F.col("k") % 6 != 0, F.create_map(F.lit("clean"), f, F.lit("faded"), f)))
+    publish.write_published(publish.metadata_rows(docs), sampling.fixed_split(docs, "file_name", 70, 10, 20), path)
+    return publish.published_counts(spark.read.json(path))
+
+
+@query("SELECT o_orderkey AS file_name, o_orderkey % 5 AS n_keys FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS r FROM orders) WHERE r <= 1000")
+def limited_records(spark, sf_dir):
+    """The first thousand of a written set of records, in file order."""
+    path = _scratch(spark, "records")
+    docs = X.table(spark, sf_dir, "orders").orderBy("o_orderkey").select(F.col("o_orderkey").cast("string").alias("file_name"), F.array_join(F.array_repeat(F.lit("x"), (F.col("o_orderkey") % 5).cast("int")), "").alias("notes"))
+    docs.repartitionByRange(8, F.col("file_name").cast("long")).sortWithinPartitions(F.col("file_name").cast("long")).write.json(path)
+    return rounded(json_docs.read_documents(spark, path, limit=1000).select(F.col("file_name").cast("long").alias("file_name"), F.length("notes").alias("n_keys")))
 
 
 @query(O.BOTH + " SELECT CAST(count(DISTINCT field) AS BIGINT) AS fields, count(*) AS cells FROM (SELECT unnest(['supplier_name', 'document_date']) AS field, 'a' AS model FROM gt UNION ALL SELECT 'document_currency', 'b' FROM gt)")

@@ -28,13 +28,13 @@ def read_documents(spark: SparkSession, path: str, schema: T.StructType = DOCUME
     if head is None:
         raise ValueError(f"no documents in {path}")
     if head[0] == "[":
-        items = text.select(F.input_file_name().alias("part"), F.posexplode(F.from_json("value", "array<variant>")).alias("at", "v"))
+        items = text.select(F.struct("_metadata.file_path").alias("part"), F.posexplode(F.from_json("value", "array<variant>")).alias("at", "v"))
         rows = _numbered(items.select("part", "at", F.to_json("v").alias("value")))
     elif head[0] == "{":
         lines = spark.read.text(path).where(F.trim("value") != "")
         whole = lines.limit(2).count() > 1 and lines.where(F.try_parse_json("value").isNull()).limit(1).count() > 0
-        id_ = F.monotonically_increasing_id()
-        rows = _numbered((text if whole else lines).select(F.shiftright(id_, 33).alias("part"), id_.bitwiseAND(F.lit((1 << 33) - 1)).alias("at"), "value"))
+        part = F.struct("_metadata.file_path", "_metadata.file_block_start").alias("part")
+        rows = _numbered((text if whole else lines).select(part, F.monotonically_increasing_id().alias("at"), "value"))
     else:
         raise ValueError(f"{path} holds neither an array nor an object")
     out = rows.select(F.col("at").alias("ordinal"), F.json_object_keys("value").alias("_keys"), F.from_json("value", schema).alias("d")).select("ordinal", "_keys", "d.*")
@@ -42,11 +42,12 @@ def read_documents(spark: SparkSession, path: str, schema: T.StructType = DOCUME
 
 
 def _numbered(rows: DataFrame) -> DataFrame:
-    """rows (part, at, value) with ``at`` counted on over all parts: what the
-    parts before hold is added, from one row a part."""
+    """rows (part, at, value) with ``at`` counted from 0 over all parts (pieces of
+    files, in their order): what the parts before hold is added, from one row a
+    part.  at rises by one from row to row of a part."""
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    counts = rows.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-    starts = counts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    counts = rows.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
+    starts = counts.select("part", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("start"))
     return rows.join(starts, "part").select((F.col("at") + F.col("start")).cast("long").alias("at"), "value")
 
 
