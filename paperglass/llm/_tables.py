@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections import OrderedDict
 
 import numpy as np
 from pyarrow import fs
@@ -51,6 +52,38 @@ def map_arrays(uri: str, kinds: list) -> list[np.ndarray]:
     return out
 
 
+class Opened:
+    """Buckets opened when they are first met; the one unused for longest is
+    closed when there are too many, or too many bytes in memory."""
+
+    def __init__(self, most_files: int = 8192, most_bytes: int = 256 << 20):
+        self.most_files, self.most_bytes = most_files, most_bytes
+        self.held: OrderedDict[str, tuple[list[np.ndarray] | None, int]] = OrderedDict()
+        self.bytes = 0
+
+    def get(self, uri: str, kinds: list) -> list[np.ndarray] | None:
+        """The arrays of a bucket, or None if it has no file (nothing is in it)."""
+        if uri in self.held:
+            self.held.move_to_end(uri)
+            return self.held[uri][0]
+        try:
+            arrays = map_arrays(uri, kinds)
+        except FileNotFoundError:
+            arrays = None
+        size = sum(0 if _mapped(x) else x.nbytes for x in arrays or [])
+        self.held[uri] = arrays, size
+        self.bytes += size
+        while len(self.held) > 1 and (len(self.held) > self.most_files or self.bytes > self.most_bytes):
+            self.bytes -= self.held.popitem(last=False)[1][1]
+        return arrays
+
+
+def _mapped(x: np.ndarray) -> bool:
+    while x is not None and not isinstance(x, np.memmap):
+        x = x.base if isinstance(x.base, np.ndarray) else None
+    return x is not None
+
+
 def key48(hashes: np.ndarray) -> np.ndarray:
     return (hashes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(16)
 
