@@ -117,7 +117,7 @@ def _plain_number(bare: Column) -> Column:
 
 
 def _date(y: Column, m: Column, d: Column) -> Column:
-    return F.try_to_timestamp(F.concat(y, F.lit("-"), F.lpad(m, 2, "0"), F.lit("-"), F.lpad(d, 2, "0")), F.lit("yyyy-MM-dd")).cast("date")
+    return F.concat(y, F.lit("-"), m, F.lit("-"), d).try_cast("date")
 
 
 def _month(name: Column) -> Column:
@@ -236,7 +236,7 @@ def shortened(c: Column, length: int) -> Column:
 
 def shown_date(c: Column, style: str | Column = "dd/MM/yyyy") -> Column:
     """An ISO date in another style; anything else unchanged."""
-    d = F.try_to_timestamp(F.when(c.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), c), F.lit("yyyy-M-d"))
+    d = F.when(c.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), c).try_cast("date")
     if isinstance(style, str):
         return F.coalesce(F.date_format(d, style), c, F.lit(""))
     styles = ("dd/MM/yyyy", "d MMMM yyyy", "MM/dd/yyyy", "yyyy-MM-dd")

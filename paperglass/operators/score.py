@@ -39,7 +39,13 @@ def matched(gt: DataFrame, pred: DataFrame, names: list[str], key: str = KEY, or
     """(key, g, p): the documents in both sets as structs of the named columns,
     after last-wins dedup if an order is given; empty names take no part."""
     raw = lambda df, n, have: df[n] if have else F.lit(None).cast("string")
-    return _side(gt, key, order, names, "g", raw).join(_side(pred, key, order, names, "p", raw), key)
+    return _joined(_side(gt, key, order, names, "g", raw), _side(pred, key, order, names, "p", raw), key)
+
+
+def _joined(g: DataFrame, p: DataFrame, key: str) -> DataFrame:
+    """Two sets of documents by key: both grow with the data, and what follows is
+    work in the row, so both are dealt by key and neither is sent to all."""
+    return g.hint("merge").join(p.hint("merge"), key)
 
 
 def unmatched(gt: DataFrame, pred: DataFrame, key: str = KEY) -> DataFrame:
@@ -64,7 +70,7 @@ def field_results(gt: DataFrame, pred: DataFrame, fields: Iterable[Field] | None
         return prepared(by_name[n], df[n] if have else F.lit(None).cast("double" if typed else "string"), typed)
 
     names = list(by_name)
-    both = _side(gt, key, order, names, "g", value).join(_side(pred, key, order, names, "p", value, by), key)
+    both = _joined(_side(gt, key, order, names, "g", value), _side(pred, key, order, names, "p", value, by), key)
     rows = [F.struct(*described(f), both["g"][f.name].alias("_g"), both["p"][f.name].alias("_p")) for f in fields]
     long = both.select(key, *by, F.explode(F.array(*rows)).alias("f")).select(key, *by, "f.*")
     return judged(long).select(key, *by, "field_name", "field_type", "tier", "weight", *RESULT)
