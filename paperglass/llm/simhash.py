@@ -241,29 +241,23 @@ def _ranges(low: np.ndarray, high: np.ndarray, at_once: int = 1 << 20) -> Iterat
         first = last
 
 
-def cell_candidates(code: np.ndarray, root: np.ndarray, node: np.ndarray, prints: np.ndarray, half: int, most_bits: int, spanning: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate pairs of rows whose codes (sorted) agree but for one of the low
-    half bits, and whose complete distance is most_bits or less.
-
-    spanning: of each row's candidates the one of the least node, which gives
-    every row that has any a link; in crowded cells links that span the
-    components.  Otherwise all candidates whose roots differ.
-    """
+def cell_candidates(code: np.ndarray, node: np.ndarray, prints: np.ndarray, half: int, most_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that give every row with a candidate one, of rows whose codes
+    (sorted) agree but for one of the low half bits, and whose complete distance
+    is most_bits or less: of each row the candidate of the least node; in crowded
+    cells links that span the components."""
     first, length = run_lengths(code)
     size = np.repeat(length, length)
     a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
 
     def keep(x: np.ndarray, y: np.ndarray) -> None:
-        near = root[x] != root[y]
-        x, y = x[near], y[near]
         near = _distance(prints, x, y) <= most_bits
         a.append(x[near])
         b.append(y[near])
 
-    rows = np.arange(len(code))
     plain = np.flatnonzero(size <= _CROWD)
     own_end = np.repeat(first + length, length)
-    for row, place in _ranges(rows[plain] + 1, own_end[plain]):
+    for row, place in _ranges(plain + 1, own_end[plain]):
         keep(plain[row], place)
     for k in range(half):
         bit = np.int64(1 << k)
@@ -273,12 +267,11 @@ def cell_candidates(code: np.ndarray, root: np.ndarray, node: np.ndarray, prints
         high = np.where(high - low <= _CROWD, high, low)  # crowded cells ask themselves
         for row, place in _ranges(low, high):
             keep(asks[row], place)
-    a, b = [np.concatenate(a)], [np.concatenate(b)]
-    if spanning and len(a[0]):
-        x, y = np.concatenate([a[0], b[0]]), np.concatenate([b[0], a[0]])
-        order = np.lexsort((node[y], x))
-        lead = order[np.concatenate(([True], x[order][1:] != x[order][:-1]))]
-        a, b = [x[lead]], [y[lead]]
+    x, y = np.concatenate([*a, *b]), np.concatenate([*b, *a])
+    order = np.lexsort((node[y], x))
+    x, y = x[order], y[order]
+    lead = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1]))) if len(x) else np.zeros(0, np.int64)
+    a, b = [x[lead]], [y[lead]]
     for s, m in zip(first[length > _CROWD].tolist(), length[length > _CROWD].tolist()):
         cells = np.concatenate(([code[s]], code[s] ^ (np.int64(1) << np.arange(half, dtype=np.int64))))
         members = np.concatenate([np.arange(x, y) for x, y in zip(np.searchsorted(code, cells).tolist(), np.searchsorted(code, cells, "right").tolist())])
@@ -287,7 +280,7 @@ def cell_candidates(code: np.ndarray, root: np.ndarray, node: np.ndarray, prints
             some = some[np.bitwise_count((code[some] ^ code[one]).view(np.uint64)) <= 1]
             return some[_distance(prints, np.full(len(some), one), some) <= most_bits]
 
-        for at, found in (_forest if spanning else _across)(members, root, near):
+        for at, found in _forest(members, near):
             a.append(np.full(len(found), at))
             b.append(found)
     return np.concatenate(a), np.concatenate(b)
@@ -324,6 +317,79 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return checkpointed(held.mapInArrow(compared, "a long, b long").distinct())
 
 
+#: Nodes of one family that one task compares, and their shingles.
+_ASK_ROWS, _ASK_HASHES, _BLOCK_ROWS, _BLOCK_HASHES = 256, 500_000, 2048, 2_000_000
+_CELLS = 1 << 22  # of a dense matrix
+
+
+def _shared_counts(asks: list[np.ndarray], others: list[np.ndarray]) -> np.ndarray:
+    """How many hashes each set of asks shares with each of others: products of
+    0-1 matrices over the asks' hashes, of bounded size."""
+    out = np.zeros((len(asks), len(others)), np.float32)
+    first = 0
+    while first < len(asks):
+        reach = np.cumsum([len(x) for x in asks[first:]])
+        last = first + max(1, int(np.searchsorted(reach * np.arange(1, len(reach) + 1), _CELLS, "right")))
+        vocabulary = np.unique(np.concatenate(asks[first:last]))
+        if len(vocabulary):
+            left = np.zeros((last - first, len(vocabulary)), np.float32)
+            for row, x in zip(left, asks[first:last]):
+                row[np.searchsorted(vocabulary, x)] = 1
+            step = max(1, _CELLS // len(vocabulary))
+            for at in range(0, len(others), step):
+                part = others[at : at + step]
+                right = np.zeros((len(part), len(vocabulary)), np.float32)
+                for row, x in zip(right, part):
+                    place = np.minimum(np.searchsorted(vocabulary, x), len(vocabulary) - 1)
+                    row[place[vocabulary[place] == x]] = 1
+                out[first:last, at : at + len(part)] = left @ right.T
+        first = last
+    return out
+
+
+def _verified_across(families: DataFrame, links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): further links within families (node, family, n: candidates that
+    hang together, and the size of their sets) between nodes that links do not
+    yet join.
+
+    In each family only pairs count that its largest class does not hold both of.
+    The nodes outside of it are dealt into blocks, which meet blocks of all nodes
+    of the family; a set travels once for each block that it meets, not for each
+    pair, and all pairs of two blocks are compared exactly.
+    """
+    parts = connected_components(links)
+    state = checkpointed(families.join(parts, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    classes = state.groupBy("family", "root").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("hashes"))
+    most = F.max_by(F.struct("root", "rows", "hashes"), F.struct("rows", "root"))
+    sizes = classes.groupBy("family").agg(F.sum("rows").alias("rows"), F.sum("hashes").alias("hashes"), most.alias("most")).where("rows > most.rows")
+    blocks = lambda rows, most_rows, hashes, most_hashes: F.ceil(F.greatest(rows / most_rows, hashes / most_hashes)).cast("long")
+    ask = blocks(F.col("rows") - F.col("most.rows"), _ASK_ROWS, F.col("hashes") - F.col("most.hashes"), _ASK_HASHES)
+    sizes = sizes.select("family", F.col("most.root").alias("major"), ask.alias("ask_blocks"), blocks(F.col("rows"), _BLOCK_ROWS, F.col("hashes"), _BLOCK_HASHES).alias("all_blocks"))
+    rows = state.join(sizes, "family")
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    mine = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
+    asks = rows.where("root != major").select("node", "root", "family", F.lit(True).alias("asks"), mine("ask_blocks").alias("ask_block"), upto("all_blocks").alias("block"))
+    others = rows.select("node", "root", "family", F.lit(False).alias("asks"), upto("ask_blocks").alias("ask_block"), mine("all_blocks").alias("block"))
+    dealt = asks.unionByName(others).join(sets, "node")
+
+    def compared(table: pa.Table) -> pa.Table:
+        node, root, asking = (table.column(c).to_numpy() for c in ("node", "root", "asks"))
+        held = [np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()]
+        size = np.array([len(x) for x in held], np.int64)
+        left, right = np.flatnonzero(asking), np.flatnonzero(~asking)
+        a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if len(left) and len(right):
+            both = _shared_counts([held[k] for k in left], [held[k] for k in right])
+            whole = size[left][:, None] + size[right][None] - both
+            near = (both >= similarity * whole) & (root[left][:, None] != root[right][None])
+            x, y = np.nonzero(near)
+            a, b = node[left[x]], node[right[y]]
+        member, least = _least_members(a, b)
+        return pa.table({"a": pa.array(least, pa.int64()), "b": pa.array(member, pa.int64())})
+
+    return checkpointed(dealt.groupBy("family", "ask_block", "block").applyInArrow(compared, "a long, b long").distinct())
+
+
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(id, component): rows with an id, and the smallest id of the group of
     texts that similarity links.
@@ -332,10 +398,11 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     (``WideIndex``); a row is filed twice for each segment, under either half of
     it, and the ball of radius one around the other half is enumerated among the
     rows that share the first.  A link is then decided by the exact Jaccard
-    similarity of the two sets of shingle hashes.  Two passes keep large groups
-    from being paired with themselves: the first compares one candidate of every
-    row, the second all candidates that the first left in different components,
-    so no link is missed for the first one's sake.
+    similarity of the two sets of shingle hashes.  Candidates that hang together are a
+    family.  First one candidate of each row is compared, the one that most rows
+    have: a large group then hangs on its centre.  What that leaves apart within a
+    family is compared in blocks (``_verified_across``), so no link is missed for
+    the first step's sake, and no group is paired with itself.
     """
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -363,34 +430,30 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for whole in batches:
             for at in range(0, whole.num_rows, 4096):
                 batch = whole.slice(at, 4096)
-                cut = index.cut(np.ascontiguousarray(np.stack([batch.column(2 + k).to_numpy().view(np.uint64) for k in range(_WORDS)], axis=1))).astype(np.int64)
+                cut = index.cut(np.ascontiguousarray(np.stack([batch.column(1 + k).to_numpy().view(np.uint64) for k in range(_WORDS)], axis=1))).astype(np.int64)
                 table = np.arange(index.segments, dtype=np.int64)
                 # The half a row is filed under, then the half around which the ball is.
                 low, high = cut & ((1 << half) - 1), cut >> half
                 code = np.concatenate([((2 * table << half) + high << half) + low, ((2 * table + 1 << half) + low << half) + high], axis=1)
                 row = pa.array(np.repeat(np.arange(batch.num_rows), code.shape[1]))
-                yield pa.RecordBatch.from_arrays([pa.array(code.ravel()), pa.array((code >> half).ravel()), *(batch.column(k).take(row) for k in range(2 + _WORDS))], names=["code", "entry", "node", "root", *names])
-
-    def candidates(nodes: DataFrame, most: int, spanning: bool) -> DataFrame:
-        """(a, b) of rows (node, root, fingerprint), a < b, each once."""
-
-        def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held = [[x.column(k).to_numpy() for k in range(3 + _WORDS)] for x in batches if x.num_rows]
-            if not held:
-                return
-            code, node, root, *words = (np.concatenate([h[k] for h in held]) for k in range(3 + _WORDS))
-            order = np.lexsort((node, code))
-            code, node, root = code[order], node[order], root[order]
-            a, b = cell_candidates(code, root, node, np.stack([w[order].view(np.uint64) for w in words], axis=1), half, index.most_bits, spanning)
-            once = np.unique(np.stack([np.minimum(node[a], node[b]), np.maximum(node[a], node[b])]), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(once[0]), pa.array(once[1])], names=["a", "b"])
-
-        made = nodes.select("node", "root", *names).mapInArrow(filed, "code long, entry long, node long, root long, " + ", ".join(f"{f} long" for f in names))
-        dealt = made.repartition(shards_for(2 * index.segments * most, 200_000, 8), "entry").select("code", "node", "root", *names)
-        return checkpointed(dealt.mapInArrow(paired, "a long, b long").distinct())
-
-    first = candidates(distinct.where("n > 0").withColumn("root", F.col("node")), rows, True)
-    touched = checkpointed(first.select(F.col("a").alias("node")).union(first.select("b")).distinct())
+                yield pa.RecordBatch.from_arrays([pa.array(code.ravel()), pa.array((code >> half).ravel()), *(batch.column(k).take(row) for k in range(1 + _WORDS))], names=["code", "entry", "node", *names])
+
+    def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [[x.column(k).to_numpy() for k in range(2 + _WORDS)] for x in batches if x.num_rows]
+        if not held:
+            return
+        code, node, *words = (np.concatenate([h[k] for h in held]) for k in range(2 + _WORDS))
+        order = np.lexsort((node, code))
+        code, node = code[order], node[order]
+        a, b = cell_candidates(code, node, np.stack([w[order].view(np.uint64) for w in words], axis=1), half, index.most_bits)
+        once = np.unique(np.stack([np.minimum(node[a], node[b]), np.maximum(node[a], node[b])]), axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(once[0]), pa.array(once[1])], names=["a", "b"])
+
+    made = distinct.where("n > 0").select("node", *names).mapInArrow(filed, "code long, entry long, node long, " + ", ".join(f"{f} long" for f in names))
+    dealt = made.repartition(shards_for(2 * index.segments * rows, 200_000, 8), "entry").select("code", "node", *names)
+    first = checkpointed(dealt.mapInArrow(paired, "a long, b long").distinct())
+    families = checkpointed(connected_components(first).withColumnRenamed("root", "family").join(distinct.select("node", "n"), "node"))
+    touched = families.select("node")
     texts = prints.groupBy("node").agg(F.min("id").alias("id")).join(touched, "node")
 
     def as_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -403,21 +466,18 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # A repeated id may stand for several texts: the set itself tells its node.
     sets = known.join(texts.select("id").distinct(), "id", "left_semi").select("text").mapInArrow(as_sets, "node long, hashes binary")
     sets = checkpointed(sets.join(touched, "node", "left_semi").groupBy("node").agg(F.first("hashes").alias("hashes")))
-    # One candidate of each row, the least over all segments: a large group then
-    # hangs on its least members, and no pair for each segment is compared.
     either = first.union(first.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    lead = either.groupBy("a").agg(F.min("b").alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = _verified(lead, sets, similarity)
-    parts = connected_components(links)
-    named = distinct.join(touched, "node", "left_semi").join(parts, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    more = _verified(candidates(named, touched.count(), False), sets, similarity)
+    wanted = either.groupBy("b").agg(F.count(F.lit(1)).alias("n"))
+    lead = either.join(wanted, "b").groupBy("a").agg(F.max_by("b", F.struct("n", "b")).alias("b"))
+    links = _verified(lead.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), sets, similarity)
+    more = _verified_across(families, links, sets, similarity)
     parts = connected_components(links.union(more))
     named = distinct.join(parts, "node", "left").select("node", "least_id", F.coalesce("root", "node").alias("root"))
     least = named.groupBy("root").agg(F.min("least_id").alias("component"))
     return prints.select("id", "node").join(named.join(least, "root").select("node", "component"), "node").select(F.col("id").alias(id_col), "component")
 
 
-def _forest(members: np.ndarray, root: np.ndarray, near) -> Iterator[tuple[int, np.ndarray]]:
+def _forest(members: np.ndarray, near) -> Iterator[tuple[int, np.ndarray]]:
     """Candidates that span the components of one cell's candidates."""
     left = members
     while len(left) > 1:
@@ -431,15 +491,6 @@ def _forest(members: np.ndarray, root: np.ndarray, near) -> Iterator[tuple[int,
                 yield at, found
 
 
-def _across(members: np.ndarray, root: np.ndarray, near) -> Iterator[tuple[int, np.ndarray]]:
-    """All candidates of one cell whose components differ."""
-    _, label, count = np.unique(root[members], return_inverse=True, return_counts=True)
-    for at in members[label != count.argmax()].tolist():
-        found = near(at, members[root[members] != root[at]])
-        if len(found):
-            yield at, found
-
-
 def _least_members(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(node, least node of its component) for the nodes of the links that are
     not the least themselves: links of a group found in many places become the
