@@ -6,9 +6,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import normalize as N
-from ..plans.registry import FIELDS
+from ..plans.registry import FIELDS, ITEM_TYPE, TAX_TYPE
 from .sampling import draw, weighted
 
 # Rules for choosing a template, layouts, symbols and colours.
@@ -106,9 +107,25 @@ def template_context(docs: DataFrame, region: Column | None = None, key: str = "
     out["payment_method"] = F.get(F.array(*map(F.lit, PAYMENT_METHODS)), F.floor(draw(F.col(key), "method") * len(PAYMENT_METHODS)).cast("int"))
     for t in ("document_total_net", "document_total_tax", "document_total_amount"):
         out[t] = F.coalesce(F.col(t).try_cast("double"), F.lit(0.0))
+    for c, numbers in (("line_items", ("quantity", "unit_price", "amount", "tax_amount")), ("taxes", ("base", "value"))):
+        if c in docs.columns:
+            kind = docs.schema[c].dataType
+            if not isinstance(kind, T.ArrayType):  # what is no list counts as an empty one
+                out[c] = F.array().cast(ITEM_TYPE if c == "line_items" else TAX_TYPE)
+                continue
+            out[c] = F.coalesce(F.transform(c, _numbers_filled([n for n in numbers if n in kind.elementType.names])), F.array().cast(kind))
     return docs.withColumns(out)
 
 
+def _numbers_filled(names: list[str]):
+    """An item with its numbers as such: 0.0 where there is none."""
+
+    def filled(x: Column) -> Column:
+        return reduce(lambda done, n: done.withField(n, F.coalesce(x[n].try_cast("double"), F.lit(0.0))), names, x)
+
+    return filled
+
+
 def money(c: Column, symbol: Column | str = "") -> Column:
     return F.concat(symbol if isinstance(symbol, Column) else F.lit(symbol), F.format_string("%.2f", c))
 

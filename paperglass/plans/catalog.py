@@ -626,10 +626,31 @@ def template_hints(spark, sf_dir):
     return render.template_hints(_params(spark, sf_dir), "id").select("id", "_template_hints.layout_style")
 
 
-@query(f"SELECT id, document_type IN ('receipt') AS is_receipt, {_weighted_sql(_DRAW('id', 'font-mono-body'), [f.replace(chr(39), chr(39) * 2) for f, _ in sampling.FONTS['mono']], [w for _, w in sampling.FONTS['mono']])} AS body_font FROM ({_PARAMS}) WHERE document_type = 'receipt'")
+def _font_sql(pool: str, salt: str) -> str:
+    return _weighted_sql(_DRAW("id", f"font-{pool}-{salt}"), [f.replace(chr(39), chr(39) * 2) for f, _ in sampling.FONTS[pool]], [w for _, w in sampling.FONTS[pool]])
+
+
+def _drawn_font(salt: str) -> str:
+    return f"CASE WHEN document_type = 'receipt' THEN {_font_sql('mono', salt)} WHEN {_DRAW('id', 'font-serif')} < 0.15 THEN {_font_sql('serif', salt)} ELSE {_font_sql('sans', salt)} END"
+
+
+@query(f"SELECT id, document_type = 'receipt' AS is_receipt, {_drawn_font('body')} AS body_font, CASE WHEN document_type <> 'receipt' AND {_DRAW('id', 'font-redraw')} < 0.30 THEN {_font_sql('sans', 'again')} ELSE {_drawn_font('heading')} END AS heading_font FROM ({_PARAMS})")
 def font_choice(spark, sf_dir):
-    rows = _params(spark, sf_dir).where("document_type = 'receipt'").withColumn("template", F.lit("pos_thermal"))
-    return sampling.fonts(rows, "id").select("id", F.lit(True).alias("is_receipt"), "body_font")
+    """Fonts of all three pools: till receipts are set in one width."""
+    receipt = F.col("document_type") == "receipt"
+    rows = _params(spark, sf_dir).withColumn("template", F.when(receipt, "pos_thermal").otherwise("formal_corporate"))
+    return sampling.fonts(rows, "id").select("id", receipt.alias("is_receipt"), "body_font", "heading_font")
+
+
+@query("SELECT o_orderkey AS id, 'en' AS locale, 'IE' || CAST(o_orderkey AS STRING) || CASE WHEN o_orderkey % 3 > 0 THEN ', VAT' || CAST(o_orderkey % 97 AS STRING) ELSE '' END AS registrations, CASE o_orderkey % 3 WHEN 0 THEN '23%' WHEN 1 THEN '5.5%' ELSE '0%' END AS item_rate, CASE o_orderkey % 3 WHEN 0 THEN '23%' WHEN 1 THEN '5.5%' ELSE '0%' END AS tax_rate FROM orders")
+def normalized_records(spark, sf_dir):
+    """Registration lists joined, rates as percentage texts, the locale set."""
+    k = F.col("o_orderkey")
+    rate = F.when(k % 3 == 0, "0.23").when(k % 3 == 1, "5.5").otherwise("zero")
+    numbers = F.array_compact(F.array(F.concat(F.lit("IE"), k.cast("string")), F.when(k % 3 > 0, F.concat(F.lit("VAT"), (k % 97).cast("string")))))
+    rows = X.table(spark, sf_dir, "orders").select(k.alias("id"), F.lit("xx").alias("locale"), numbers.alias("supplier_company_registrations"), F.array(F.struct(rate.alias("tax_rate"))).alias("line_items"), F.array(F.struct(rate.alias("rate"))).alias("taxes"))
+    made = repair.normalize_records(rows)
+    return made.select("id", "locale", F.col("supplier_company_registrations").alias("registrations"), F.col("line_items")[0]["tax_rate"].alias("item_rate"), F.col("taxes")[0]["rate"].alias("tax_rate"))
 
 
 _PAY = lambda low, high, salt: f"CAST({low} + CAST(floor({_DRAW('id', f'pay-{salt}')} * {high - low + 1}) AS BIGINT) AS STRING)"
