@@ -45,7 +45,7 @@ LEAF_CHARS = 1 << 10
 LEAF_BYTES = 1 << 7  # of a piece
 #: What the splitting pattern may look at behind a match, with one to spare.
 _LOOKS_AHEAD = 3
-_REMEMBERED = 1 << 18
+_REMEMBERED = 1 << 19
 
 
 class TreeEncoder:
@@ -59,6 +59,10 @@ class TreeEncoder:
         self.ranks = ranks
         self.pattern = regex.compile(pattern)
         self.bytes_of = {i: b for b, i in ranks.items()}
+        self.byte_id = {b: ranks[bytes([b])] for b in range(256) if bytes([b]) in ranks}
+        self.shift = max(ranks.values()).bit_length()
+        # What two neighbouring tokens merge into; its id is its rank.
+        self.merged = {ranks[t[:k]] << self.shift | ranks[t[k:]]: i for t, i in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks}
         self.pair_ok = lru_cache(1 << 16)(self._pair_ok)
         self.known: dict[str, tuple[int, ...]] = {}
 
@@ -68,41 +72,41 @@ class TreeEncoder:
         """The encoding of a short piece: lowest rank first, leftmost first."""
         if len(piece) > 2 * LEAF_BYTES:
             return self._merge_by_heap(piece)
-        get, none = self.ranks.get, 1 << 60
-        part = [piece[k : k + 1] for k in range(len(piece))]
-        rank = [get(piece[k : k + 2], none) for k in range(len(piece) - 1)]
+        get, none, shift = self.merged.get, 1 << 60, self.shift
+        part = list(map(self.byte_id.__getitem__, piece))
+        rank = [get(x << shift | y, none) for x, y in zip(part, part[1:])]
         while rank and (least := min(rank)) < none:
             k = rank.index(least)
-            part[k : k + 2] = [part[k] + part[k + 1]]
-            del rank[k]
+            part[k] = least
+            del part[k + 1], rank[k]
             if k < len(rank):
-                rank[k] = get(part[k] + part[k + 1], none)
+                rank[k] = get(least << shift | part[k + 1], none)
             if k:
-                rank[k - 1] = get(part[k - 1] + part[k], none)
-        return [self.ranks[p] for p in part]
+                rank[k - 1] = get(part[k - 1] << shift | least, none)
+        return part
 
     def _merge_by_heap(self, piece: bytes) -> list[int]:
         """The same for a window of any size: n log n."""
-        ranks, n = self.ranks, len(piece)
-        part = [piece[k : k + 1] for k in range(n)]
+        get, shift, n = self.merged.get, self.shift, len(piece)
+        part = list(map(self.byte_id.__getitem__, piece))
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(r, k, part[k] + part[k + 1]) for k in range(n - 1) if (r := ranks.get(part[k] + part[k + 1])) is not None]
+        heap = [(r, k, part[k], part[k + 1]) for k in range(n - 1) if (r := get(part[k] << shift | part[k + 1])) is not None]
         heapq.heapify(heap)
         while heap:
-            _, k, both = heapq.heappop(heap)
+            made, k, x, y = heapq.heappop(heap)
             j = after[k]
-            if part[k] is None or j >= n or len(part[k]) + len(part[j]) != len(both) or part[k] + part[j] != both:
+            if part[k] != x or j >= n or part[j] != y:
                 continue  # one side was merged since
-            part[k], part[j] = both, None
+            part[k], part[j] = made, -1
             after[k] = j = after[j]
             if j < n:
                 before[j] = k
-                if (r := ranks.get(both + part[j])) is not None:
-                    heapq.heappush(heap, (r, k, both + part[j]))
+                if (r := get(made << shift | part[j])) is not None:
+                    heapq.heappush(heap, (r, k, made, part[j]))
             i = before[k]
-            if i >= 0 and (r := ranks.get(part[i] + both)) is not None:
-                heapq.heappush(heap, (r, i, part[i] + both))
-        return [ranks[p] for p in part if p is not None]
+            if i >= 0 and (r := get(part[i] << shift | made)) is not None:
+                heapq.heappush(heap, (r, i, part[i], made))
+        return [p for p in part if p >= 0]
 
     def _pair_ok(self, a: int, b: int) -> bool:
         return self._merge(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
