@@ -228,7 +228,7 @@ def _distance(prints: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(prints[a] ^ prints[b]).sum(axis=1, dtype=np.int64)
 
 
-def _ranges(low: np.ndarray, high: np.ndarray, at_once: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _ranges(low: np.ndarray, high: np.ndarray, at_once: int = 1 << 17) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(row, place) for every place in [low, high) of every row, in parts."""
     size = np.maximum(high - low, 0)
     reach = np.cumsum(size)
@@ -318,32 +318,21 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
 
 
 #: Nodes of one family that one task compares, and their shingles.
-_ASK_ROWS, _ASK_HASHES, _BLOCK_ROWS, _BLOCK_HASHES = 256, 500_000, 2048, 2_000_000
-_CELLS = 1 << 22  # of a dense matrix
+_ASK_ROWS, _ASK_HASHES, _BLOCK_ROWS, _BLOCK_HASHES = 256, 100_000, 1024, 500_000
 
 
 def _shared_counts(asks: list[np.ndarray], others: list[np.ndarray]) -> np.ndarray:
-    """How many hashes each set of asks shares with each of others: products of
-    0-1 matrices over the asks' hashes, of bounded size."""
-    out = np.zeros((len(asks), len(others)), np.float32)
-    first = 0
-    while first < len(asks):
-        reach = np.cumsum([len(x) for x in asks[first:]])
-        last = first + max(1, int(np.searchsorted(reach * np.arange(1, len(reach) + 1), _CELLS, "right")))
-        vocabulary = np.unique(np.concatenate(asks[first:last]))
-        if len(vocabulary):
-            left = np.zeros((last - first, len(vocabulary)), np.float32)
-            for row, x in zip(left, asks[first:last]):
-                row[np.searchsorted(vocabulary, x)] = 1
-            step = max(1, _CELLS // len(vocabulary))
-            for at in range(0, len(others), step):
-                part = others[at : at + step]
-                right = np.zeros((len(part), len(vocabulary)), np.float32)
-                for row, x in zip(right, part):
-                    place = np.minimum(np.searchsorted(vocabulary, x), len(vocabulary) - 1)
-                    row[place[vocabulary[place] == x]] = 1
-                out[first:last, at : at + len(part)] = left @ right.T
-        first = last
+    """How many hashes each set of asks shares with each of others: each hash of
+    an other set counts for the asks that hold it."""
+    hashes = np.concatenate([np.zeros(0, np.uint64), *asks])
+    order = np.argsort(hashes, kind="stable")
+    hashes, owner = hashes[order], np.repeat(np.arange(len(asks)), [len(x) for x in asks])[order]
+    out = np.zeros((len(asks), len(others)), np.int32)
+    for k, x in enumerate(others):
+        low = np.searchsorted(hashes, x)
+        n = np.searchsorted(hashes, x, "right") - low
+        place = np.arange(int(n.sum())) + np.repeat(low - (np.cumsum(n) - n), n)
+        out[:, k] = np.bincount(owner[place], minlength=len(asks))
     return out
 
 
