@@ -53,7 +53,7 @@ _WORD_TABLE = [*_INDEX, np.uint64]
 _COUNT_TABLE = [*_INDEX, *_SMALL]
 _CONTEXT_TABLE = [*_INDEX, *_SMALL * 4]
 _ID_TABLE = [np.uint64, np.uint64, np.uint64, np.uint64, np.uint64]
-_TEXT_AT_ONCE = 8 << 20
+_TEXT_AT_ONCE = 4 << 20
 _HOT_TOKENS = 16  # a word is hot with one occurrence for so many bytes of a bucket
 
 
@@ -410,7 +410,7 @@ def _totals(parts: DataFrame) -> dict[int, list[int]]:
     return {r["key"]: [r[f"n{k}"] for k in range(5)] for r in rows}
 
 
-def fit_kneser_ney(train: DataFrame, text_col: str = "text", bucket_bytes: int = 24 << 20, ids_per_range: int = 1 << 20) -> KneserNey:
+def fit_kneser_ney(train: DataFrame, text_col: str = "text", bucket_bytes: int = 8 << 20, ids_per_range: int = 1 << 20) -> KneserNey:
     """Counts the model of the texts and stores it in the shared folder."""
     spark = train.sparkSession
     texts = train.select(text_col)
