@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.shipping import ship_package
+from ._text import mix
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +50,7 @@ def shards_for(size: int, per_shard: int, least: int = 1) -> int:
     return max(least, -(-size // per_shard))
 
 
-def connected_components(edges: DataFrame, most_rounds: int = 60, most_degree: int = 1000) -> DataFrame:
+def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """Components of a graph: (node, root), root being the smallest node.
 
     edges has columns a and b (long, both directions need not be present).
@@ -54,24 +59,15 @@ def connected_components(edges: DataFrame, most_rounds: int = 60, most_degree: i
     no row set reaches the driver.  Nodes without an edge do not appear.
     """
 
-    def with_least(pairs: DataFrame, hubs_too: bool) -> DataFrame:
-        """pairs (u, v) with m, the least of u and all its v; the pairs of a node
-        of high degree are dealt in several parts, which its m is sent to."""
-        if not hubs_too:
-            return pairs.join(pairs.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), "u")
-        of = pairs.groupBy("u").agg(F.min("v").alias("m"), F.ceil(F.count(F.lit(1)) / most_degree).cast("long").alias("parts")).withColumn("m", F.least("u", "m"))
-        hubs = of.where("parts > 1").select("u", "parts")
-        part = F.pmod(F.xxhash64("v"), F.coalesce("parts", F.lit(1)))
-        dealt = pairs.join(hubs, "u", "left").select("u", "v", part.alias("part"))
-        sent = of.select("u", "m", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
-        return dealt.join(sent, ["u", "part"])
-
-    def large_star(e: DataFrame, hubs_too: bool) -> DataFrame:
+    def with_least(pairs: DataFrame) -> DataFrame:
+        return pairs.join(pairs.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), "u")
+
+    def large_star(e: DataFrame) -> DataFrame:
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        return with_least(both, hubs_too).where(F.col("v") > F.col("u")).select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+        return with_least(both).where(F.col("v") > F.col("u")).select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
 
-    def small_star(e: DataFrame, hubs_too: bool) -> DataFrame:
-        joined = with_least(e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), hubs_too)
+    def small_star(e: DataFrame) -> DataFrame:
+        joined = with_least(e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))
         return (
             joined.select(F.col("v").alias("a"), F.col("m").alias("b"))
             .union(joined.select(F.col("u").alias("a"), F.col("m").alias("b")))
@@ -79,17 +75,25 @@ def connected_components(edges: DataFrame, most_rounds: int = 60, most_degree: i
             .distinct()
         )
 
-    def state(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(a, b))")).first())
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, digest = 0, np.uint64(0)
+        for batch in batches:
+            x, y = (batch.column(k).to_numpy().view(np.uint64) for k in (0, 1))
+            rows += len(x)
+            digest ^= np.bitwise_xor.reduce(mix(mix(x) + y)) if len(x) else np.uint64(0)
+        yield pa.RecordBatch.from_arrays([pa.array([rows]), pa.array([digest]).cast(pa.int64(), safe=False)], names=["rows", "digest"])
+
+    def state(e: DataFrame) -> tuple[int, int]:
+        """Number and digest of the links, from two numbers a partition."""
+        parts = e.mapInArrow(counted, "rows long, digest long").collect()
+        return sum(r["rows"] for r in parts), reduce(lambda x, r: x ^ r["digest"], parts, 0)
 
     now = checkpointed(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     seen = state(now)
     for _ in range(most_rounds):
         if not seen[0]:
             break
-        degrees = now.select(F.explode(F.array("a", "b")).alias("u")).groupBy("u").count()
-        hubs_too = degrees.agg(F.max("count")).first()[0] > most_degree
-        now = checkpointed(small_star(large_star(now, hubs_too), hubs_too))
+        now = checkpointed(small_star(large_star(now)))
         after = state(now)
         if after == seen:
             break
