@@ -93,7 +93,7 @@ def sorted_bucket(hashes: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
     keys = key48(hashes)
     order = np.argsort(keys)
     ranked = keys[order]
-    offsets = np.searchsorted(ranked >> np.uint64(32), np.arange(65537)).astype(np.int64)
+    offsets = np.searchsorted(ranked >> np.uint64(32), np.arange(65537)).astype(np.uint32)
     return order, [offsets, (ranked & np.uint64(0xFFFFFFFF)).astype(np.uint32)]
 
 
@@ -102,7 +102,7 @@ def find(offsets: np.ndarray, remainders: np.ndarray, hashes: np.ndarray) -> np.
     keys = key48(hashes)
     top = (keys >> np.uint64(32)).astype(np.int64)
     want = (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-    low, high = np.array(offsets[top]), np.array(offsets[top + 1])
+    low, high = offsets[top].astype(np.int64), offsets[top + 1].astype(np.int64)
     end = high.copy()
     while (open_ := low < high).any():
         middle = (low + high) >> 1

@@ -48,12 +48,12 @@ from ._text import LOWER_AZ, PrefixHash, blocks, mix
 _LOWER = np.frombuffer(LOWER_AZ, np.uint8)
 _END = np.uint64(0x1F3D5B79A1C3E507)  # the end token's hash
 _SMALL = [np.uint8, np.uint32, np.uint64]  # counts as bytes, places and values of larger ones
-_INDEX = [np.int64, np.uint32]
+_INDEX = [np.uint32, np.uint32]
 _WORD_TABLE = [*_INDEX, np.uint64]
 _COUNT_TABLE = [*_INDEX, *_SMALL]
 _CONTEXT_TABLE = [*_INDEX, *_SMALL * 4]
 _ID_TABLE = [np.uint64, np.uint64, np.uint64, np.uint64, np.uint64]
-_TEXT_AT_ONCE = 4 << 20
+_TEXT_AT_ONCE = 8 << 20
 _HOT_TOKENS = 16  # a word is hot with one occurrence for so many bytes of a bucket
 
 
@@ -119,13 +119,17 @@ def _taken(places: np.ndarray, small: np.ndarray, at: np.ndarray, value: np.ndar
 
 
 def _blob(*arrays: np.ndarray) -> bytes:
-    return np.array([x.nbytes for x in arrays], np.int64).tobytes() + b"".join(x.tobytes() for x in arrays)
+    """Arrays as bytes, the first bytes of all numbers first: the exchange's
+    compression then meets the high bytes, which are mostly zero, together."""
+    planes = (np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T for x in arrays)
+    return np.array([x.nbytes for x in arrays], np.int64).tobytes() + b"".join(x.tobytes() for x in planes)
 
 
 def _arrays(blob: bytes, *kinds) -> list[np.ndarray]:
     at, out = 8 * len(kinds), []
     for size, kind in zip(np.frombuffer(blob, np.int64, len(kinds)).tolist(), kinds):
-        out.append(np.frombuffer(blob, kind, size // np.dtype(kind).itemsize, at))
+        planes = np.frombuffer(blob, np.uint8, size, at).reshape(np.dtype(kind).itemsize, -1)
+        out.append(np.ascontiguousarray(planes.T).view(kind)[:, 0] if size else np.zeros(0, kind))
         at += size
     return out
 
@@ -410,7 +414,7 @@ def _totals(parts: DataFrame) -> dict[int, list[int]]:
     return {r["key"]: [r[f"n{k}"] for k in range(5)] for r in rows}
 
 
-def fit_kneser_ney(train: DataFrame, text_col: str = "text", bucket_bytes: int = 8 << 20, ids_per_range: int = 1 << 20) -> KneserNey:
+def fit_kneser_ney(train: DataFrame, text_col: str = "text", bucket_bytes: int = 16 << 20, ids_per_range: int = 1 << 20) -> KneserNey:
     """Counts the model of the texts and stores it in the shared folder."""
     spark = train.sparkSession
     texts = train.select(text_col)
