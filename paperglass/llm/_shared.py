@@ -50,6 +50,25 @@ def shards_for(size: int, per_shard: int, least: int = 1) -> int:
     return max(least, -(-size // per_shard))
 
 
+def least_members(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, least node of its component) for the nodes of the links that are
+    not the least themselves: links of a group found in many places become the
+    same few."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    label = np.arange(len(nodes))
+    while len(x):
+        least = np.minimum(label[x], label[y])
+        if (least == label[x]).all() and (least == label[y]).all():
+            break
+        for side in (x, y):
+            np.minimum.at(label, label[side], least)
+            np.minimum.at(label, side, least)
+        label = label[label]
+    away = label != np.arange(len(nodes))
+    return nodes[away], nodes[label[away]]
+
+
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """Components of a graph: (node, root), root being the smallest node.
 

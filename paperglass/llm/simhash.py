@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._shared import checkpointed, connected_components, documents, shards_for
+from ._shared import least_members as _least_members
 from ._text import LOWER_AZ, mix, run_lengths, text_buffers
 
 _SEED = 42
@@ -242,10 +243,11 @@ def _ranges(low: np.ndarray, high: np.ndarray, at_once: int = 1 << 17) -> Iterat
 
 
 def cell_candidates(code: np.ndarray, node: np.ndarray, prints: np.ndarray, half: int, most_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links that give every row with a candidate one, of rows whose codes
+    """Candidates that span the components of all candidates: rows whose codes
     (sorted) agree but for one of the low half bits, and whose complete distance
-    is most_bits or less: of each row the candidate of the least node; in crowded
-    cells links that span the components."""
+    is most_bits or less.  They are the one of the least node for each row, what
+    joins the components that these leave apart, and in crowded cells those that a
+    search from member to member finds."""
     first, length = run_lengths(code)
     size = np.repeat(length, length)
     a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -271,7 +273,8 @@ def cell_candidates(code: np.ndarray, node: np.ndarray, prints: np.ndarray, half
     order = np.lexsort((node[y], x))
     x, y = x[order], y[order]
     lead = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1]))) if len(x) else np.zeros(0, np.int64)
-    a, b = [x[lead]], [y[lead]]
+    apart = _joining(x[lead], y[lead], x, y, len(code))
+    a, b = [x[lead], x[apart]], [y[lead], y[apart]]
     for s, m in zip(first[length > _CROWD].tolist(), length[length > _CROWD].tolist()):
         cells = np.concatenate(([code[s]], code[s] ^ (np.int64(1) << np.arange(half, dtype=np.int64))))
         members = np.concatenate([np.arange(x, y) for x, y in zip(np.searchsorted(code, cells).tolist(), np.searchsorted(code, cells, "right").tolist())])
@@ -286,6 +289,27 @@ def cell_candidates(code: np.ndarray, node: np.ndarray, prints: np.ndarray, half
     return np.concatenate(a), np.concatenate(b)
 
 
+def _joining(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
+    """Which of the links x, y between rows 0 to n - 1 join the components that
+    the links a, b leave apart: some that do, until none is left."""
+    label, left, chosen = _labels(a, b, n), np.arange(len(x)), [np.zeros(0, np.int64)]
+    while True:
+        left = left[label[x[left]] != label[y[left]]]
+        if not len(left):
+            return np.concatenate(chosen)
+        one = left[np.unique(np.maximum(label[x[left]], label[y[left]]), return_index=True)[1]]
+        chosen.append(one)
+        label = _labels(label[x[one]], label[y[one]], n)[label]
+
+
+def _labels(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The least row of the component of each of n rows."""
+    out = np.arange(n)
+    member, root = _least_members(a, b)
+    out[member] = root
+    return out
+
+
 def _with_set(pairs: DataFrame, sets: DataFrame, key: str) -> DataFrame:
     """pairs with the shingle set of the node in key; a node of many pairs is
     dealt in several parts."""
@@ -480,25 +504,6 @@ def _forest(members: np.ndarray, near) -> Iterator[tuple[int, np.ndarray]]:
                 yield at, found
 
 
-def _least_members(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(node, least node of its component) for the nodes of the links that are
-    not the least themselves: links of a group found in many places become the
-    same few."""
-    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-    x, y = at[: len(a)], at[len(a) :]
-    label = np.arange(len(nodes))
-    while len(x):
-        least = np.minimum(label[x], label[y])
-        if (least == label[x]).all() and (least == label[y]).all():
-            break
-        for side in (x, y):
-            np.minimum.at(label, label[side], least)
-            np.minimum.at(label, side, least)
-        label = label[label]
-    away = label != np.arange(len(nodes))
-    return nodes[away], nodes[label[away]]
-
-
 def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of docs without those similar to a document of smaller id, all
     columns unchanged.

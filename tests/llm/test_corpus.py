@@ -127,6 +127,30 @@ def test_similarity_groups_are_exact(spark):
     assert [got[k] for k in range(len(rows))] == expected
 
 
+def test_cell_candidates_span_all_candidates(monkeypatch):
+    """No candidate is lost where each row's least one leaves components apart."""
+
+    def spanned(code, node, prints):
+        order = np.lexsort((node, code))
+        code, node, prints = code[order], node[order], prints[order]
+        near = lambda i, j: (int(code[i]) ^ int(code[j])).bit_count() <= 1 and int(np.bitwise_count(prints[i] ^ prints[j]).sum()) <= 4
+        every = list(range(len(code)))
+        a, b = simhash.cell_candidates(code, node, prints, 2, 4)
+        kept = {frozenset(x) for x in zip(a.tolist(), b.tolist())}
+        assert all(near(*x) for x in kept)
+        assert roots(every, lambda i, j: frozenset((i, j)) in kept) == roots(every, near)
+
+    line = lambda bits: np.array([[(1 << k) - 1, 0, 0, 0] for k in bits], np.uint64)
+    # Least candidates are 1 - 5 and 2 - 6 only; 5 - 6 joins them.
+    spanned(np.zeros(4, np.int64), np.array([1, 5, 6, 2]), line([0, 4, 8, 12]))
+    random.seed(4)
+    for crowd in (256, 3):
+        monkeypatch.setattr(simhash, "_CROWD", crowd)
+        for n in [random.randrange(1, 40) for _ in range(60)]:
+            code = np.array([random.randrange(4) + 12 * random.randrange(2) for _ in range(n)], np.int64)
+            spanned(code, np.array(random.sample(range(1000), n)), line(random.choices(range(60), k=n)))
+
+
 def test_least_members():
     random.seed(11)
     for _ in range(50):
