@@ -69,30 +69,37 @@ def least_members(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return nodes[away], nodes[label[away]]
 
 
-def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, most_rounds: int = 60, task_links: int = 200_000) -> DataFrame:
     """Components of a graph: (node, root), root being the smallest node.
 
     edges has columns a and b (long, both directions need not be present).
-    Alternating large-star and small-star rounds; each round is two
+    Each partition first makes stars of the components of its own links.  Then
+    alternating large-star and small-star rounds; each round is two
     aggregations with map-side combining and a join, ends in a checkpoint, and
-    no row set reaches the driver.  Nodes without an edge do not appear.
+    no row set reaches the driver.  Partitions follow the number of links: each
+    exchange of many small ones would cost more files than it has rows.  Nodes
+    without an edge do not appear.
     """
+    whole = checkpointed(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
+    tasks = shards_for(whole.count(), task_links, 8)
 
     def with_least(pairs: DataFrame) -> DataFrame:
-        return pairs.join(pairs.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), "u")
+        least = pairs.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+        return pairs.join(least, "u").coalesce(tasks)
 
     def large_star(e: DataFrame) -> DataFrame:
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        return with_least(both).where(F.col("v") > F.col("u")).select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+        return with_least(both).where(F.col("v") > F.col("u")).select(F.col("v").alias("a"), F.col("m").alias("b")).distinct().coalesce(tasks)
 
     def small_star(e: DataFrame) -> DataFrame:
         joined = with_least(e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))
-        return (
-            joined.select(F.col("v").alias("a"), F.col("m").alias("b"))
-            .union(joined.select(F.col("u").alias("a"), F.col("m").alias("b")))
-            .where(F.col("a") != F.col("b"))
-            .distinct()
-        )
+        both = F.explode(F.array(F.struct(F.col("v").alias("a"), F.col("m").alias("b")), F.struct(F.col("u").alias("a"), F.col("m").alias("b"))))
+        return joined.select(both.alias("e")).select("e.a", "e.b").where("a != b").distinct().coalesce(tasks)
+
+    def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(x.column(0).to_numpy(), x.column(1).to_numpy()) for x in batches]
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in least_members(*(np.concatenate(x) for x in zip(*held)))], names=["a", "b"])
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, digest = 0, np.uint64(0)
@@ -107,7 +114,7 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         parts = e.mapInArrow(counted, "rows long, digest long").collect()
         return sum(r["rows"] for r in parts), reduce(lambda x, r: x ^ r["digest"], parts, 0)
 
-    now = checkpointed(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    now = checkpointed(whole.coalesce(tasks).mapInArrow(stars, "a long, b long").distinct().coalesce(tasks))
     seen = state(now)
     for _ in range(most_rounds):
         if not seen[0]:
@@ -119,5 +126,5 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         seen = after
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
-    roots = now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
+    roots = now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct().coalesce(tasks)
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots)

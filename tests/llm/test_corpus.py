@@ -161,6 +161,27 @@ def test_least_members():
         assert dict(zip(node.tolist(), root.tolist())) == {k: r for k, r in enumerate(expected) if k != r}
 
 
+def test_components_in_few_partitions(spark):
+    """The rounds' files follow the links, not the number of shuffle partitions."""
+    random.seed(8)
+    pairs = [(k, k + 1) for k in range(0, 40)] + [(random.randrange(100, 400), random.randrange(100, 400)) for _ in range(170)] + [(900, 900)]
+    random.shuffle(pairs)
+    names = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    were = {k: spark.conf.get(k) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        made = _shared.connected_components(spark.createDataFrame(pairs, "a long, b long").repartition(20))
+        assert made.rdd.getNumPartitions() <= 16
+        got = {r["node"]: r["root"] for r in made.collect()}
+    finally:
+        for k, v in were.items():
+            spark.conf.set(k, v)
+    nodes = sorted({x for p in pairs for x in p if p[0] != p[1]})
+    linked = {frozenset(p) for p in pairs}
+    assert got == {k: nodes[r] for k, r in zip(nodes, roots(nodes, lambda a, b: frozenset((a, b)) in linked))}
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 130)]
     got = {r["node"]: r["root"] for r in _shared.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
