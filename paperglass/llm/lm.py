@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from ._shared import checkpoint_folder, checkpointed, documents, shards_for, text_bytes
 from ._tables import Opened, find, map_arrays, sorted_bucket, write_arrays
-from ._text import LOWER_AZ, PrefixHash, blocks, mix
+from ._text import BLOCK_BYTES, LOWER_AZ, PrefixHash, blocks, mix
 
 _LOWER = np.frombuffer(LOWER_AZ, np.uint8)
 _END = np.uint64(0x1F3D5B79A1C3E507)  # the end token's hash
@@ -82,11 +82,23 @@ def discounts(n: list[int]) -> tuple[float, float, float]:
     return tuple(min(max(d, 0.05), k - 0.05) for k, d in enumerate(raw, 1))
 
 
+def _word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of words, of some of the text at a time: a hash does not depend on
+    its word's place, and running sums of all bytes would be many times the text."""
+    out, first = np.empty(len(start), np.uint64), 0
+    while first < len(start):
+        begin = start[first]
+        last = max(int(np.searchsorted(end, begin + BLOCK_BYTES, "right")), first + 1)
+        out[first:last] = PrefixHash(_LOWER[data[begin : end[last - 1]]]).of(start[first:last] - begin, end[first:last] - begin)
+        first = last
+    return out
+
+
 def _tokens(block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of the tokens of a block (each document's end token last), the
     document of each, and the place of each document's first token."""
     start, end, doc = block.words()
-    words = PrefixHash(_LOWER[block.data]).of(start, end) if len(start) else np.zeros(0, np.uint64)
+    words = _word_hashes(block.data, start, end)
     n = np.bincount(doc, minlength=block.n) + 1
     last = np.cumsum(n) - 1
     out = np.full(int(n.sum()), _END, np.uint64)
@@ -125,7 +137,7 @@ def _blob(*arrays: np.ndarray) -> bytes:
     return np.array([x.nbytes for x in arrays], np.int64).tobytes() + b"".join(x.tobytes() for x in planes)
 
 
-def _arrays(blob: bytes, *kinds) -> list[np.ndarray]:
+def _arrays(blob: bytes | pa.Buffer, *kinds) -> list[np.ndarray]:
     at, out = 8 * len(kinds), []
     for size, kind in zip(np.frombuffer(blob, np.int64, len(kinds)).tolist(), kinds):
         planes = np.frombuffer(blob, np.uint8, size, at).reshape(np.dtype(kind).itemsize, -1)
@@ -239,8 +251,10 @@ def _words(folder: str, buckets: int, base: tuple[int, ...]) -> Words:
 
 def _hashed(*ids: np.ndarray) -> np.ndarray:
     out = np.zeros(len(ids[0]), np.uint64)
-    for x in ids:
-        out = mix(out * np.uint64(0xC2B2AE3D27D4EB4F) + x.astype(np.uint64) + np.uint64(1))
+    for at in range(0, len(out), 1 << 16):  # small parts, so that no step needs much memory
+        part = out[at : at + (1 << 16)]
+        for x in ids:
+            part[:] = mix(part * np.uint64(0xC2B2AE3D27D4EB4F) + x[at : at + (1 << 16)].astype(np.uint64) + np.uint64(1))
     return out
 
 
@@ -331,19 +345,25 @@ def _pair_results(v: np.ndarray, w: np.ndarray, seen: np.ndarray, uri: str, kind
 def _store_triples(folder: str, kind, hot: np.ndarray, buckets: int, per_range: int):
     def step(key: tuple, table: pa.Table) -> pa.Table:
         number = key[0].as_py()
-        parts = [_arrays(p, kind, kind, np.uint32, kind, *_SMALL) for p in table.column("payload").to_pylist()]
-        u, v = (np.concatenate([np.repeat(p[k], p[2]) for p in parts]).astype(np.int64) for k in (0, 1))
-        w = np.concatenate([p[3] for p in parts]).astype(np.int64)
+        # Ids keep their kind, and what is done with goes: this is the step that needs most memory.
+        parts = [_arrays(p.as_buffer(), kind, kind, np.uint32, kind, *_SMALL) for p in table.column("payload")]
+        u, v = (np.concatenate([np.repeat(p[k], p[2]) for p in parts]) for k in (0, 1))
+        w = np.concatenate([p[3] for p in parts])
         counts = np.concatenate([_wide(*p[4:]) for p in parts])
+        del parts
         order = np.lexsort((w, v, u))
-        u, v, w, counts = u[order], v[order], w[order], counts[order]
+        u, v, w = u[order], v[order], w[order]
+        counts = counts[order]
+        del order
         new = _heads(u, v, w)
         u, v, w, counts = u[new], v[new], w[new], np.add.reduceat(counts, new)
+        del new
         _write_counts(f"{folder}/triples-{number}", _hashed(u, v, w), counts)
         made = [(_NUMBERS, 0, None, _numbers(counts))]
         # Contexts: whole, but for those of two hot words.
         heads = _heads(u, v)
         sums, cu, cv = _kinds(counts, heads), u[heads], v[heads]
+        del u, counts
         split = np.isin(cv, hot) & np.isin(cu, hot)
         _write_counts(f"{folder}/contexts-{number}", _hashed(cu, cv)[~split], *(x[~split] for x in sums))
         order, slices = _dealt(_bucket(_hashed(cu[split], cv[split]), buckets))
@@ -351,8 +371,10 @@ def _store_triples(folder: str, kind, hot: np.ndarray, buckets: int, per_range:
             own = np.flatnonzero(split)[order[s]]
             made.append((_CONTEXTS, b, _blob(cu[own].astype(kind), cv[own].astype(kind), *(x[own] for x in sums)), None))
         # Pairs: whole, but for those of a hot first word.
+        del cu, cv, sums
         order = np.lexsort((w, v))
         pv, pw = v[order], w[order]
+        del v, w, order
         heads = _heads(pv, pw)
         seen = np.diff(np.append(heads, len(pv))).astype(np.uint64)
         pv, pw = pv[heads], pw[heads]

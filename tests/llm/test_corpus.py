@@ -6,15 +6,17 @@ import math
 import random
 import re
 import time
+import tracemalloc
 from collections import Counter
 from dataclasses import replace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from paperglass.llm import _shared, ann, bpe, langid, lm, packing, quality, secrets, simhash, substring, suffix
+from paperglass.llm import _shared, _text, ann, bpe, langid, lm, packing, quality, secrets, simhash, substring, suffix
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, extra int"
@@ -161,6 +163,35 @@ def test_least_members():
         assert dict(zip(node.tolist(), root.tolist())) == {k: r for k, r in enumerate(expected) if k != r}
 
 
+def test_memory_of_counting(tmp_path):
+    """What the model's counting steps hold follows a block's text, a few times over."""
+    random.seed(6)
+    texts = [" ".join("W%x" % random.randrange(1 << 18) for _ in range(300)) for _ in range(3000)] + ["é" * (3 << 19)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    size, folder = sum(len(t.encode()) for t in texts), tmp_path.as_uri()
+
+    def peak(step):
+        _text._powers[:] = [np.ones(1, np.uint64)] * 2  # as in a new worker
+        tracemalloc.start()
+        try:
+            return step(), tracemalloc.get_traced_memory()[1]
+        finally:
+            tracemalloc.stop()
+
+    rows, most = peak(lambda: list(lm._count_words(1)(iter([batch]))))
+    assert most < 16 * size
+    stored = lm._store_words(folder, 1 << 30)((pa.scalar(0),), pa.Table.from_batches(rows).select(["payload"])).to_pylist()[0]
+    step, kind = lm._count_triples(folder, 1, (0, stored["n"]), np.array([stored["n"]], np.int64))
+    rows = pa.Table.from_batches(list(step(iter([batch])))).select(["payload"])
+    n = 300 * 3000 + 1 + len(texts)
+    got, most = peak(lambda: lm._store_triples(folder, kind, np.array([stored["n"]], np.int64), 1, 1 << 20)((pa.scalar(0),), rows))
+    assert sum(x["numbers"][4] for x in got.to_pylist() if x["kind"] == lm._NUMBERS and x["key"] == 0) <= n
+    assert most < 180 * n
+    block = next(iter(_text.blocks(batch.column(0), size + 1)))
+    start, end, _ = block.words()
+    assert (lm._word_hashes(block.data, start, end) == _text.PrefixHash(lm._LOWER[block.data]).of(start, end)).all()
+
+
 def test_components_in_few_partitions(spark):
     """The rounds' files follow the links, not the number of shuffle partitions."""
     random.seed(8)
