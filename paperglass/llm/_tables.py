@@ -40,7 +40,8 @@ def write_arrays(uri: str, arrays: list[np.ndarray]) -> None:
 def map_arrays(uri: str, kinds: list) -> list[np.ndarray]:
     system, path = _open(uri)
     if isinstance(system, fs.LocalFileSystem):
-        raw = np.memmap(path, np.uint8, "r") if os.path.getsize(path) else np.zeros(0, np.uint8)
+        # A plain view of the map: indexing the map's own class costs more.
+        raw = np.asarray(np.memmap(path, np.uint8, "r")) if os.path.getsize(path) else np.zeros(0, np.uint8)
     else:
         with system.open_input_file(path) as f:
             raw = np.frombuffer(f.read(), np.uint8)

@@ -180,6 +180,8 @@ def _sums(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 def _dealt(bucket: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice]]]:
     """An order by bucket, and the slice of each bucket that there is."""
+    if len(bucket) and bucket.max() < 1 << 16:
+        bucket = bucket.astype(np.uint16)  # sorted by radix
     order = np.argsort(bucket, kind="stable")
     ranked = bucket[order]
     first = _heads(ranked)
@@ -231,6 +233,11 @@ class Words:
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Id (or -1) and count of each hash."""
+        ids, counts, back = self.of_distinct(hashes)
+        return ids[back], counts[back]
+
+    def of_distinct(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Id and count of each distinct hash, and which of them each hash is."""
         distinct, back = np.unique(hashes, return_inverse=True)
         ids, counts = np.full(len(distinct), -1, np.int64), np.zeros(len(distinct), np.uint64)
         order, parts = _dealt((distinct % np.uint64(self.buckets)).astype(np.int64))
@@ -241,7 +248,7 @@ class Words:
                 hit = at >= 0
                 ids[own[hit]] = at[hit] + self.base[b]
                 counts[own[hit]] = table[2][at[hit]]
-        return ids[back], counts[back]
+        return ids, counts, back
 
 
 @lru_cache(2)
@@ -279,6 +286,42 @@ def _before(ids: np.ndarray, first: np.ndarray, begin: int) -> np.ndarray:
     return out
 
 
+def _contexts(w: np.ndarray, first: np.ndarray, mark: int) -> tuple[np.ndarray, np.ndarray]:
+    v = _before(w, first, mark)
+    return _before(v, first, mark), v
+
+
+def _counted_triples(u: np.ndarray, v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The distinct trigrams in order, and how often each occurs; of numbers
+    below 2**32."""
+    if len(w) and max(int(v.max()), int(u.max()), int(w.max())) < 1 << 21:
+        key = (u.astype(np.uint64) << np.uint64(42)) | (v.astype(np.uint64) << np.uint64(21)) | w.astype(np.uint64)
+        key.sort()
+        new = _heads(key)
+        u, v, w = ((key[new] >> np.uint64(at) & np.uint64((1 << 21) - 1)).astype(np.int64) for at in (42, 21, 0))
+        return u, v, w, np.diff(np.append(new, len(key))).astype(np.uint64)
+    uv = (u.astype(np.uint64) << np.uint64(32)) | v.astype(np.uint64)
+    order = np.lexsort((w, uv))
+    uv, w = uv[order], w[order]
+    new = _heads(uv, w)
+    return (uv[new] >> np.uint64(32)).astype(np.int64), (uv[new] & np.uint64(0xFFFFFFFF)).astype(np.int64), w[new], np.diff(np.append(new, len(w))).astype(np.uint64)
+
+
+def _order(u: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """An order in which equal trigrams, and equal u and v, are neighbours."""
+    if not len(w):
+        return np.zeros(0, np.int64)
+    few, rank = np.unique(v, return_inverse=True)  # a bucket has few middle words
+    of_u, of_v, of_w = (int(x).bit_length() for x in (u.max(), len(few), w.max()))
+    if of_u + of_v + of_w > 64:
+        return np.lexsort((w, v, u))
+    key = u.astype(np.uint64) << np.uint64(of_v + of_w)
+    key |= rank.astype(np.uint64) << np.uint64(of_w)
+    key |= w.astype(np.uint64)
+    del rank
+    return np.argsort(key)
+
+
 def _count_triples(folder: str, buckets: int, base: tuple[int, ...], hot: np.ndarray):
     begin = base[-1]  # the id of the begin mark, which is only a context
     kind = np.uint32 if begin < 2**32 - 1 else np.uint64
@@ -288,15 +331,11 @@ def _count_triples(folder: str, buckets: int, base: tuple[int, ...], hot: np.nda
         for batch in batches:
             for block in blocks(batch.column(0), _TEXT_AT_ONCE):
                 hashes, _, first = _tokens(block)
-                ids, word = np.unique(np.append(table.find(hashes)[0], begin), return_inverse=True)
-                mark, w = word[-1], word[:-1]  # numbers within the block, so that two fit in 64 bits
-                v = _before(w, first, mark)
-                uv = (_before(v, first, mark).astype(np.uint64) << np.uint64(32)) | v.astype(np.uint64)
-                order = np.lexsort((w, uv))
-                uv, w = uv[order], w[order]
-                new = _heads(uv, w)
-                counts = np.diff(np.append(new, len(w))).astype(np.uint64)
-                u, v, w = ids[(uv[new] >> np.uint64(32)).astype(np.int64)], ids[(uv[new] & np.uint64(0xFFFFFFFF)).astype(np.int64)], ids[w[new]]
+                ids, _, back = table.of_distinct(hashes)
+                ids, number = np.unique(np.append(ids, begin), return_inverse=True)
+                mark, w = number[-1], number[back]  # numbers within the block, so that two, mostly three, fit in 64 bits
+                u, v, w, counts = _counted_triples(*_contexts(w, first, mark), w)
+                u, v, w = ids[u], ids[v], ids[w]
                 order, parts = _dealt(_triple_bucket(u, v, w, hot, buckets))
                 u, v, w, counts = u[order], v[order], w[order], counts[order]
                 rows = []
@@ -351,7 +390,7 @@ def _store_triples(folder: str, kind, hot: np.ndarray, buckets: int, per_range:
         w = np.concatenate([p[3] for p in parts])
         counts = np.concatenate([_wide(*p[4:]) for p in parts])
         del parts
-        order = np.lexsort((w, v, u))
+        order = _order(u, v, w)
         u, v, w = u[order], v[order], w[order]
         counts = counts[order]
         del order
@@ -372,9 +411,15 @@ def _store_triples(folder: str, kind, hot: np.ndarray, buckets: int, per_range:
             made.append((_CONTEXTS, b, _blob(cu[own].astype(kind), cv[own].astype(kind), *(x[own] for x in sums)), None))
         # Pairs: whole, but for those of a hot first word.
         del cu, cv, sums
-        order = np.lexsort((w, v))
-        pv, pw = v[order], w[order]
-        del v, w, order
+        if kind == np.uint32:
+            pv = (v.astype(np.uint64) << np.uint64(32)) | w
+            pv.sort()
+            pv, pw = (pv >> np.uint64(32)).astype(kind), pv.astype(kind)
+        else:
+            order = np.lexsort((w, v))
+            pv, pw = v[order], w[order]
+            del order
+        del v, w
         heads = _heads(pv, pw)
         seen = np.diff(np.append(heads, len(pv))).astype(np.uint64)
         pv, pw = pv[heads], pw[heads]

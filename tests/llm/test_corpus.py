@@ -16,7 +16,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from paperglass.llm import _shared, _text, ann, bpe, langid, lm, packing, quality, secrets, simhash, substring, suffix
+from paperglass.llm import _shared, _tables, _text, ann, bpe, langid, lm, packing, quality, secrets, simhash, substring, suffix
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, extra int"
@@ -163,6 +163,26 @@ def test_least_members():
         assert dict(zip(node.tolist(), root.tolist())) == {k: r for k, r in enumerate(expected) if k != r}
 
 
+def test_sorted_trigrams(tmp_path):
+    """Keys in one number or in three, and mapped tables that count as mapped."""
+    rng = np.random.default_rng(1)
+    for most in (4, 300, 1 << 23):
+        for kind in (np.int64, np.uint32, np.uint64):
+            u, v, w = (rng.integers(0, 4, 200).astype(kind) * kind(most // 4) for _ in range(3))
+            got = lm._counted_triples(u, v, w)
+            expected = Counter(zip(u.tolist(), v.tolist(), w.tolist()))
+            assert dict(zip(zip(*(x.tolist() for x in got[:3])), got[3].tolist())) == expected
+            shift = kind(30) if kind != np.int64 else kind(0)
+            for a, b, c in ((u, v, w), (u << shift, v, w << shift)):
+                order = lm._order(a, b, c)
+                assert len(lm._heads(a[order], b[order], c[order])) == len(set(zip(a.tolist(), b.tolist(), c.tolist())))
+                assert len(lm._heads(a[order], b[order])) == len(set(zip(a.tolist(), b.tolist())))
+    uri = f"{tmp_path.as_uri()}/table"
+    _tables.write_arrays(uri, [np.arange(5), np.arange(3)])
+    made = _tables.map_arrays(uri, [np.int64, np.int64])
+    assert all(type(x) is np.ndarray and _tables._mapped(x) for x in made) and made[1].tolist() == [0, 1, 2]
+
+
 def test_memory_of_counting(tmp_path):
     """What the model's counting steps hold follows a block's text, a few times over."""
     random.seed(6)
