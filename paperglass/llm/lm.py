@@ -53,7 +53,7 @@ _WORD_TABLE = [*_INDEX, np.uint64]
 _COUNT_TABLE = [*_INDEX, *_SMALL]
 _CONTEXT_TABLE = [*_INDEX, *_SMALL * 4]
 _ID_TABLE = [np.uint64, np.uint64, np.uint64, np.uint64, np.uint64]
-_TEXT_AT_ONCE = 8 << 20
+_TEXT_AT_ONCE = 4 << 20
 _HOT_TOKENS = 16  # a word is hot with one occurrence for so many bytes of a bucket
 
 
@@ -96,16 +96,18 @@ def _word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nda
 
 def _tokens(block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of the tokens of a block (each document's end token last), the
-    document of each, and the place of each document's first token."""
+    number of each document's tokens, and the place of its first."""
     start, end, doc = block.words()
-    words = _word_hashes(block.data, start, end)
     n = np.bincount(doc, minlength=block.n) + 1
+    del doc
+    words = _word_hashes(block.data, start, end)
+    del start, end
     last = np.cumsum(n) - 1
     out = np.full(int(n.sum()), _END, np.uint64)
     own = np.ones(len(out), bool)
     own[last] = False
     out[own] = words
-    return out, np.repeat(np.arange(block.n), n), last - n + 1
+    return out, n, last - n + 1
 
 
 def _counts8(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -131,16 +133,18 @@ def _taken(places: np.ndarray, small: np.ndarray, at: np.ndarray, value: np.ndar
 
 
 def _blob(*arrays: np.ndarray) -> bytes:
-    """Arrays as bytes, the first bytes of all numbers first: the exchange's
-    compression then meets the high bytes, which are mostly zero, together."""
-    planes = (np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T for x in arrays)
-    return np.array([x.nbytes for x in arrays], np.int64).tobytes() + b"".join(x.tobytes() for x in planes)
+    """Arrays as compressed bytes, the first bytes of all numbers first, so that
+    the high bytes, which are mostly zero, are met together.  Compressed here,
+    they are small in the exchange's files and in the memory of both its sides."""
+    planes = b"".join(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes() for x in arrays)
+    return np.array([x.nbytes for x in arrays], np.int64).tobytes() + pa.compress(planes, "zstd", asbytes=True)
 
 
 def _arrays(blob: bytes | pa.Buffer, *kinds) -> list[np.ndarray]:
-    at, out = 8 * len(kinds), []
-    for size, kind in zip(np.frombuffer(blob, np.int64, len(kinds)).tolist(), kinds):
-        planes = np.frombuffer(blob, np.uint8, size, at).reshape(np.dtype(kind).itemsize, -1)
+    sizes = np.frombuffer(blob, np.int64, len(kinds)).tolist()
+    raw, at, out = pa.decompress(memoryview(blob)[8 * len(kinds) :], sum(sizes), "zstd"), 0, []
+    for size, kind in zip(sizes, kinds):
+        planes = np.frombuffer(raw, np.uint8, size, at).reshape(np.dtype(kind).itemsize, -1)
         out.append(np.ascontiguousarray(planes.T).view(kind)[:, 0] if size else np.zeros(0, kind))
         at += size
     return out
@@ -280,7 +284,7 @@ def _triple_bucket(u: np.ndarray, v: np.ndarray, w: np.ndarray, hot: np.ndarray,
 
 
 def _before(ids: np.ndarray, first: np.ndarray, begin: int) -> np.ndarray:
-    out = np.empty(len(ids), np.int64)
+    out = np.empty_like(ids)
     out[1:] = ids[:-1]
     out[first] = begin
     return out
@@ -298,8 +302,9 @@ def _counted_triples(u: np.ndarray, v: np.ndarray, w: np.ndarray) -> tuple[np.nd
         key = (u.astype(np.uint64) << np.uint64(42)) | (v.astype(np.uint64) << np.uint64(21)) | w.astype(np.uint64)
         key.sort()
         new = _heads(key)
-        u, v, w = ((key[new] >> np.uint64(at) & np.uint64((1 << 21) - 1)).astype(np.int64) for at in (42, 21, 0))
-        return u, v, w, np.diff(np.append(new, len(key))).astype(np.uint64)
+        counts = np.diff(np.append(new, len(key))).astype(np.uint64)
+        key = key[new]
+        return *((key >> np.uint64(at) & np.uint64((1 << 21) - 1)).astype(np.uint32) for at in (42, 21, 0)), counts
     uv = (u.astype(np.uint64) << np.uint64(32)) | v.astype(np.uint64)
     order = np.lexsort((w, uv))
     uv, w = uv[order], w[order]
@@ -332,9 +337,13 @@ def _count_triples(folder: str, buckets: int, base: tuple[int, ...], hot: np.nda
             for block in blocks(batch.column(0), _TEXT_AT_ONCE):
                 hashes, _, first = _tokens(block)
                 ids, _, back = table.of_distinct(hashes)
+                del hashes
                 ids, number = np.unique(np.append(ids, begin), return_inverse=True)
-                mark, w = number[-1], number[back]  # numbers within the block, so that two, mostly three, fit in 64 bits
+                # Numbers within the block, so that two, mostly three, fit in 64 bits.
+                mark, w = number[-1], number.astype(np.uint32)[back]
+                del back
                 u, v, w, counts = _counted_triples(*_contexts(w, first, mark), w)
+                ids = ids.astype(kind)
                 u, v, w = ids[u], ids[v], ids[w]
                 order, parts = _dealt(_triple_bucket(u, v, w, hot, buckets))
                 u, v, w, counts = u[order], v[order], w[order], counts[order]
@@ -342,7 +351,8 @@ def _count_triples(folder: str, buckets: int, base: tuple[int, ...], hot: np.nda
                 for b, s in parts:
                     heads = _heads(u[s], v[s])
                     many = np.diff(np.append(heads, s.stop - s.start)).astype(np.uint32)
-                    rows.append((b, _blob(u[s][heads].astype(kind), v[s][heads].astype(kind), many, w[s].astype(kind), *_counts8(counts[s]))))
+                    rows.append((b, _blob(u[s][heads], v[s][heads], many, w[s], *_counts8(counts[s]))))
+                del u, v, w, counts, order
                 yield _block_rows(rows)
 
     return step, kind
@@ -613,7 +623,8 @@ def score_texts(docs: DataFrame, model: KneserNey, id_col: str = "doc_id", text_
         for batch in batches:
             out = []
             for block in blocks(batch.column(1), _TEXT_AT_ONCE // 2):
-                hashes, doc, first = _tokens(block)
+                hashes, many, first = _tokens(block)
+                doc = np.repeat(np.arange(block.n), many)
                 word, count = scorer.words.find(hashes)
                 v = _before(word, first, model.words)
                 base = np.log10((count.astype(np.float64) + 1) / (model.tokens + 1 * (model.words + 1)))
