@@ -51,7 +51,7 @@ _SMALL = [np.uint8, np.uint32, np.uint64]  # counts as bytes, places and values
 _INDEX = [np.uint32, np.uint32]
 _WORD_TABLE = [*_INDEX, np.uint64]
 _COUNT_TABLE = [*_INDEX, *_SMALL]
-_CONTEXT_TABLE = [*_INDEX, *_SMALL * 4]
+_CONTEXT_TABLE = [*_INDEX, *_SMALL * 3]  # the sum, those of 1, and those of 2 and of more as one number
 _ID_TABLE = [np.uint64, np.uint64, np.uint64, np.uint64, np.uint64]
 _TEXT_AT_ONCE = 4 << 20
 _HOT_TOKENS = 16  # a word is hot with one occurrence for so many bytes of a bucket
@@ -132,6 +132,24 @@ def _taken(places: np.ndarray, small: np.ndarray, at: np.ndarray, value: np.ndar
     return out
 
 
+def _pair(two: np.ndarray, more: np.ndarray) -> np.ndarray:
+    """Two counts as one number, below 225 if both are below 15.  A bucket has
+    less than 2**31 entries, so any two have room."""
+    wide = (two << np.uint64(32)) | more | np.uint64(1 << 63)
+    return np.where((two < 15) & (more < 15), two * np.uint64(15) + more, wide)
+
+
+def _pair_taken(places: np.ndarray, small: np.ndarray, at: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two counts at some places."""
+    code = small[places]
+    two, more = (x.astype(np.float64) for x in np.divmod(code, np.uint8(15)))
+    large = np.flatnonzero(code == 255)
+    if len(large):
+        wide = value[np.searchsorted(at, places[large].astype(np.uint32))]
+        two[large], more[large] = wide >> np.uint64(32) & np.uint64((1 << 31) - 1), wide & np.uint64((1 << 32) - 1)
+    return two, more
+
+
 def _blob(*arrays: np.ndarray) -> bytes:
     """Arrays as compressed bytes, the first bytes of all numbers first, so that
     the high bytes, which are mostly zero, are met together.  Compressed here,
@@ -342,7 +360,9 @@ def _count_triples(folder: str, buckets: int, base: tuple[int, ...], hot: np.nda
                 # Numbers within the block, so that two, mostly three, fit in 64 bits.
                 mark, w = number[-1], number.astype(np.uint32)[back]
                 del back
-                u, v, w, counts = _counted_triples(*_contexts(w, first, mark), w)
+                u, v = _contexts(w, first, mark)
+                # By the middle word first, which then repeats and takes little room.
+                v, u, w, counts = _counted_triples(v, u, w)
                 ids = ids.astype(kind)
                 u, v, w = ids[u], ids[v], ids[w]
                 order, parts = _dealt(_triple_bucket(u, v, w, hot, buckets))
@@ -373,6 +393,10 @@ def _write_counts(uri: str, hashes: np.ndarray, *columns: np.ndarray) -> None:
     write_arrays(uri, [*index, *(x for c in columns for x in _counts8(c[order]))])
 
 
+def _write_contexts(uri: str, hashes: np.ndarray, total: np.ndarray, one: np.ndarray, two: np.ndarray, more: np.ndarray) -> None:
+    _write_counts(uri, hashes, total, one, _pair(two, more))
+
+
 def _id_rows(kind, per_range: int, v: np.ndarray, sums: list[np.ndarray], w: np.ndarray, seen: np.ndarray) -> list[tuple]:
     """What word ids get: as contexts (v, distinct) and as continuations (w)."""
     made = []
@@ -414,7 +438,7 @@ def _store_triples(folder: str, kind, hot: np.ndarray, buckets: int, per_range:
         sums, cu, cv = _kinds(counts, heads), u[heads], v[heads]
         del u, counts
         split = np.isin(cv, hot) & np.isin(cu, hot)
-        _write_counts(f"{folder}/contexts-{number}", _hashed(cu, cv)[~split], *(x[~split] for x in sums))
+        _write_contexts(f"{folder}/contexts-{number}", _hashed(cu, cv)[~split], *(x[~split] for x in sums))
         order, slices = _dealt(_bucket(_hashed(cu[split], cv[split]), buckets))
         for b, s in slices:
             own = np.flatnonzero(split)[order[s]]
@@ -462,7 +486,7 @@ def _store_split(folder: str, kind, per_range: int):
             u, v, *sums = (np.concatenate([p[k] for p in parts]) for k in range(6))
             order = np.lexsort((v, u))
             heads = _heads(u[order], v[order])
-            _write_counts(f"{folder}/hot-contexts-{number}", _hashed(u[order][heads], v[order][heads]), *(np.add.reduceat(x[order], heads) for x in sums))
+            _write_contexts(f"{folder}/hot-contexts-{number}", _hashed(u[order][heads], v[order][heads]), *(np.add.reduceat(x[order], heads) for x in sums))
         return _parts(made)
 
     return step
@@ -541,8 +565,10 @@ class Scorer:
                 own = order[s]
                 at = find(table[0], table[1], hashes[own])
                 hit = at >= 0
-                for c in range(columns):
+                for c in range(min(columns, 2)):
                     out[c, own[hit]] = _taken(at[hit], *table[2 + 3 * c : 5 + 3 * c])
+                if columns == 4:
+                    out[2, own[hit]], out[3, own[hit]] = _pair_taken(at[hit], *table[8:11])
         return out
 
     def _of_ids(self, ids: np.ndarray, columns: list[int]) -> list[np.ndarray]:

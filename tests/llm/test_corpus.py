@@ -183,6 +183,18 @@ def test_sorted_trigrams(tmp_path):
     assert all(type(x) is np.ndarray and _tables._mapped(x) for x in made) and made[1].tolist() == [0, 1, 2]
 
 
+def test_contexts_of_three_columns(tmp_path):
+    """Two counts share a column, whatever their sizes."""
+    sizes = [0, 1, 2, 14, 15, 16, 224, 254, 255, 256, 70_000, 2**31 - 1]
+    two, more = (np.array(x, np.uint64) for x in zip(*itertools.product(sizes, sizes)))
+    places = np.random.default_rng(3).permutation(len(two))
+    got = lm._pair_taken(places, *lm._counts8(lm._pair(two, more)))
+    assert [x.tolist() for x in got] == [two[places].tolist(), more[places].tolist()]
+    hashes = _text.mix(np.arange(1, 1001, dtype=np.uint64))
+    lm._write_contexts(f"{tmp_path.as_uri()}/contexts", hashes, *[np.ones(1000, np.uint64)] * 4)
+    assert (tmp_path / "contexts").stat().st_size < 4 * 65537 + 1000 * 7 + 200
+
+
 def test_memory_of_counting(tmp_path):
     """What the model's counting steps hold follows a block's text, a few times over."""
     random.seed(6)
